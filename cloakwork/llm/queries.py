@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simple8b, token_counts
+from . import chat, langid, licenses, packing, simple8b, token_counts
 from .common import table
 
 
@@ -20,5 +20,17 @@ def op5_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.encode_round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op5_simple8b)}
-ORACLES: dict[str, str] = {}
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op5_simple8b, op6_chat, op7_licenses, op9_langid)}
+ORACLES: dict[str, str] = {"op6_chat": chat.ORACLE_SQL, "op7_licenses": licenses.ORACLE_SQL}
