@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, licenses, packing, simple8b, token_counts
+from . import chat, langid, licenses, packing, page_text, simple8b, token_counts
 from .common import table
 
 
@@ -28,9 +28,13 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op5_simple8b, op6_chat, op7_licenses, op9_langid)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op5_simple8b, op6_chat, op7_licenses, op8_page_text, op9_langid)}
 ORACLES: dict[str, str] = {"op6_chat": chat.ORACLE_SQL, "op7_licenses": licenses.ORACLE_SQL}
