@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, jaccard, langid, licenses, packing, page_text, simple8b, token_counts
+from . import chat, decontaminate, embeddings, jaccard, langid, licenses, packing, page_text, simple8b, token_counts
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,5 +48,5 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op4_decontaminate, op5_simple8b, op6_chat, op7_licenses, op8_page_text, op9_langid, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_embeddings, op4_decontaminate, op5_simple8b, op6_chat, op7_licenses, op8_page_text, op9_langid, op10_jaccard)}
 ORACLES: dict[str, str] = {"op6_chat": chat.ORACLE_SQL, "op7_licenses": licenses.ORACLE_SQL}
