@@ -7,10 +7,11 @@ m > H segments by hash, so at least m - H segments of such a pair are equal.
 
 * First index: a signature for the subset of each segment that isn't empty. A signature that few
   classes share gives all pairs of them. One that many share is too costly: it gives only the pairs
-  with its first class. A class may leave out as many segments (empty or costly) as m - H - 1.
+  with its hub, the class that has most costly signatures. A class may leave out as many segments
+  (empty or costly) as m - H - 1.
 * Second index, for the classes that had to leave out more: (H + 1) / 2 larger segments, each with
   its one-deletion neighbourhood, of which a similar pair must share one within one shingle. Here
-  costly signatures give the pairs with their first class too; then the classes that are linked by
+  costly signatures give the pairs with their hubs too; then the classes that are linked by
   now are taken together, and all pairs across these groups follow.
 
 Candidates pass the size bound and a bound on the counts of 64 hash buckets, then their sets are
@@ -242,7 +243,7 @@ def _signatures(docs: DataFrame, second: bool) -> DataFrame:
 
 
 class _Runs:
-    """Candidate pairs of ascending (key, member) rows that come in batches."""
+    """Candidate pairs, and costly signatures, of ascending (key, member) rows that come in batches."""
 
     def __init__(self, few: int, second: bool):
         self.few, self.second = few, second
@@ -285,10 +286,7 @@ class _Runs:
         if self.second:  # whole segments come first: a run that begins otherwise has none, so no candidates
             long &= (hubs & 1) == 0
         if long.any():
-            run = np.repeat(np.arange(len(first)), size)
-            at = np.flatnonzero(long[run])
-            a.append(hubs[run[at]])
-            b.append(members[at])
+            at = np.flatnonzero(np.repeat(long, size))
             costly = [members[at], keys[at]]
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         a, b = a & _ID, b & _ID
@@ -302,6 +300,19 @@ class _Runs:
         return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([low, costly[0]])), pa.array(np.concatenate([high, costly[1]]))], names=["kind", "a", "b"])
 
 
+def _stars(costly: DataFrame) -> DataFrame:
+    """Pairs of each costly signature's hub with its other classes. ``costly`` has key, cls and whole.
+
+    Copies of one text share more signatures with it than with each other, so the class that has most
+    of them links most. Only classes with the whole segment can be hubs.
+    """
+    wholes = costly.where("whole")
+    fame = wholes.groupBy("cls").agg(F.count("*").alias("fame"))
+    hubs = wholes.join(fame, "cls").groupBy("key").agg(F.max(F.struct("fame", "cls"))["cls"].alias("hub"))
+    pairs = costly.join(hubs, "key").where("cls <> hub")
+    return pairs.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
+
+
 def _collisions(signatures: DataFrame, few: int, second: bool) -> DataFrame:
     """kind, a, b as ``_Runs`` gives them, as a written table."""
 
@@ -316,6 +327,12 @@ def _collisions(signatures: DataFrame, few: int, second: bool) -> DataFrame:
     return materialise(ordered.mapInArrow(run, "kind byte, a long, b long"), "jaccard-collisions")
 
 
+def _costly(met: DataFrame) -> DataFrame:
+    """key, cls, flag and whole of the rows of costly signatures."""
+    flag = F.col("a").bitwiseAND(F.lit(1))
+    return met.where("kind = 1").select(F.col("b").alias("key"), (F.col("a") - flag).alias("cls"), flag.alias("flag"), (flag == 0).alias("whole"))
+
+
 def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar: first by bounds, then exactly. A written table."""
     facts = classes.select("cls", "n", "buckets")
@@ -366,8 +383,7 @@ def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
 
 def _rest(docs: DataFrame, classes: DataFrame, costly: DataFrame, links: DataFrame) -> DataFrame:
     """The links that the first index may have missed: between classes that left out too many segments."""
-    flag = F.col("a").bitwiseAND(F.lit(1))
-    left = costly.groupBy((F.col("a") - flag).alias("cls"), flag.alias("flag")).agg(F.countDistinct("b").alias("left"))
+    left = costly.groupBy("cls", "flag").agg(F.countDistinct("key").alias("left"))
     wide = left.groupBy("cls").agg(F.max(F.when(F.col("flag") == 0, F.col("left"))).alias("left0"), F.max(F.when(F.col("flag") == 1, F.col("left"))).alias("left1"))
     short = (F.coalesce("spare0", F.lit(0)) < F.coalesce("left0", F.lit(0))) | (F.coalesce("spare1", F.lit(0)) < F.coalesce("left1", F.lit(0)))
     again = materialise(classes.join(wide, "cls", "left").where(short).select("cls", "rep"), "jaccard-again")
@@ -378,10 +394,9 @@ def _rest(docs: DataFrame, classes: DataFrame, costly: DataFrame, links: DataFra
     rows = F.broadcast(rows) if n <= BROADCAST_IDS else rows
     few = docs.select("doc_id", "text").join(rows, "doc_id", "left_semi")
     met = _collisions(_signatures(few, second=True), FEW_SECOND, second=True)
-    done = links.select("a", "b")
-    more = _similar(met.where("kind = 0").select("a", "b").join(done, ["a", "b"], "left_anti"), classes, docs)
-    links = links.union(more)
-    hot = met.where("kind = 1").select(F.col("b").alias("key"), (F.col("a") - flag).alias("cls"), (flag == 0).alias("whole"))
+    hot = _costly(met)
+    pairs = met.where("kind = 0").select("a", "b").union(_stars(hot)).distinct()
+    links = links.union(_similar(pairs.join(links, ["a", "b"], "left_anti"), classes, docs))
     if hot.isEmpty():
         return links
     # Members that are linked by now stand together; only pairs across groups are left to compare.
@@ -409,8 +424,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     classes = materialise(classes, "jaccard-classes")
     met = _collisions(_signatures(docs, second=False), FEW, second=False)
-    links = _similar(met.where("kind = 0").select("a", "b"), classes, docs)
-    links = _rest(docs, classes, met.where("kind = 1").select("a", "b"), links)
+    costly = _costly(met)
+    stars = _stars(costly.withColumn("whole", F.lit(True)))
+    links = _similar(met.where("kind = 0").select("a", "b").union(stars), classes, docs)
+    links = _rest(docs, classes, costly, links)
     groups = connected_components(links)
     named = groups.join(classes.select(F.col("cls").alias("id"), "rep"), "id")
     names = named.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -105,10 +105,12 @@ def test_runs_in_any_batches():
     order = np.lexsort((members, keys))
     keys, members = keys[order], members[order]
     for few in (2, 8, 1000):
-        want = {(int(a), int(b)) for k in np.unique(keys) for run in [np.unique(members[keys == k])] for a in (run if len(run) <= few else run[:1]) for b in run if a < b}
+        want = {(int(a), int(b)) for k in np.unique(keys) for run in [np.unique(members[keys == k])] if len(run) <= few for a in run for b in run if a < b}
         for step in (7, 64, 500):
             runs = jaccard._Runs(few, False)
             out = [runs.take(keys[i : i + step], members[i : i + step]) for i in range(0, 500, step)]
             out.append(runs.take(keys[:0], members[:0], last=True))
             got = {(r["a"], r["b"]) for b in out for r in b.to_pylist() if r["kind"] == 0}
             assert got == want
+            costly = {(r["a"], r["b"]) for b in out for r in b.to_pylist() if r["kind"] == 1}
+            assert costly == {(int(m), int(k)) for k in np.unique(keys) for run in [np.unique(members[keys == k])] if len(run) > few for m in run}
