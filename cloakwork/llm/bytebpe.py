@@ -12,6 +12,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Texts with other characters, or with a blank after white space, go to the library whole.
 _ODD = re.compile("[\x00\x01\x0b\x0c\x1c-\x1f\x7f-\xa0²³¹¼½¾]|[^\x00-ɏ‐-‧‰-‾€]")
+_ODD_ASCII = "\x0b\x0c\x1c\x1d\x1e\x1f\x7f"
 _BLANKS = ("  ", "\n ", "\t ", "\r ")
 
 
@@ -25,22 +26,26 @@ class Encoder:
     The pre-tokenisation pattern of byte-level BPE lets a blank stand only at the start of a
     pre-token or inside a run of white space. Where every blank follows a character that is not
     white space, the text can therefore be cut before each blank without changing an id. The
-    library encodes each distinct unit once; the cache holds at most ``limit`` units.
+    library encodes each distinct unit that the cache does not hold. The cache has two generations of
+    ``limit`` units; a unit of the older one that is met again moves to the newer.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.limit = limit
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def plain(self, text: str) -> bool:
-        return not (any(b in text for b in _BLANKS) or any(s in text for s in self.special) or _ODD.search(text))
+        if any(b in text for b in _BLANKS) or any(s in text for s in self.special):
+            return False
+        return not any(c in text for c in _ODD_ASCII) if text.isascii() else not _ODD.search(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
@@ -57,10 +62,12 @@ class Encoder:
         if rest:
             for i, ids in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
                 out[i] = ids
-        cache = self.cache
-        if missing := [u for u in seen if u not in cache]:
-            if len(cache) + len(missing) > self.limit:
-                self.cache = cache = {u: cache[u] for u in seen if u in cache}
+        if len(self.cache) > self.limit:
+            self.cache, self.older = {}, self.cache
+        cache, older = self.cache, self.older
+        missing = [u for u in seen if u not in cache]
+        cache.update((u, older[u]) for u in missing if u in older)
+        if missing := [u for u in missing if u not in older]:
             cache.update(zip(missing, self.whole([" " + u for u in missing]), strict=True))
         heads = self.whole([parts[0] for _, parts in units])
         for (i, parts), head in zip(units, heads, strict=True):

@@ -32,6 +32,8 @@ SHARD_IDS = 1 << 20
 #: How many ids of how many bits each selector of Simple-8b packs.
 SELECTORS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 _COUNTS = np.array([n for n, _ in SELECTORS])
+#: Bits of the ids below 2 ** 16.
+_WIDTH = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 
 
 def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,9 +41,12 @@ def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     if not n:
         return np.zeros(0, "<u8"), np.zeros(1, "<i8")
-    width = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
-    position = np.arange(n)
-    room = np.minimum(BLOCK - position % BLOCK, n - position)
+    width = _WIDTH[ids] if int(ids.max()) < len(_WIDTH) else np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
+    # Ids left in the block, as far as a selector can reach.
+    room = np.full(n, 240, np.uint8)
+    for end in [*range(BLOCK, n, BLOCK), n]:
+        tail = min(240, end - (end - 1) // BLOCK * BLOCK)
+        room[end - tail : end] = np.arange(tail, 0, -1)
     widest = {1: width}
     for p in (2, 4, 8, 16, 32, 64, 128):
         widest[p] = _widest(widest[p // 2], p // 2)
@@ -49,8 +54,10 @@ def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for s in range(14, -1, -1):
         count, bits = SELECTORS[s]
         power = 1 << (count.bit_length() - 1)
+        if int(widest[power].min()) > bits:
+            continue
         reach = widest[power] if count == power else _widest(widest[power], count - power)
-        selector[(reach <= bits) & (room >= count)] = s
+        np.copyto(selector, np.uint8(s), where=(reach <= bits) & (room >= count))
     starts = np.zeros(n, bool)
     at = np.arange(0, n, BLOCK)
     ends = np.minimum(at + BLOCK, n)
@@ -61,12 +68,15 @@ def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at, ends = at[more], ends[more]
     first = np.flatnonzero(starts)
     used = selector[first]
-    words = used.astype(np.uint64) << np.uint64(60)
+    words, wide = used.astype(np.uint64) << np.uint64(60), ids.astype(np.uint64)
     for s, (count, bits) in enumerate(SELECTORS):
         of = np.flatnonzero(used == s)
         if bits and len(of):
+            at, word = first[of], words[of]
             for k in range(count):
-                words[of] |= ids[first[of] + k].astype(np.uint64) << np.uint64(k * bits)
+                word |= wide[at] << np.uint64(k * bits)
+                at += 1
+            words[of] = word
     blocks = np.searchsorted(first, np.arange(0, n, BLOCK))
     return words.astype("<u8"), np.append(blocks, len(words)).astype("<i8")
 
@@ -86,9 +96,10 @@ def decode_ids(words: np.ndarray) -> np.ndarray:
     for s, (count, bits) in enumerate(SELECTORS):
         of = np.flatnonzero(selector == s)
         if bits and len(of):
-            mask = np.uint64((1 << bits) - 1)
+            mask, word, at = np.uint64((1 << bits) - 1), words[of], first[of]
             for k in range(count):
-                ids[first[of] + k] = (words[of] >> np.uint64(k * bits)) & mask
+                ids[at] = (word >> np.uint64(k * bits)) & mask
+                at += 1
     return ids
 
 
