@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -25,7 +26,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from .common import materialise
 
 #: The word model has at most so many counts; so has the model of n-grams.
-MODEL_CELLS = 300_000
+MODEL_CELLS = 200_000
 #: At most so many languages (those of most documents) are learned.
 MAX_LANGUAGES = 256
 LONGEST = 5
@@ -93,7 +94,7 @@ def gram_counts(counts: DataFrame) -> DataFrame:
     return _counted(counts.select("lang", "word", "n"), of_words, "gram")
 
 
-def _most(counts: DataFrame, key: str, cells: int) -> list[tuple]:
+def _most(counts: DataFrame, key: str, cells: int) -> pa.Table | None:
     """The counts of the keys seen most, all languages of a key together, within ``cells`` counts."""
     totals = counts.groupBy(key).agg(F.sum("n").alias("total"), F.count("*").alias("cells"))
     level = F.floor(F.log2("total") * 8).cast("int")
@@ -103,51 +104,67 @@ def _most(counts: DataFrame, key: str, cells: int) -> list[tuple]:
             break
         held, cut = held + n, k
     if cut is None:
-        return []
-    kept = counts.join(totals.where(level >= cut).select(key), key)
-    return [(r[key], r.lang, r.n) for r in kept.collect()]
+        return None
+    return counts.join(totals.where(level >= cut).select(key), key).select(key, "lang", "n").toArrow()
+
+
+class Logs:
+    """Log frequencies by language of keys: one row of a table for each key."""
+
+    def __init__(self, counts: pa.Table | None, languages: list[str], totals: np.ndarray):
+        keys, langs, n = ([], [], []) if counts is None else (c.to_pylist() for c in counts.columns)
+        number = {x: i for i, x in enumerate(languages)}
+        self.rows = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+        table = np.full((len(self.rows), len(languages)), 0.5)
+        np.add.at(table, ([self.rows[k] for k in keys], [number[x] for x in langs]), n)
+        self.table = np.log(table / (totals + 0.5 * len(self.rows) + 1))
+
+    def __getstate__(self):
+        return "\n".join(self.rows), self.table
+
+    def __setstate__(self, state):
+        keys, self.table = state
+        self.rows = {k: i for i, k in enumerate(keys.split("\n"))} if len(self.table) else {}
 
 
 class Model:
     """Log frequencies by language of the known words and n-grams."""
 
-    def __init__(self, languages: list[str], totals: list[list[int]], words: list[tuple], ngrams: list[tuple], prior: int):
+    def __init__(self, languages: list[str], totals: list[list[int]], words: pa.Table | None, ngrams: pa.Table | None, prior: int):
         self.languages, self.prior = languages, prior
-        self.words = self._logs(words, np.array(totals[0], float))
-        self.grams: list[dict[str, np.ndarray]] = [{}]
+        self.words = Logs(words, languages, np.array(totals[0], float))
+        # The n-grams of each length share the counts of their own length.
+        self.grams = [Logs(None, languages, np.ones(len(languages)))]
         for n in range(1, LONGEST + 1):
-            own = [(g, lang, c) for g, lang, c in ngrams if len(g) == n]
-            self.grams.append(self._logs(own, np.maximum(1.0, np.array(totals[n], float))))
-
-    def _logs(self, counts: list[tuple], totals: np.ndarray) -> dict[str, np.ndarray]:
-        number = {x: i for i, x in enumerate(self.languages)}
-        keys = {k: i for i, k in enumerate(dict.fromkeys(k for k, _, _ in counts))}
-        table = np.full((len(keys), len(self.languages)), 0.5)
-        for k, lang, n in counts:
-            table[keys[k], number[lang]] += n
-        table = np.log(table / (totals + 0.5 * len(keys) + 1))
-        return {k: table[i] for k, i in keys.items()}
+            own = None if ngrams is None else ngrams.filter(pc.equal(pc.utf8_length(ngrams["gram"]), n))
+            self.grams.append(Logs(own, languages, np.maximum(1.0, np.array(totals[n], float))))
 
     def backoff(self, word: str) -> np.ndarray | None:
         """The mean of the longest n-grams that are known; None if not even a letter is."""
         for n in range(min(LONGEST, len(word) + 2), 0, -1):
-            known = [v for g in grams(word, n) if (v := self.grams[n].get(g)) is not None]
+            logs = self.grams[n]
+            known = [i for g in grams(word, n) if (i := logs.rows.get(g)) is not None]
             if known:
-                return np.mean(known, axis=0)
+                return logs.table[known].mean(axis=0)
         return None
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = _WORD.findall((text or "").lower())
         if not self.languages or not any(map(str.isalpha, words)):
             return UND, 0.0
-        score, n = np.zeros(len(self.languages)), 0
+        score, n, known, times = np.zeros(len(self.languages)), 0, [], []
+        rows = self.words.rows
         for word, count in Counter(words).items():
-            found = self.words.get(word)
-            if found is None:
-                found = self.backoff(word)
-            if found is not None:
+            row = rows.get(word)
+            if row is not None:
+                known.append(row)
+                times.append(count)
+            elif (found := self.backoff(word)) is not None:
                 score += count * found
                 n += count
+        if known:
+            score += np.array(times) @ self.words.table[known]
+            n += sum(times)
         if not n:
             return self.languages[self.prior], 1 / len(self.languages)
         best = int(score.argmax())
@@ -160,7 +177,7 @@ def learn(training: DataFrame, cells: int = MODEL_CELLS) -> Model:
     training = training.where("lang is not null and text is not null")
     found = training.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not found:
-        return Model([], [[]] * (LONGEST + 1), [], [], 0)
+        return Model([], [[]] * (LONGEST + 1), None, None, 0)
     languages = sorted(r.lang for r in found)
     words = materialise(word_counts(training.where(F.col("lang").isin(languages))), "language-words")
     ngrams = materialise(gram_counts(words), "language-grams")
