@@ -30,7 +30,7 @@ class Encoder:
     ``limit`` units; a unit of the older one that is met again moves to the newer.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
