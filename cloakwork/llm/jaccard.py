@@ -12,7 +12,7 @@ m > H segments by hash, so at least m - H segments of such a pair are equal.
 * Second index, for the classes that had to leave out more: (H + 1) / 2 larger segments, each with
   its one-deletion neighbourhood, of which a similar pair must share one within one shingle. Here
   costly signatures give the pairs with their hubs too; then the classes that are linked by
-  now are taken together, and all pairs across these groups follow.
+  now are taken together, and pairs across these groups are found by what they and their hub differ in.
 
 Candidates pass the size bound and a bound on the counts of 64 hash buckets, then their sets are
 compared exactly. Similar pairs are linked; components are found on Spark.
@@ -25,7 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, chunks, materialise
@@ -300,15 +300,19 @@ class _Runs:
         return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([low, costly[0]])), pa.array(np.concatenate([high, costly[1]]))], names=["kind", "a", "b"])
 
 
-def _stars(costly: DataFrame) -> DataFrame:
-    """Pairs of each costly signature's hub with its other classes. ``costly`` has key, cls and whole.
+def _hubs(costly: DataFrame) -> DataFrame:
+    """key, hub: of each costly signature the class that has most of them. ``costly`` has key, cls and whole.
 
-    Copies of one text share more signatures with it than with each other, so the class that has most
-    of them links most. Only classes with the whole segment can be hubs.
+    Copies of one text share more signatures with it than with each other, so it links most of them.
+    Only classes with the whole segment can be hubs.
     """
     wholes = costly.where("whole")
     fame = wholes.groupBy("cls").agg(F.count("*").alias("fame"))
-    hubs = wholes.join(fame, "cls").groupBy("key").agg(F.max(F.struct("fame", "cls"))["cls"].alias("hub"))
+    return wholes.join(fame, "cls").groupBy("key").agg(F.max(F.struct("fame", "cls"))["cls"].alias("hub"))
+
+
+def _stars(costly: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Pairs of each costly signature's hub with its other classes."""
     pairs = costly.join(hubs, "key").where("cls <> hub")
     return pairs.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
 
@@ -333,6 +337,77 @@ def _costly(met: DataFrame) -> DataFrame:
     return met.where("kind = 1").select(F.col("b").alias("key"), (F.col("a") - flag).alias("cls"), flag.alias("flag"), (flag == 0).alias("whole"))
 
 
+def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """cls and shingles (a set's hashes, ascending) of the classes in ``wanted``. A written table."""
+    wanted = materialise(wanted.distinct().join(classes.select("cls", "rep"), "cls"), "jaccard-wanted")
+    rows = wanted.select(F.col("rep").alias("doc_id")).distinct()
+    if wanted.count() <= BROADCAST_IDS:
+        rows = F.broadcast(rows)
+
+    def sets(columns):
+        texts = columns["text"].to_pylist()
+        for a, b in chunks(texts):
+            found = [v for v in shingle_sets(texts[a:b]) if len(v)]
+            yield {"cls": [_class_id(len(v), v)[2] for v in found], "shingles": [v.tobytes() for v in found]}
+
+    read = arrow_map(docs.select("doc_id", "text").join(rows, "doc_id", "left_semi").select("text"), sets, "cls long, shingles binary")
+    return materialise(read.dropDuplicates(["cls"]), "jaccard-sets")
+
+
+def _pivots(hot: DataFrame, hubs: DataFrame) -> DataFrame:
+    """key, hub: for each costly signature one of few hubs, the one that leads most of its members."""
+    led = hot.join(hubs, "key").groupBy("cls", "hub").agg(F.count("*").alias("n"))
+    cover = led.groupBy("hub").agg(F.sum("n").alias("cover"))
+    first = led.join(cover, "hub").groupBy("cls").agg(F.max(F.struct("cover", "hub"))["hub"].alias("hub"))
+    votes = hot.join(first, "cls").groupBy("key", "hub").agg(F.count("*").alias("n"))
+    return votes.groupBy("key").agg(F.max(F.struct("n", "hub"))["hub"].alias("hub"))
+
+
+def _across(hot: DataFrame, hubs: DataFrame, classes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates (a, b) among members of costly signatures in different groups, and links of members with their hubs.
+
+    ``hot`` has key, cls and component. D(x) is what set x and its hub h differ in. Two members u and x differ in |D(u)| + |D(x)| - 2 o
+    shingles, o of them common to D(u) and D(x), so similar ones need a certain o. Members similar to h
+    are linked by it; in other pairs one, u, isn't similar to h, and |D(u)| > (|h| + |u|) / 9 gives
+    o > (|D(x)| + (|h| - |x|) / 9) / 2. With the elements of every D in one order, rarest first, sets
+    that have o elements in common share one of the first |D| - o + 1.
+    """
+    members = materialise(hot.join(_pivots(hot, hubs), "key").select("hub", "cls", "component").distinct(), "jaccard-members")
+    sets = _sets(members.select("cls").union(members.select(F.col("hub").alias("cls"))), classes, docs)
+
+    def differ(columns):
+        rows = []
+        for x, h in zip(columns["x"], columns["h"], strict=True):
+            x, h = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(h.as_py(), np.uint64)
+            d = np.setxor1d(x, h, assume_unique=True)
+            rows.append((len(x), len(h), d.view(np.int64), len(d) * (100 + PERCENT) <= (len(x) + len(h)) * (100 - PERCENT)))
+        n, m, d, near = map(list, zip(*rows, strict=True)) if rows else ([], [], [], [])
+        yield {"hub": columns["hub"], "cls": columns["cls"], "component": columns["component"], "n": n, "m": m, "d": d, "near": near}
+
+    full = members.join(sets.select("cls", F.col("shingles").alias("x")), "cls").join(sets.select(F.col("cls").alias("hub"), F.col("shingles").alias("h")), "hub")
+    kind = "hub long, cls long, component long, n long, m long, d array<long>, near boolean"
+    found = materialise(arrow_map(full.select("hub", "cls", "component", "x", "h"), differ, kind), "jaccard-differences")
+    each = found.select("hub", "cls", "component", "n", "m", "near", F.size("d").alias("size"), F.explode("d").alias("e"))
+    common = each.groupBy("hub", "e").agg(F.count("*").alias("times"))
+    place = F.row_number().over(Window.partitionBy("hub", "cls").orderBy("times", "e"))
+    # The least o with a partner that isn't similar to the hub, and with any partner.
+    inv = (100 + PERCENT) / (100 - PERCENT)
+    half = F.greatest(F.lit(1), F.floor((F.col("size") + (F.col("m") - F.col("n")) / inv) / 2 - 1e-6) + 1)
+    any_ = F.greatest(F.lit(1), F.ceil((F.col("size") - (F.col("m") + F.col("n")) / inv) / 2 - 1e-6))
+    ranked = each.join(common, ["hub", "e"]).withColumn("place", place)
+    ranked = ranked.withColumns({"half": F.col("place") <= F.col("size") - half + 1, "long": F.col("place") <= F.col("size") - any_ + 1})
+    ranked = materialise(ranked.where("half or (long and not near)").select("hub", "e", "cls", "component", "n", "size", "near", "half", "long"), "jaccard-prefixes")
+
+    def met(x: DataFrame, y: DataFrame, more: str) -> DataFrame:
+        pair = x.alias("x").join(y.alias("y"), ["hub", "e"])
+        fits = (100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")) & (2 * F.least("x.size", "y.size") >= F.col("x.size") + F.col("y.size") - (F.col("x.n") + F.col("y.n")) / inv - 1e-6)
+        return pair.where(fits & F.expr("x.component <> y.component") & F.expr(more)).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
+
+    near, far = ranked.where("near and half"), ranked.where("not near")
+    pairs = met(near, far.where("long"), "true").union(met(far.where("half"), far.where("half"), "x.cls < y.cls")).distinct()
+    return pairs, found.where("near and cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
+
+
 def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar: first by bounds, then exactly. A written table."""
     facts = classes.select("cls", "n", "buckets")
@@ -352,20 +427,7 @@ def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     near = near.join(facts.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("buckets").alias("q")), "b")
     near = materialise(arrow_map(near.select("a", "b", "n", "m", "p", "q"), bound, "a long, b long"), "jaccard-near")
 
-    wanted = near.select(F.col("a").alias("cls")).union(near.select("b")).distinct().join(classes.select("cls", "rep"), "cls")
-    wanted = materialise(wanted, "jaccard-wanted")
-    rows = wanted.select(F.col("rep").alias("doc_id")).distinct()
-    if wanted.count() <= BROADCAST_IDS:
-        rows = F.broadcast(rows)
-
-    def sets(columns):
-        texts = columns["text"].to_pylist()
-        for a, b in chunks(texts):
-            found = [v for v in shingle_sets(texts[a:b]) if len(v)]
-            yield {"cls": [_class_id(len(v), v)[2] for v in found], "shingles": [v.tobytes() for v in found]}
-
-    read = arrow_map(docs.select("doc_id", "text").join(rows, "doc_id", "left_semi").select("text"), sets, "cls long, shingles binary")
-    read = materialise(read.dropDuplicates(["cls"]), "jaccard-sets")
+    read = _sets(near.select(F.col("a").alias("cls")).union(near.select("b")), classes, docs)
 
     def exact(columns):
         kept = []
@@ -394,21 +456,21 @@ def _rest(docs: DataFrame, classes: DataFrame, costly: DataFrame, links: DataFra
     rows = F.broadcast(rows) if n <= BROADCAST_IDS else rows
     few = docs.select("doc_id", "text").join(rows, "doc_id", "left_semi")
     met = _collisions(_signatures(few, second=True), FEW_SECOND, second=True)
-    hot = _costly(met)
-    pairs = met.where("kind = 0").select("a", "b").union(_stars(hot)).distinct()
+    hot = materialise(_costly(met), "jaccard-costly")
+    hubs = materialise(_hubs(hot), "jaccard-hubs")
+    pairs = met.where("kind = 0").select("a", "b").union(_stars(hot, hubs)).distinct()
     links = links.union(_similar(pairs.join(links, ["a", "b"], "left_anti"), classes, docs))
     if hot.isEmpty():
         return links
     # Members that are linked by now stand together; only pairs across groups are left to compare.
     groups = connected_components(links)
     hot = hot.join(groups.select(F.col("id").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    hot = materialise(hot, "jaccard-costly")
     mixed = hot.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    hot = materialise(hot.join(mixed, "key"), "jaccard-mixed")
-    x, y = hot.alias("x"), hot.alias("y")
-    across = x.join(y, F.col("x.key") == F.col("y.key")).where("x.component < y.component and (x.whole or y.whole)")
-    across = across.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-    return links.union(_similar(across, classes, docs))
+    hot = materialise(hot.select("key", "cls", "component").join(mixed, "key"), "jaccard-mixed")
+    if hot.isEmpty():
+        return links
+    pairs, direct = _across(hot, hubs, classes, docs)
+    return links.union(direct).union(_similar(pairs, classes, docs))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -425,7 +487,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = materialise(classes, "jaccard-classes")
     met = _collisions(_signatures(docs, second=False), FEW, second=False)
     costly = _costly(met)
-    stars = _stars(costly.withColumn("whole", F.lit(True)))
+    stars = _stars(costly, _hubs(costly.withColumn("whole", F.lit(True))))
     links = _similar(met.where("kind = 0").select("a", "b").union(stars), classes, docs)
     links = _rest(docs, classes, costly, links)
     groups = connected_components(links)
