@@ -29,6 +29,8 @@ from .common import materialise
 MODEL_CELLS = 200_000
 #: At most so many languages (those of most documents) are learned.
 MAX_LANGUAGES = 256
+#: Scores of so many unseen words are kept by a task.
+UNSEEN = 100_000
 LONGEST = 5
 UND = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -48,24 +50,31 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
-def _counted(df: DataFrame, words, key: str) -> DataFrame:
-    """Sums of ``words(batch)``, an iterable of ((lang, key), n), over all batches."""
+def _counted(df: DataFrame, keys_of, key: str) -> DataFrame:
+    """Counts by language over all batches of ``keys_of(batch)``, which gives (lang, keys, n): each key n times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen: dict[str, Counter] = {}
 
-        def flush() -> pa.RecordBatch:
-            langs, keys = zip(*seen, strict=True) if seen else ((), ())
-            out = pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(keys, pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", key, "n"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, counter in seen.items():
+                n = len(counter)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(list(counter), pa.string()), pa.array(list(counter.values()), pa.int64())], names=["lang", key, "n"])
             seen.clear()
-            return out
 
         for batch in batches:
-            for more in words(batch):
-                seen.update(more)
-                if len(seen) > _FLUSH:
-                    yield flush()
-        yield flush()
+            for i, (lang, keys, n) in enumerate(keys_of(batch)):
+                counter = seen.get(lang)
+                if counter is None:
+                    counter = seen[lang] = Counter()
+                if n == 1:
+                    counter.update(keys)
+                else:
+                    for k in keys:
+                        counter[k] += n
+                if i % 64 == 0 and sum(map(len, seen.values())) > _FLUSH:
+                    yield from flush()
+        yield from flush()
 
     return df.mapInArrow(run, f"lang string, {key} string, n long").groupBy("lang", key).agg(F.sum("n").alias("n"))
 
@@ -75,7 +84,7 @@ def word_counts(training: DataFrame) -> DataFrame:
 
     def words(batch):
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-            yield {(lang, w): n for w, n in Counter(_WORD.findall((text.as_py() or "").lower())).items()}
+            yield lang, _WORD.findall((text.as_py() or "").lower()), 1
 
     return _counted(training.select("lang", "text"), words, "word")
 
@@ -85,11 +94,7 @@ def gram_counts(counts: DataFrame) -> DataFrame:
 
     def of_words(batch):
         for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            more: Counter = Counter()
-            for k in range(1, LONGEST + 1):
-                for g in grams(word, k):
-                    more[lang, g] += n
-            yield more
+            yield lang, [g for k in range(1, LONGEST + 1) for g in grams(word, k)], n
 
     return _counted(counts.select("lang", "word", "n"), of_words, "gram")
 
@@ -138,6 +143,27 @@ class Model:
         for n in range(1, LONGEST + 1):
             own = None if ngrams is None else ngrams.filter(pc.equal(pc.utf8_length(ngrams["gram"]), n))
             self.grams.append(Logs(own, languages, np.maximum(1.0, np.array(totals[n], float))))
+        self._forget()
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("unseen", "scores")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._forget()
+
+    def _forget(self, room: int = 0):
+        """Unseen words met lately: word -> row of ``scores``, -1 for words of which nothing is known."""
+        self.unseen: dict[str, int] = {}
+        self.scores = np.zeros((max(UNSEEN, room), len(self.languages)))
+
+    def _unseen(self, word: str) -> int:
+        found = self.backoff(word)
+        row = -1 if found is None else len(self.unseen)
+        if found is not None:
+            self.scores[row] = found
+        self.unseen[word] = row
+        return row
 
     def backoff(self, word: str) -> np.ndarray | None:
         """The mean of the longest n-grams that are known; None if not even a letter is."""
@@ -152,19 +178,28 @@ class Model:
         words = _WORD.findall((text or "").lower())
         if not self.languages or not any(map(str.isalpha, words)):
             return UND, 0.0
-        score, n, known, times = np.zeros(len(self.languages)), 0, [], []
-        rows = self.words.rows
-        for word, count in Counter(words).items():
+        counts = Counter(words)
+        if len(self.unseen) + len(counts) > len(self.scores):
+            self._forget(len(counts))
+        known, often, other, times = [], [], [], []
+        rows, unseen = self.words.rows, self.unseen
+        for word, count in counts.items():
             row = rows.get(word)
             if row is not None:
                 known.append(row)
+                often.append(count)
+                continue
+            row = unseen.get(word)
+            if row is None:
+                row = self._unseen(word)
+            if row >= 0:
+                other.append(row)
                 times.append(count)
-            elif (found := self.backoff(word)) is not None:
-                score += count * found
-                n += count
+        score, n = np.zeros(len(self.languages)), sum(often) + sum(times)
         if known:
-            score += np.array(times) @ self.words.table[known]
-            n += sum(times)
+            score += np.array(often) @ self.words.table[known]
+        if other:
+            score += np.array(times) @ self.scores[other]
         if not n:
             return self.languages[self.prior], 1 / len(self.languages)
         best = int(score.argmax())
