@@ -190,7 +190,7 @@ def run(
         rows = base.select("_rid", *scoped, *_names(paths, mapping), F.explode(F.flatten(F.array(*(F.coalesce(a, F.array()) for a in arrays)))).alias("t"))
         rows = rows.select("_rid", *keys, "_given", "_surname_", "t.*").where("text is not null").withColumn("_key", F.concat_ws("/", "_rid", "field", "elem"))
         options = Options(strong, tech, mapping.whitelist, mapping.blacklist, dictionaries)
-        rows = detect(rows, "text", options, out="shown", row="_key", lookup=(F.col("_given"), F.col("_surname_")), hide=anon)
+        rows = detect(rows, "text", options, out="shown", row="_key", lookup=(F.col("_given"), F.col("_surname_")) if mapping.lookup_given else None, hide=anon)
         if anon:
             rows = rows.withColumn("shown", F.regexp_replace("shown", rf"\[{PERSON}_\d+\]", REMOVED))
         texts = materialise(rows.select("_rid", *keys, "field", "elem", "shown", "found"))
