@@ -45,7 +45,10 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def _text(column: str = "text") -> Column:
-    return F.translate(F.coalesce(column, F.lit("")), _UPPER, _UPPER.lower())
+    """A text with A-Z lower-cased. ``lower`` changes further letters, but makes an ASCII letter of the Kelvin sign alone
+    (and i with a mark of the dotted capital I), so it gives the same words of templates and the same number of words."""
+    text = F.coalesce(column, F.lit(""))
+    return F.when(text.contains("\u212a"), F.translate(text, _UPPER, _UPPER.lower())).otherwise(F.lower(text))
 
 
 def _needed(words: list[str], threshold: float) -> int:
@@ -59,6 +62,12 @@ def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return dict.fromkeys(vocabulary, 0) | {r.word: r["count"] for r in found}
 
 
+def _prefix(words: list[str], rank: dict[str, int], threshold: float) -> tuple[list[str], int]:
+    """A template's words in the global order, and how many of them come first: one of these is in any block that holds it."""
+    words = sorted(set(words), key=rank.get)
+    return words, len(words) - _needed(words, threshold) + 1
+
+
 def template_matches(blocks: DataFrame, order: list[str], templates: dict[str, str], threshold: float) -> DataFrame:
     """``blocks`` (key columns, words) joined with the templates they hold: key columns, label, containment.
 
@@ -67,9 +76,8 @@ def template_matches(blocks: DataFrame, order: list[str], templates: dict[str, s
     rank = {w: i for i, w in enumerate(order)}
     index = []
     for label, text in templates.items():
-        words = sorted(set(text.split()), key=rank.get)
-        need = _needed(words, threshold)
-        index += [(w, i, label, words, need) for i, w in enumerate(words[: len(words) - need + 1])]
+        words, first = _prefix(text.split(), rank, threshold)
+        index += [(w, i, label, words, len(words) - first + 1) for i, w in enumerate(words[:first])]
     spark = blocks.sparkSession
     # As many rows as the templates have prefix words, a constant of this module or the caller's argument.
     index = F.broadcast(spark.createDataFrame(index, "word string, t_at int, label string, template array<string>, need int"))
@@ -126,10 +134,12 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
             F.array_compact(F.array(*(F.when(F.size(f"p{k}") > 0, F.lit(x)) for k, x in enumerate(PHRASES)))).alias("base"),
         )
     )
-    # Blocks, of texts that hold enough template words at all.
+    # Blocks, of texts that hold a word of some template's prefix at all.
     known = F.array(*map(F.lit, vocabulary))
+    rank = {w: i for i, w in enumerate(order)}
+    rare = {w for t in templates.values() for words, first in [_prefix(t.split(), rank, threshold)] for w in words[:first]}
     blocks = (
-        read.where(F.size(F.array_intersect("words", known)) >= least)
+        read.where(F.col("low").rlike(f"(?<!{WORD[:-1]})(?:{'|'.join(sorted(rare))})(?!{WORD[:-1]})"))
         .select("doc_id", "key", F.posexplode(F.split("low", BLOCK_END)).alias("block", "line"))
         .select("doc_id", "key", "block", F.array_intersect(F.regexp_extract_all("line", F.lit(WORD), F.lit(0)), known).alias("words"))
         .where(F.size("words") >= least)
