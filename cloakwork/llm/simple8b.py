@@ -9,7 +9,8 @@ A shard file holds documents in ascending doc_id order:
 
 A block holds ``BLOCK`` ids (the last one fewer), so a reader can start at any block. Ids of more
 than 30 bits are escaped: each takes a word of its own. Null and empty texts hold the end id alone;
-repeated rows are stored once each.
+repeated rows are stored once each, in the order of their texts. Rows without doc_id come first and
+carry the smallest 64-bit number in its place.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from .common import arrow_map, chunks, materialise, new_path
 MAGIC = b"CWS8B\x01\0\0"
 BLOCK = 4096
 SHARD_IDS = 1 << 20
+NO_ID = -(1 << 63)
 #: How many ids of how many bits each selector of Simple-8b packs.
 SELECTORS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 _COUNTS = np.array([n for n, _ in SELECTORS])
@@ -106,7 +108,7 @@ def decode_ids(words: np.ndarray) -> np.ndarray:
 def shard_bytes(doc_ids: list, lengths: list[int], ids: bytes, before: int) -> bytes:
     words, blocks = encode_ids(np.frombuffer(ids, "<u4"))
     head = np.array([len(doc_ids), len(ids) // 4, len(blocks) - 1, before], "<i8")
-    return b"".join([MAGIC, head.tobytes(), np.array(doc_ids, "<i8").tobytes(), np.array(lengths, "<i8").tobytes(), blocks.tobytes(), words.tobytes()])
+    return b"".join([MAGIC, head.tobytes(), np.array([NO_ID if x is None else x for x in doc_ids], "<i8").tobytes(), np.array(lengths, "<i8").tobytes(), blocks.tobytes(), words.tobytes()])
 
 
 class Shard:
@@ -182,7 +184,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 0, vocabulary: str | Non
 
     store, root = fs.FileSystem.from_uri(path)
     store.create_dir(root)
-    ordered = docs.select("doc_id", "text").where("doc_id is not null").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(run, "partition int, shard int, path string, n_docs long, n_ids long")
 
 
@@ -205,7 +207,7 @@ def read_ids(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
             ends = np.cumsum(shard.lengths)
             starts = ends - shard.lengths
             yield {
-                "doc_id": shard.doc_ids,
+                "doc_id": pa.array(shard.doc_ids, mask=shard.doc_ids == NO_ID),
                 "start": starts + first,
                 "n_tokens": shard.lengths,
                 "ids_crc32": [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)],

@@ -120,3 +120,5 @@ def test_simple8b_files(spark, bpe):
         assert (got[k].start, got[k].n_tokens, got[k].ids_crc32) == (before, len(own), crc(own))
         before += len(own)
     assert simple8b.encode_round_trip(frame(spark, texts).limit(0)).count() == 0
+    rows = spark.createDataFrame([(1, "a"), (None, "b c"), (1, "a"), (-5, None)], "doc_id long, text string")
+    assert sorted(((r.doc_id is not None, r.doc_id), r.start, r.n_tokens) for r in simple8b.encode_round_trip(rows).collect()) == [((False, None), 0, 3), ((True, -5), 3, 1), ((True, 1), 4, 2), ((True, 1), 6, 2)]
