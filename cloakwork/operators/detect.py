@@ -47,6 +47,8 @@ class Options:
     dictionaries: Dictionaries = field(default_factory=Dictionaries)
     #: If given, only the stages of these names run.
     names: tuple[str, ...] = ()
+    #: An array column of person names that a model has found in the text.
+    entities: str | None = None
 
 
 @dataclass(frozen=True)
@@ -168,6 +170,13 @@ def lookups(given: Column, surname: Column, hide: bool) -> list[Stage]:
     return [Stage(stat, F.when(on, p), HIDDEN if hide else "personne", risk=None, stat=stat, guard=False) for stat, on, p in patterns]
 
 
+def _entities(names: Column) -> Column:
+    """A pattern of the names that have three letters or more and begin with a capital, the longest first."""
+    kept = F.array_distinct(F.filter(names, lambda n: (F.length(n) >= 3) & n.rlike(r"^\p{Lu}")))
+    kept = F.array_sort(kept, lambda a, b: F.length(b) - F.length(a))
+    return F.when(F.size(kept) > 0, F.concat(F.lit("(?U)\\b(?:"), F.array_join(F.transform(kept, T.quoted), "|"), F.lit(")\\b")))
+
+
 def stages(options: Options) -> list[Stage]:
     """All stages in their order; those of strong and technical mode carry it in ``only``."""
     d = options.dictionaries
@@ -248,6 +257,10 @@ def stages(options: Options) -> list[Stage]:
         typed("cp_txt", r"(?U)\b\d{5}\b", "CP", None, only="strong", hint="digit"),
         Stage("salutation", rf"(?U)\b(?:{greeting})[ \t]+{name}(?:[ \t]+{name})*", stat="salutation", accept=lambda m: not_stopword(F.regexp_replace(m.value, greeted, "")), part=lambda m: F.regexp_replace(m, greeted, ""), kept=lambda m: F.regexp_extract(m, f"({greeted})", 1)),
         Stage("titre", rf"(?iU)\b(?:M\.|Mme\.?|Mlle\.?|monsieur|madame|mademoiselle)\s*[{UPPER}](?:[{LOWER}]+|[{UPPER}]+)[{LETTER}'-]*(?:\s+[{UPPER}][{LETTER}'-]+)*", stat="titre"),
+        *(
+            [Stage("nlp", _entities(F.col(options.entities)), stat="nlp", accept=lambda m: not_stopword(m.value) & free(m) & (given(m, first_word(m.value)) | m.value.rlike(r"(?U)^\p{Lu}\S*(?:\s+\p{Lu}\S*)+$")))]
+            if options.entities else []
+        ),
         Stage(
             "prenom_nom_maj", rf"(?U)\b[{UPPER}][{LOWER}'-]+ +[{UPPER}]{{2,}}[A-ZÀ-ÖØ-öø-ÿ'-]*(?: +[{UPPER}][{LETTER}'-]+)*", stat="prenom_nom_maj", hit=True, only="strong", hint="capitals",
             accept=lambda m: not_stopword(m.value) & free(m) & ~((F.size(F.split(m.value, " +")) == 2) & F.element_at(F.split(m.value, " +"), -1).isin(d.kept_capitals)),
@@ -301,7 +314,7 @@ def detect(df: DataFrame, column: str, options: Options = Options(), out: str =
     dictionaries that are tables. Null texts stay null and have no detections.
     """
     d = options.dictionaries
-    words = {"given": _known(df, column, d.given_names, "given", row) if options.strong else None, "surname": _known(df, column, d.surnames, "surname", row) if options.strong else None}
+    words = {"given": _known(df, column, d.given_names, "given", row) if options.strong or options.entities else None, "surname": _known(df, column, d.surnames, "surname", row) if options.strong else None}
     for name, value in words.items():
         if isinstance(value, tuple):
             df, words[name] = value

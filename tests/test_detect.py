@@ -99,6 +99,13 @@ def test_lists_and_neighbours(spark):
     assert "] ," not in shown[2] and "DURAND" not in shown[2].split("]")[0]
 
 
+def test_names_of_a_model(spark):
+    rows = [(1, "vu Marie hier avec Jean Valjean et Paul", ["Marie", "Jean Valjean", "Jean", "Paul"]), (2, "école Jean Valjean", ["Jean Valjean"]), (3, "rien", []), (4, "rien", None)]
+    df = spark.createDataFrame(rows, "i int, t string, people array<string>")
+    found, shown = stats(df, Options(entities="people", dictionaries=Dictionaries(given_names=["Marie"])))
+    assert found == [["nlp", "nlp"], [], [], []] and shown[0].endswith(" et Paul") and shown[1:] == [r[1] for r in rows[1:]]
+
+
 def test_functions(spark):
     df = spark.createDataFrame([("Mme  Dupont Marie",), ("marie DUPONT",), ("M. Petit",), ("[PERSONNE_3] Zoé",), ("d'Arc Jeanne",), ("42",)], "v string")
     assert [r.k for r in df.select(T.person_key(F.col("v")).alias("k")).collect()] == ["dupont marie", "dupont marie", "m petit", "zoé", "d'arc jeanne", ""]
