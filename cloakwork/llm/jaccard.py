@@ -338,7 +338,7 @@ def _costly(met: DataFrame) -> DataFrame:
 
 
 def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """cls and shingles (a set's hashes, ascending) of the classes in ``wanted``. A written table."""
+    """cls, shingles (a set's hashes, ascending) and tails (their last 16 bits, each once) of the classes in ``wanted``. A written table."""
     wanted = materialise(wanted.distinct().join(classes.select("cls", "rep"), "cls"), "jaccard-wanted")
     rows = wanted.select(F.col("rep").alias("doc_id")).distinct()
     if wanted.count() <= BROADCAST_IDS:
@@ -348,9 +348,10 @@ def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
         texts = columns["text"].to_pylist()
         for a, b in chunks(texts):
             found = [v for v in shingle_sets(texts[a:b]) if len(v)]
-            yield {"cls": [_class_id(len(v), v)[2] for v in found], "shingles": [v.tobytes() for v in found]}
+            tails = [np.unique(v.astype(np.uint16)).tobytes() for v in found]
+            yield {"cls": [_class_id(len(v), v)[2] for v in found], "shingles": [v.tobytes() for v in found], "tails": tails}
 
-    read = arrow_map(docs.select("doc_id", "text").join(rows, "doc_id", "left_semi").select("text"), sets, "cls long, shingles binary")
+    read = arrow_map(docs.select("doc_id", "text").join(rows, "doc_id", "left_semi").select("text"), sets, "cls long, shingles binary, tails binary")
     return materialise(read.dropDuplicates(["cls"]), "jaccard-sets")
 
 
@@ -396,11 +397,14 @@ def _across(hot: DataFrame, hubs: DataFrame, classes: DataFrame, docs: DataFrame
     any_ = F.greatest(F.lit(1), F.ceil((F.col("size") - (F.col("m") + F.col("n")) / inv) / 2 - 1e-6))
     ranked = each.join(common, ["hub", "e"]).withColumn("place", place)
     ranked = ranked.withColumns({"half": F.col("place") <= F.col("size") - half + 1, "long": F.col("place") <= F.col("size") - any_ + 1})
-    ranked = materialise(ranked.where("half or (long and not near)").select("hub", "e", "cls", "component", "n", "size", "near", "half", "long"), "jaccard-prefixes")
+    ranked = materialise(ranked.where("half or (long and not near)").select("hub", "e", "cls", "component", "n", "size", "place", "near", "half", "long"), "jaccard-prefixes")
 
     def met(x: DataFrame, y: DataFrame, more: str) -> DataFrame:
         pair = x.alias("x").join(y.alias("y"), ["hub", "e"])
-        fits = (100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")) & (2 * F.least("x.size", "y.size") >= F.col("x.size") + F.col("y.size") - (F.col("x.n") + F.col("y.n")) / inv - 1e-6)
+        need = (F.col("x.size") + F.col("y.size") - (F.col("x.n") + F.col("y.n")) / inv) / 2 - 1e-6
+        # What can still be common from here on; at the first common element that is all of it.
+        rest = 1 + F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+        fits = (rest >= need) & (100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")) & (F.least("x.size", "y.size") >= need)
         return pair.where(fits & F.expr("x.component <> y.component") & F.expr(more)).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
 
     near, far = ranked.where("near and half"), ranked.where("not near")
@@ -421,14 +425,24 @@ def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
             p, q = (np.frombuffer(b"".join(columns[c].to_pylist()), "<u2").reshape(-1, 64).astype(np.int64) for c in ("p", "q"))
             ok &= np.abs(p - q).sum(axis=1) <= total * (100 - PERCENT) // (100 + PERCENT)
         keep = pa.array(ok)
-        yield {"a": columns["a"].filter(keep), "b": columns["b"].filter(keep)}
+        yield {c: columns[c].filter(keep) for c in ("a", "b", "n", "m")}
 
     near = pairs.distinct().join(facts.select(F.col("cls").alias("a"), "n", F.col("buckets").alias("p")), "a")
     near = near.join(facts.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("buckets").alias("q")), "b")
-    near = materialise(arrow_map(near.select("a", "b", "n", "m", "p", "q"), bound, "a long, b long"), "jaccard-near")
+    near = materialise(arrow_map(near.select("a", "b", "n", "m", "p", "q"), bound, "a long, b long, n long, m long"), "jaccard-near")
 
     read = _sets(near.select(F.col("a").alias("cls")).union(near.select("b")), classes, docs)
 
+    def brief(columns):
+        """Keep the pairs that the last 16 bits of their hashes allow: values in common, and repeated ones besides."""
+        kept = []
+        for x, y, n, m in zip(columns["x"], columns["y"], columns["n"].to_pylist(), columns["m"].to_pylist(), strict=True):
+            x, y = np.frombuffer(x.as_py(), np.uint16), np.frombuffer(y.as_py(), np.uint16)
+            both = len(np.intersect1d(x, y, assume_unique=True)) + min(n - len(x), m - len(y))
+            kept.append(100 * both >= PERCENT * (n + m - both))
+        keep = pa.array(kept, pa.bool_())
+        yield {"a": columns["a"].filter(keep), "b": columns["b"].filter(keep)}
+
     def exact(columns):
         kept = []
         for x, y in zip(columns["x"], columns["y"], strict=True):
@@ -438,6 +452,9 @@ def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
         keep = pa.array(kept, pa.bool_())
         yield {"a": columns["a"].filter(keep), "b": columns["b"].filter(keep)}
 
+    short = near.join(read.select(F.col("cls").alias("a"), F.col("tails").alias("x")), "a")
+    short = short.join(read.select(F.col("cls").alias("b"), F.col("tails").alias("y")), "b")
+    near = materialise(arrow_map(short.select("a", "b", "n", "m", "x", "y"), brief, "a long, b long"), "jaccard-short")
     full = near.join(read.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a")
     full = full.join(read.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
     return materialise(arrow_map(full.select("a", "b", "x", "y"), exact, "a long, b long"), "jaccard-links")
