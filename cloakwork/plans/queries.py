@@ -170,9 +170,9 @@ def preview_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preview(before, run(before, CUSTOMER, limit=10).records, ["c_name", "c_nationkey"])
 
 
-def infer_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = table(spark, sf_dir, "customer")
-    return infer.as_rows(customer, infer.infer_mapping(customer))
+def infer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").orderBy("doc_id")
+    return infer.as_rows(docs, infer.infer_mapping(docs))
 
 
 def analyse_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +199,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         det_url, doc_risk, risk_by_source, counts_by_type, samples_top5, email_rewrite, has_city, upper_words, tok_customer, anon_customer, vault_export, vault_search, vault_page,
-        restore_roundtrip, unwrap_props, rewrap_props, preview_diff, infer_customer, analyse_documents, protect_documents, score_conversations,
+        restore_roundtrip, unwrap_props, rewrap_props, preview_diff, infer_documents, analyse_documents, protect_documents, score_conversations,
     )
 }
 
@@ -232,5 +232,6 @@ ORACLES = {
     "unwrap_props": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "rewrap_props": "WITH e AS (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events), v AS (SELECT k, '[K_' || row_number() OVER (ORDER BY min(event_id)) || ']' AS t FROM e WHERE k IS NOT NULL GROUP BY k) SELECT event_id, t AS k FROM e LEFT JOIN v USING (k)",
     "preview_diff": _VAULT + "SELECT _rid, field, before, after, before IS DISTINCT FROM after AS changed FROM (SELECT c_custkey AS _rid, 'c_name' AS field, c_name AS before, '[NOM_' || row_number() OVER (ORDER BY c_custkey) || ']' AS after FROM customer UNION ALL SELECT c_custkey, 'c_nationkey', CAST(c_nationkey AS VARCHAR), CAST(c_nationkey AS VARCHAR) FROM customer) WHERE _rid IN (SELECT c_custkey FROM customer ORDER BY 1 LIMIT 10)",
+    "infer_documents": "SELECT 'doc_id' AS path, 'id' AS type, 'ID' AS prefix UNION ALL SELECT 'text', 'text', NULL WHERE (SELECT length(text) FROM documents ORDER BY doc_id LIMIT 1) > 80",
     "analyse_documents": f"SELECT count(*) AS n, CAST(round_even(avg(s), 0) AS BIGINT) AS mean, CAST(max(s) AS BIGINT) AS max, CASE WHEN round_even(avg(s), 0) < 1 THEN 'NUL' WHEN round_even(avg(s), 0) < 10 THEN 'FAIBLE' ELSE 'MODERE' END AS level FROM (SELECT 3 * len(regexp_extract_all(text, '{EMAIL}')) AS s FROM documents)",
 }
