@@ -158,7 +158,9 @@ def run(
         base = materialise(base.orderBy("_rid").limit(limit))
     inner = json_schema(base, mapping.unwrap) if mapping.unwrap else None
     if inner is not None:
-        base = base.withColumn("_un", F.from_json(mapping.unwrap, inner))
+        # A broken text would give an object of nulls; it gives none.
+        sound = F.expr(f"try_parse_json(`{mapping.unwrap}`)").isNotNull()
+        base = base.withColumn("_un", F.when(sound, F.from_json(mapping.unwrap, inner)))
         if on_error == "drop":
             base = base.where(F.col("_un").isNotNull() | (F.trim(F.coalesce(mapping.unwrap, F.lit(""))) == ""))
     paths = _Paths(base.select(*columns).schema, mapping.unwrap, inner)
