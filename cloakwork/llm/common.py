@@ -9,10 +9,19 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of one Arrow batch between the JVM and a Python worker.
+BATCH_BYTES = "4m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of text that a Python task handles at once; bounds its working memory whatever the batch holds.
 CHUNK_BYTES = 2 << 20
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are bounded by bytes, so long texts don't fill a worker's memory."""
+    df.sparkSession.conf.set(_BATCH, BATCH_BYTES)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -68,4 +77,4 @@ def arrow_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
                     names=arrow.names,
                 )
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, small_batches
 
 WINDOW, RATE, Q, LEAST = 80, 0.1, 8, 24
 BLOCK_CHARS = 4_000_000
@@ -235,7 +235,7 @@ def matches(
                 columns = list(zip(*rows, strict=True)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
-        return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+        return small_batches(docs).select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
     return reduce(DataFrame.union, map(searched, _indexes(benchmark, window, rate, q, least, block_chars)))
 
@@ -252,6 +252,6 @@ def clean(
                 keep = [not items for a, b in chunks(texts) for items in find(shared.value, texts[a:b])]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        return left.mapInArrow(run, left.schema)
+        return small_batches(left).mapInArrow(run, left.schema)
 
     return reduce(without, _indexes(benchmark, window, rate, q, least, block_chars), docs)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, chunks, materialise
+from .common import arrow_map, chunks, materialise, small_batches
 from .components import connected_components
 
 SHINGLE = 5
@@ -239,7 +239,7 @@ def _signatures(docs: DataFrame, second: bool) -> DataFrame:
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(members))], names=["key", "member"])
 
-    return docs.select("text").mapInArrow(run, "key long, member long")
+    return small_batches(docs).select("text").mapInArrow(run, "key long, member long")
 
 
 class _Runs:

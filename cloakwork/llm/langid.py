@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import materialise
+from .common import materialise, small_batches
 
 #: The word model has at most so many counts; so has the model of n-grams.
 MODEL_CELLS = 200_000
@@ -76,7 +76,7 @@ def _counted(df: DataFrame, keys_of, key: str) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    return df.mapInArrow(run, f"lang string, {key} string, n long").groupBy("lang", key).agg(F.sum("n").alias("n"))
+    return small_batches(df).mapInArrow(run, f"lang string, {key} string, n long").groupBy("lang", key).agg(F.sum("n").alias("n"))
 
 
 def word_counts(training: DataFrame) -> DataFrame:
@@ -236,7 +236,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             columns = [*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred", "score"])
 
-    return kept.mapInArrow(run, schema)
+    return small_batches(kept).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, folds: int = 5) -> DataFrame:

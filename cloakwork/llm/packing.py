@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bytebpe import encoder, vocabulary_path
-from .common import chunks
+from .common import chunks, small_batches
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -134,4 +134,4 @@ def pack(docs: DataFrame, window: int = 1024, end_id: int = 0, vocabulary: str |
         packer.finish()
         yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, SCHEMA)

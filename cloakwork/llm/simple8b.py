@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytebpe import encoder, vocabulary_path
-from .common import arrow_map, chunks, materialise, new_path
+from .common import arrow_map, chunks, materialise, new_path, small_batches
 
 MAGIC = b"CWS8B\x01\0\0"
 BLOCK = 4096
@@ -184,7 +184,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 0, vocabulary: str | Non
 
     store, root = fs.FileSystem.from_uri(path)
     store.create_dir(root)
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = small_batches(docs).select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(run, "partition int, shard int, path string, n_docs long, n_ids long")
 
 

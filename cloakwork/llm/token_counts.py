@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, chunks, materialise
+from .common import arrow_map, chunks, materialise, small_batches
 
 SPACE = "▁"
 #: The broadcast table has at most so many pre-tokens, each of at most so many characters.
@@ -88,7 +88,7 @@ def vocabulary_counts(docs: DataFrame, path: str) -> DataFrame:
     def count(columns):
         yield {"piece": columns["piece"], "n": columns["n"], "n_tokens": splitter(path).count(columns["piece"].to_pylist())}
 
-    found = docs.select("text").mapInArrow(distinct, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    found = small_batches(docs).select("text").mapInArrow(distinct, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     return arrow_map(found, count, "piece string, n long, n_tokens long")
 
 
