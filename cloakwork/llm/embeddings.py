@@ -2,9 +2,10 @@
 
 Equal vectors of one label are one class. In each pass the classes are ordered by label and a string
 of random projection signs, and each is compared with its next ``neighbours``; pairs of cosine
-``threshold`` or more are links. The passes' links are united and their components found on Spark. A
-dense group may hold more links than bounded windows show, so all members of a component are then
-compared block by block, whatever its size; only the number of links of each vector comes out.
+``threshold`` or more are links. The passes' links are united and their components found on Spark:
+groups. Bounded windows miss links, so each vector is then compared with all of its label, block by
+block, leaving out what lies too far from a tile of a group to link with any of it. Links are counted,
+and those between groups join them, so links and components are exact; the passes save work only.
 
 Vectors that are null, zero or hold null or non-finite components, and those without a label, link
 with nothing; vectors of other lengths are compared with their like only. Rows without vec_id aren't
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +27,10 @@ from .components import connected_components
 
 PASSES, BITS, NEIGHBOURS = 16, 64, 10
 THRESHOLD = 0.98
-#: Vectors of a component in one block; two blocks are compared at once.
-BLOCK = 512
+#: Vectors of a label in one block, as long as it has at most so many blocks; then blocks grow. Two blocks are compared at once.
+BLOCK, BLOCKS, LARGEST = 512, 16, 32_768
+#: Vectors that are compared with a block at once; those of one group stand together.
+TILE = 256
 _SEED = 20_240_607
 
 
@@ -148,27 +152,67 @@ def _windows(classes: DataFrame, passes: int, bits: int, neighbours: int, thresh
     return slid.where("kind = -1").select(F.col("id").alias("a"), F.col("other").alias("b")).union(borders).distinct()
 
 
-def _counted(members: DataFrame, threshold: float) -> DataFrame:
-    """id and links (weights of the linked classes) in each component: members (component, id, weight, unit) by pairs of blocks."""
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = materialise(members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "embedding-blocks")
-    # Each block meets every block of its component: as the one that is counted, and as the other one.
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    mine = dealt.select("component", "block", F.explode(every).alias("with"), F.lit(True).alias("mine"), "id", "weight", "unit")
-    theirs = dealt.select("component", F.explode(every).alias("block"), F.col("block").alias("with"), F.lit(False).alias("mine"), "id", "weight", "unit")
-
-    def count(table: pa.Table) -> pa.Table:
-        own = table.filter(table["mine"])
-        other = table.filter(pa.compute.invert(table["mine"]))
-        ids = own["id"].to_numpy()
-        links = np.zeros(len(ids), np.int64)
-        if len(ids) and len(other):
-            a, b = _matrix(own["unit"]), _matrix(other["unit"])
-            close = (a @ b.T >= threshold) & (ids[:, None] != other["id"].to_numpy()[None, :])
-            links = close @ other["weight"].to_numpy()
-        return pa.table({"id": pa.array(ids, pa.int64()), "links": pa.array(links, pa.int64())})
+def _meet(own: pa.Table, other: pa.Table | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of each row of two blocks, by weight, and the pairs of groups that links join. Without ``other`` a block meets itself."""
+    a, b = own, own if other is None else other
+    ids, weights, groups, units = zip(*((t["id"].to_numpy(), t["weight"].to_numpy(), t["group"].to_numpy(), _matrix(t["unit"])) for t in (a, b)), strict=True)
+    links = [np.zeros(len(x)) for x in ids]
+    pairs = [np.zeros((0, 2), np.int64)]
+    reach = np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
+    for start in range(0, len(ids[0]), TILE):
+        tile = slice(start, start + TILE)
+        unit = units[0][tile]
+        # Links of the tile lie within reach of the ball around it.
+        centre = unit.mean(axis=0)
+        radius = np.sqrt(((unit - centre) ** 2).sum(axis=1).max())
+        far = np.sqrt(np.maximum(0.0, 1 - 2 * (units[1] @ centre) + centre @ centre)) > radius + reach
+        if other is None:
+            far[:start] = True
+        beside = np.flatnonzero(~far)
+        for begin in range(0, len(beside), 4096):
+            near = beside[begin : begin + 4096]
+            i, j = np.nonzero(unit @ units[1][near].T >= threshold)
+            i, j = i + start, near[j]
+            if other is None:
+                i, j = i[i < j], j[i < j]
+            links[0] += np.bincount(i, weights[1][j], len(links[0]))
+            links[1] += np.bincount(j, weights[0][i], len(links[1]))
+            joined = np.stack([groups[0][i], groups[1][j]], axis=1)
+            joined = np.sort(joined[joined[:, 0] != joined[:, 1]], axis=1)
+            if len(joined):
+                pairs.append(np.unique(joined, axis=0))
+    if other is None:
+        return ids[0], links[0] + links[1], np.unique(np.concatenate(pairs), axis=0)
+    return np.concatenate(ids), np.concatenate(links), np.unique(np.concatenate(pairs), axis=0)
+
+
+def _completed(members: DataFrame, threshold: float) -> DataFrame:
+    """All links of ``members`` (label, group, id, weight, unit), each compared with all of its label and length by pairs of blocks.
+
+    Rows of kind 0: a is an id and b a number of its links; of kind 1: a and b are groups that a link joins.
+    """
+    of = ["label", "length"]
+    members = members.withColumn("length", F.length("unit"))
+    # Labels of up to BLOCKS * BLOCK vectors have blocks of about BLOCK; beyond it blocks grow up to LARGEST.
+    blocks = F.greatest(F.least(F.ceil(F.count("*") / BLOCK), F.lit(BLOCKS)), F.ceil(F.count("*") / LARGEST)).cast("int")
+    dealt = members.join(members.groupBy(*of).agg(blocks.alias("blocks")), of).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
+    met = dealt.select(*of, "block", every, "group", "id", "weight", "unit").withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")}).drop("with")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("group", "ascending"), ("id", "ascending")])
+        low, high = table["low"][0].as_py(), table["high"][0].as_py()
+        own = table.filter(pc.equal(table["block"], low))
+        other = None if low == high else table.filter(pc.equal(table["block"], high))
+        if not len(own) or other is not None and not len(other):
+            ids, links, pairs = np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 2), np.int64)
+        else:
+            ids, links, pairs = _meet(own, other, threshold)
+        linked = links > 0
+        kinds = np.repeat(np.array([0, 1], np.int32), [linked.sum(), len(pairs)])
+        return pa.table({"kind": kinds, "a": np.concatenate([ids[linked], pairs[:, 0]]), "b": np.concatenate([links[linked].astype(np.int64), pairs[:, 1]])})
 
-    return mine.union(theirs).groupBy("component", "block", "with").applyInArrow(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    return met.groupBy(*of, "low", "high").applyInArrow(compare, "kind int, a long, b long")
 
 
 def near_duplicates(
@@ -181,11 +225,16 @@ def near_duplicates(
     classes = classes.withColumn("key", F.xxhash64("label", "unit"))
     classes = materialise(classes, "embedding-classes")
     links = materialise(_windows(classes.select("label", "unit", F.col("key").alias("id")), passes, bits, neighbours, threshold), "embedding-links")
-    groups = materialise(connected_components(links), "embedding-groups")
-    members = classes.withColumnRenamed("id", "smallest").join(groups.withColumnRenamed("id", "key"), "key")
-    counted = _counted(members.select("component", F.col("key").alias("id"), "weight", "unit"), threshold)
+    groups = materialise(connected_components(links), "embedding-groups").withColumnRenamed("id", "key")
+    members = classes.join(groups, "key", "left").select("label", F.coalesce("component", "key").alias("group"), "key", F.col("id").alias("smallest"), "weight", "unit")
+    members = materialise(members, "embedding-members")
+    found = materialise(_completed(members.select("label", "group", F.col("key").alias("id"), "weight", "unit"), threshold), "embedding-completed")
+    counted = found.where("kind = 0").groupBy(F.col("a").alias("key")).agg(F.sum("b").alias("links"))
+    # Groups that the passes left apart.
+    joined = materialise(connected_components(found.where("kind = 1").select("a", "b")), "embedding-joined").withColumnRenamed("id", "group")
+    members = members.join(joined, "group", "left").select("key", F.coalesce("component", "group").alias("component"), "smallest")
     names = members.groupBy("component").agg(F.min("smallest").alias("component_id"))
-    facts = members.join(names, "component").join(counted.withColumnRenamed("id", "key"), "key", "left")
+    facts = members.join(names, "component").join(counted, "key", "left")
     facts = facts.select("key", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
     known = classes.join(facts, "key", "left").select("label", "unit", F.coalesce("component_id", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     out = rows.join(known, ["label", "unit"], "left")

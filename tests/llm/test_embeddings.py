@@ -59,6 +59,26 @@ def test_near_duplicates(spark, monkeypatch, seed, block, neighbours):
     assert got == brute(rows)
 
 
+def test_stars_and_a_hot_label(spark):
+    """Members near their original but not near each other, in a label of most rows: windows alone miss many."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for size in (600, 150):
+        centre = rng.standard_normal(64)
+        centre /= np.linalg.norm(centre)
+        rows.append(centre)
+        for _ in range(size):
+            off = rng.standard_normal(64)
+            off -= off @ centre * centre
+            rows.append(0.985 * centre + np.sqrt(1 - 0.985**2) * off / np.linalg.norm(off))
+    rows += list(rng.standard_normal((250, 64)))
+    rows = [(i, v.tolist(), int(i % 7 == 0 and i > 760)) for i, v in enumerate(rows)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df).collect()}
+    assert got == brute(rows)
+    assert got[0][0] == 600 and got[601][0] == 150
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embeddings.near_duplicates(df).count() == 0
