@@ -5,8 +5,10 @@ tag or word together with the elements it stands in. Tokens that occur equally o
 of the group form a class; a class is valid if its tokens keep one order on every page, and the
 valid classes that nest in each other, the largest first, are the group's template. What lies
 between template tokens are slots. The main text is the text of the slots inside the article: the
-container that says so (article, main, or their roles), else the container whose slots hold most
-words. Menus, footers, forms, comments and the like are known by element names and by words of
+container that says so (article, main, or their roles), else the one found for the page's layout: of
+the pages that have slots in the container of most words, the lowest element that holds all slots but
+what stands in lighter containers beside it; then the same for the pages left. Ids and classes of one
+page only don't tell containers apart. Menus, footers, forms, comments and the like are known by element names and by words of
 class, id and role. Template text inside the article is kept, outside it is dropped.
 
 Null and empty html give an empty text. A page without a host, or alone in its group, has a template
@@ -29,6 +31,11 @@ GROUP_PAGES = 128
 BROADCAST_HOSTS = 50_000
 #: A class holds at least so many tokens.
 CLASS_SIZE = 3
+#: Without article or main: a container goes on to the one inside it that holds at least this share of its words,
+#: unless at least ``BESIDE`` of its words, or slots of half of the pages, stand in it directly.
+INSIDE, BESIDE = 0.75, 0.1
+#: A page belongs to a layout if the layout's heaviest container holds this share of its words.
+LAYOUT = 0.1
 
 #: Names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,6 +44,10 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Parts of the text they stand in, never containers of a main text.
+PARTS = frozenset("address blockquote caption dd details dialog dir dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr legend li menu ol p pre summary ul".split())
+_CELLS = frozenset("table tbody thead tfoot tr td th".split())
+_DIGITS = re.compile(r"\d+")
 OUTSIDE = frozenset("nav footer aside form head menu dialog".split())
 #: What an opening tag closes: an open element of these names, up to the nearest list, table or container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -205,36 +216,120 @@ def _judge(path: tuple[str, ...]) -> tuple[bool, int]:
     return False, main
 
 
+def _generic(pages: list[Page], numbers: dict, paths: dict) -> list[tuple[str, ...]]:
+    """Each path without the classes, ids and roles of one page only; digits of words on few pages count as one.
+
+    Tokens that differ by these alone become equal.
+    """
+    every = list(paths)
+    if len(pages) < 2 or not any(" " in x for path in every for x in path):
+        return every
+    number_path = np.fromiter((at for _, at in numbers), np.int64, len(numbers))
+    on: Counter = Counter()
+    for page in pages:
+        used = np.unique(number_path[np.array(page.tokens, np.int64)]).tolist()
+        on.update({word for element in {x for at in used for x in every[at]} for word in element.split(" ")[1:]})
+    few = len(pages) / 4
+
+    def shown(element: str) -> str:
+        name, *words = element.split(" ")
+        kept = [_DIGITS.sub("#", w) if on[w] < few else w for w in words if on[w] > 1]
+        return " ".join([name, *kept])
+
+    elements = {x: shown(x) for path in every for x in path}
+    generic = [tuple(elements[x] for x in path) for path in every]
+    if generic != every:
+        known: dict = {}
+        place = [known.setdefault(path, i) for i, path in enumerate(generic)]
+        # As numbers of tokens: those of the first path that looks the same.
+        same: dict = {}
+        to = np.array([same.setdefault((word, place[at]), k) for (word, at), k in numbers.items()], np.int64)
+        for page in pages:
+            page.tokens = to[np.array(page.tokens, np.int64)].tolist()
+    return generic
+
+
+def _region(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The innermost container of a path; a table's cells are containers if they hold blocks, else the table is part of the text."""
+    names = [x.split(" ", 1)[0] for x in path]
+    depth = next((i for i, x in enumerate(names) if x in PARTS), len(names))
+    while depth and (names[depth - 1] not in BLOCKS or names[depth - 1] in _CELLS and not any(x in BLOCKS for x in names[depth:])):
+        depth -= 1
+    return path[:depth]
+
+
+def _containers(slots: list[Counter]) -> list[tuple[str, ...]]:
+    """The container of the main text of each page, by the words of its slots in each region."""
+    found: list[tuple[str, ...]] = [()] * len(slots)
+    left = [i for i, own in enumerate(slots) if own]
+    while left:
+        weight: Counter = Counter()
+        for i in left:
+            weight.update(slots[i])
+        seed = max(weight, key=weight.get)
+        holding = [i for i in left if seed in slots[i]]
+        layout = [i for i in holding if slots[i][seed] >= LAYOUT * slots[i].total()] or holding
+        words: Counter = Counter()
+        for i in layout:
+            words.update(slots[i])
+        node: tuple[str, ...] = ()
+        while True:
+            depth = len(node)
+            inside: Counter = Counter()
+            for region, n in words.items():
+                if region[:depth] == node and len(region) > depth:
+                    inside[region[: depth + 1]] += n
+            total = words[node] + inside.total()
+            direct = sum(node in slots[i] for i in layout)
+            if not inside or 2 * direct >= len(layout) or words[node] >= BESIDE * total:
+                break
+            best = max(inside, key=inside.get)
+            if inside[best] < INSIDE * total:
+                break
+            node = best
+        for i in layout:
+            # A page of the layout that has nothing there keeps what it has.
+            found[i] = node if any(region[: len(node)] == node for region in slots[i]) else ()
+        done = set(layout)
+        left = [i for i in left if i not in done]
+    return found
+
+
 def extract(htmls: list[str | None]) -> list[str]:
     """The main texts of pages that share a template."""
     numbers: dict = {}
     paths: dict = {}
     pages = [Page(h or "", numbers, paths) for h in htmls]
+    generic = _generic(pages, numbers, paths)
     template = template_tokens(pages, len(numbers))
-    judged = {k: (path, *_judge(path)) for path, k in paths.items()}
-    slots = []
-    weight: Counter = Counter()
+    judged = {k: _judge(path) for path, k in paths.items()}
+    kept = []
     for page in pages:
         own = []
         tokens = np.array(page.tokens, np.int64)
         for at, raw, a, b in page.blocks:
-            path, out, main = judged[at]
+            out, main = judged[at]
             if out or b <= a:
                 continue
             # A block all of whose words are template words is no slot.
-            is_slot = not template[tokens[a:b]].all()
-            own.append((path, main, is_slot, raw))
-            if is_slot and not main:
-                depth = max((i for i, x in enumerate(path) if x.split(" ", 1)[0] in BLOCKS and x.split(" ", 1)[0] not in ("p", "li")), default=-1) + 1
-                weight[path[:depth]] += b - a
-        slots.append(own)
-    best = max(weight, key=weight.get) if weight else ()
-    texts = []
+            own.append((at, main, len(pages) == 1 or not template[tokens[a:b]].all(), raw, b - a))
+        kept.append(own)
+    slots = [[] if any(main for _, main, *_ in own) else [(at, raw, n) for at, _, is_slot, raw, n in own if is_slot] for own in kept]
+    # What stands on several pages (lists of other pages, say) doesn't tell where the main text is, if a page has anything else.
+    often = Counter(raw for own in slots for raw in {raw for _, raw, _ in own})
+    regions = {at: _region(generic[at]) for own in slots for at, _, _ in own}
+    weights = []
     for own in slots:
-        if any(main for _, main, _, _ in own):
-            raws = [raw for _, main, _, raw in own if main]
+        words: Counter = Counter()
+        for at, _, n in [x for x in own if often[x[1]] == 1] or own:
+            words[regions[at]] += n
+        weights.append(words)
+    texts = []
+    for own, best in zip(kept, _containers(weights), strict=True):
+        if any(main for _, main, *_ in own):
+            raws = [raw for _, main, _, raw, _ in own if main]
         else:
-            raws = [raw for path, _, is_slot, raw in own if path[: len(best)] == best and (is_slot or len(pages) == 1)]
+            raws = [raw for at, _, is_slot, raw, _ in own if is_slot and generic[at][: len(best)] == best]
         texts.append("\n".join(x for raw in raws if (x := " ".join(unescape(raw).split()))))
     return texts
 

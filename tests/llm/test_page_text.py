@@ -30,6 +30,33 @@ def test_without_article_the_slots_with_most_words_count():
     assert P.extract(pages) == texts
 
 
+def _words(rnd, n):
+    return " ".join("".join(rnd.choices("klmnop", k=5)) for _ in range(n))
+
+
+def test_ids_of_each_page_without_article():
+    rnd = random.Random(5)
+    parts = [[_words(rnd, n) for n in (4, 30, 3, 5, 12, 8)] for _ in range(9)]
+    pages = [
+        page(rnd, f'<div class="wrap"><div id="post-{i}x{i * 7}" class="post entry-{i}"><h1>{h}</h1><div class="body"><p>{p}</p><ul><li>{a}</li></ul><table><tr><th>{b}</th><td>{c}</td></tr></table><pre>{d}</pre></div></div><div class="col2">{_words(rnd, 3)}</div></div>')
+        for i, (h, p, a, b, c, d) in enumerate(parts)
+    ]
+    assert P.extract(pages) == ["\n".join(x) for x in parts]
+
+
+def test_mixed_layouts_without_article():
+    rnd = random.Random(6)
+    texts = [_words(rnd, 60 if i % 3 else 12) for i in range(12)]
+    pages = [page(rnd, f'<div id="content"><p>{t}</p></div><div class="other">{_words(rnd, 2)}</div>' if i % 3 else f'<div class="story"><section><h2>a{i}</h2><p>{t}</p></section><section><p>b{i}</p></section></div>') for i, t in enumerate(texts)]
+    assert P.extract(pages) == [t if i % 3 else f"a{i}\n{t}\nb{i}" for i, t in enumerate(texts)]
+
+
+def test_long_pre_is_part_of_its_text():
+    rnd = random.Random(7)
+    pairs = [(_words(rnd, 10), _words(rnd, 90)) for _ in range(6)]
+    assert P.extract([page(rnd, f'<div id="content"><h2>{h}</h2><pre>{t}</pre></div>') for h, t in pairs]) == [f"{h}\n{t}" for h, t in pairs]
+
+
 def test_odd_markup():
     odd = [None, "", "plain text", "<p>a < b &am &amp", "<article><p>cut <b>off", "<article>x<script>never ends", "<div", "</p></div>", "<ul><li>one<li>two</ul>", "<p title='>'>q</p>", "a" * 5000]
     alone = [P.extract([h])[0] for h in odd]
