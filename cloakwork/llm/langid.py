@@ -1,9 +1,9 @@
 """Language identification: words first, then ever shorter character n-grams for words not known.
 
-Learning counts every word of every training text on Spark. The model keeps the words and n-grams
-seen most, within ``MODEL_CELLS`` (word, language) counts and as many n-gram counts, so its size is
-bounded whatever the corpus holds. A known word scores by its log frequency in each language; of
-another word, the longest n-grams that are known score in its place, by their mean.
+Learning counts every word of every training text on Spark. A known word scores by its log frequency
+in each language; of another word, the longest n-grams that are known score in its place, by their
+mean. The words seen most, within ``MODEL_CELLS`` (word, language) counts, are sent to the tasks; all
+other words of the texts meet the full counts in joins, so the bound changes no result.
 
 A text that is null or has no letter is ``und`` with score 0. With nothing learned every text is
 ``und``. A text of which no word or n-gram is known gets the language seen in most documents, at its
@@ -25,10 +25,10 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import materialise, small_batches
 
-#: The word model has at most so many counts; so has the model of n-grams.
+#: At most so many counts of words are sent to the tasks, and as many of n-grams if all of both fit; the others are joined.
 MODEL_CELLS = 200_000
-#: At most so many languages (those of most documents) are learned.
-MAX_LANGUAGES = 256
+#: Numbers in the table of the words that are sent: with many languages these are fewer words.
+MODEL_SIZE = 1 << 24
 #: Scores of so many unseen words are kept by a task.
 UNSEEN = 100_000
 LONGEST = 5
@@ -116,37 +116,43 @@ def _most(counts: DataFrame, key: str, cells: int) -> pa.Table | None:
 class Logs:
     """Log frequencies by language of keys: one row of a table for each key."""
 
-    def __init__(self, counts: pa.Table | None, languages: list[str], totals: np.ndarray):
+    def __init__(self, counts: pa.Table | None, languages: list[str], totals: np.ndarray, distinct: int | None = None):
         keys, langs, n = ([], [], []) if counts is None else (c.to_pylist() for c in counts.columns)
         number = {x: i for i, x in enumerate(languages)}
         self.rows = {k: i for i, k in enumerate(dict.fromkeys(keys))}
         table = np.full((len(self.rows), len(languages)), 0.5)
         np.add.at(table, ([self.rows[k] for k in keys], [number[x] for x in langs]), n)
-        self.table = np.log(table / (totals + 0.5 * len(self.rows) + 1))
+        size = totals + 0.5 * (len(self.rows) if distinct is None else distinct) + 1
+        #: Of a key that no language has. One seen n times in a language has log(2 n + 1) more there.
+        self.base = np.log(0.5 / size)
+        self.table = np.log(table / size)
 
     def __getstate__(self):
-        return "\n".join(self.rows), self.table
+        return "\n".join(self.rows), self.table, self.base
 
     def __setstate__(self, state):
-        keys, self.table = state
+        keys, self.table, self.base = state
         self.rows = {k: i for i, k in enumerate(keys.split("\n"))} if len(self.table) else {}
 
 
 class Model:
     """Log frequencies by language of the known words and n-grams."""
 
-    def __init__(self, languages: list[str], totals: list[list[int]], words: pa.Table | None, ngrams: pa.Table | None, prior: int):
+    def __init__(self, languages: list[str], totals: list[list[int]], words: pa.Table | None, ngrams: pa.Table | None, prior: int, distinct: list[int] | None = None):
         self.languages, self.prior = languages, prior
-        self.words = Logs(words, languages, np.array(totals[0], float))
+        distinct = distinct or [None] * (LONGEST + 1)
+        #: The full counts of words and n-grams, if tasks have only a part of them.
+        self.full: tuple[DataFrame, DataFrame] | None = None
+        self.words = Logs(words, languages, np.array(totals[0], float), distinct[0])
         # The n-grams of each length share the counts of their own length.
         self.grams = [Logs(None, languages, np.ones(len(languages)))]
         for n in range(1, LONGEST + 1):
             own = None if ngrams is None else ngrams.filter(pc.equal(pc.utf8_length(ngrams["gram"]), n))
-            self.grams.append(Logs(own, languages, np.maximum(1.0, np.array(totals[n], float))))
+            self.grams.append(Logs(own, languages, np.maximum(1.0, np.array(totals[n], float)), distinct[n]))
         self._forget()
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("unseen", "scores")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("unseen", "scores", "full")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -200,6 +206,10 @@ class Model:
             score += np.array(often) @ self.words.table[known]
         if other:
             score += np.array(times) @ self.scores[other]
+        return self.decided(score, n)
+
+    def decided(self, score: np.ndarray, n: int) -> tuple[str, float]:
+        """The language and score of a text by the summed scores of its ``n`` words."""
         if not n:
             return self.languages[self.prior], 1 / len(self.languages)
         best = int(score.argmax())
@@ -210,24 +220,115 @@ class Model:
 def learn(training: DataFrame, cells: int = MODEL_CELLS) -> Model:
     """A model of ``training`` (text, lang), all of its texts."""
     training = training.where("lang is not null and text is not null")
-    found = training.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    found = training.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not found:
         return Model([], [[]] * (LONGEST + 1), None, None, 0)
     languages = sorted(r.lang for r in found)
-    words = materialise(word_counts(training.where(F.col("lang").isin(languages))), "language-words")
+    words = materialise(word_counts(training), "language-words")
     ngrams = materialise(gram_counts(words), "language-grams")
     sums = {(r.lang, 0): r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     sums |= {(r.lang, r.k): r.n for r in ngrams.groupBy("lang", F.length("gram").alias("k")).agg(F.sum("n").alias("n")).collect()}
     totals = [[sums.get((lang, k), 0) for lang in languages] for k in range(LONGEST + 1)]
-    return Model(languages, totals, _most(words, "word", cells), _most(ngrams, "gram", cells), languages.index(found[0].lang))
-
-
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score; of its columns only ``text`` is looked at."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    prior = languages.index(found[0].lang)
+    cells = min(cells, max(1, MODEL_SIZE // len(languages)))
+    if words.count() <= cells and ngrams.count() <= cells:
+        return Model(languages, totals, _most(words, "word", cells), _most(ngrams, "gram", cells), prior)
+    each = {r.k: r.n for r in ngrams.select("gram").distinct().groupBy(F.length("gram").alias("k")).agg(F.count("*").alias("n")).collect()}
+    distinct = [words.select("word").distinct().count(), *(each.get(k, 0) for k in range(1, LONGEST + 1))]
+    model = Model(languages, totals, _most(words, "word", cells), None, prior, distinct)
+    model.full = words, ngrams
+    return model
+
+
+def _looked_up(wanted: DataFrame, model: Model) -> DataFrame:
+    """word, level (0: a known word, else the length of its longest known n-grams) and more: by language, what its score has above the level's base."""
+    words, ngrams = model.full
+    above = F.collect_list(F.struct("lang", F.log(2 * F.col("n") + 1).alias("d")))
+    met = materialise(wanted.join(words.groupBy("word").agg(above.alias("more")), "word", "left"), "language-known")
+    found = met.where("more is not null").select("word", F.lit(0).alias("level"), "more")
+    rest = met.where("more is null").select("word")
+
+    def cut(k: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                # A word that holds an n-gram twice counts it twice.
+                every = [(w, g, n) for w in batch.column("word").to_pylist() for g, n in Counter(grams(w, k)).items()]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in every], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["word", "gram", "times"])
+
+        return run
+
+    for k in range(LONGEST, 0, -1):
+        of_gram = ngrams.where(F.length("gram") == k).groupBy("gram").agg(above.alias("own"))
+        often = F.transform("own", lambda x: F.struct(x["lang"].alias("lang"), (x["d"] * F.col("times")).alias("d")))
+        held = small_batches(rest).mapInArrow(cut(k), "word string, gram string, times long").join(of_gram, "gram").select("word", "times", often.alias("own"))
+        lists = held.groupBy("word").agg(F.sum("times").alias("all"), F.flatten(F.collect_list("own")).alias("own"))
+        mean = F.transform("own", lambda x: F.struct(x["lang"].alias("lang"), (x["d"] / F.col("all")).alias("d")))
+        told = materialise(lists.select("word", F.lit(k).alias("level"), mean.alias("more")), "language-unseen")
+        found = found.union(told)
+        rest = materialise(rest.join(told, "word", "left_anti"), "language-rest")
+    return found
+
+
+def _predict_joined(kept: DataFrame, model: Model, schema: StructType, hidden: list[str]) -> DataFrame:
+    """``predict`` with a model whose tasks have only the words seen most: all other words meet the full counts."""
+    shared = kept.sparkSession.sparkContext.broadcast(model)
+    shown = [f for f in schema.fields if f.name not in ("lang_pred", "score", *hidden)]
+    parts = "_row long, _letters boolean, _score array<double>, _n long, _words array<string>, _times array<long>"
+    part_schema = StructType([*shown, *StructType.fromDDL(parts).fields])
+
+    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, table = shared.value.words.rows, shared.value.words.table
+        for batch in batches:
+            letters, score, n, others, times = [], [], [], [], []
+            for text in batch.column("text"):
+                counts = Counter(_WORD.findall((text.as_py() or "").lower()))
+                known = [(r, c) for w, c in counts.items() if (r := rows.get(w)) is not None]
+                letters.append(any(map(str.isalpha, counts)))
+                score.append((np.array([c for _, c in known]) @ table[[r for r, _ in known]]).tolist() if known else [0.0] * table.shape[1])
+                n.append(sum(c for _, c in known))
+                others.append([w for w in counts if w not in rows])
+                times.append([c for w, c in counts.items() if w not in rows])
+            columns = [batch.column(f.name) for f in shown] + [batch.column("_row"), pa.array(letters, pa.bool_()), pa.array(score, pa.list_(pa.float64())), pa.array(n, pa.int64()), pa.array(others, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=part_schema.names)
+
+    read = small_batches(kept.withColumn("_row", F.monotonically_increasing_id())).mapInArrow(head, part_schema)
+    read = materialise(read, "language-read")
+    said = read.select("_row", F.explode(F.arrays_zip("_words", "_times")).alias("x")).select("_row", F.col("x._words").alias("word"), F.col("x._times").alias("times"))
+    found = _looked_up(said.select("word").distinct(), model)
+    tails = said.join(found, "word").groupBy("_row").agg(F.collect_list(F.struct("times", "level", F.col("more.lang").alias("langs"), F.col("more.d").alias("ds"))).alias("_tail"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        number = {x: i for i, x in enumerate(m.languages)}
+        base = [m.words.base, *(x.base for x in m.grams[1:])]
+        for batch in batches:
+            out = []
+            for letters, score, n, tail in zip(*(batch.column(c).to_pylist() for c in ("_letters", "_score", "_n", "_tail")), strict=True):
+                if not letters:
+                    out.append((UND, 0.0))
+                    continue
+                score, levels = np.array(score), [0] * (LONGEST + 1)
+                for x in tail or []:
+                    levels[x["level"]] += x["times"]
+                    for lang, d in zip(x["langs"], x["ds"], strict=True):
+                        score[number[lang]] += x["times"] * d
+                for k, times in enumerate(levels):
+                    score += times * base[k]
+                out.append(m.decided(score, n + sum(levels)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in shown), pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], names=[*(f.name for f in shown), "lang_pred", "score"])
+
+    joined = read.drop("_words", "_times").join(tails, "_row", "left").drop("_row")
+    return small_batches(joined).mapInArrow(whole, StructType([*shown, *schema.fields[-2:]]))
+
+
+def predict(docs: DataFrame, model: Model, hidden: list[str] | None = None) -> DataFrame:
+    """``docs`` with lang_pred and score, without the columns ``hidden``; of its columns only ``text`` is looked at."""
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     kept = docs.select(*names)
     schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    if model.full is not None:
+        return _predict_joined(kept, model, schema, hidden or [])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value.predict
@@ -236,11 +337,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             columns = [*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred", "score"])
 
-    return small_batches(kept).mapInArrow(run, schema)
+    return small_batches(kept).mapInArrow(run, schema).drop(*(hidden or []))
 
 
-def identify(docs: DataFrame, folds: int = 5) -> DataFrame:
+def identify(docs: DataFrame, folds: int = 5, cells: int = MODEL_CELLS) -> DataFrame:
     """Learn from the rows of ``docs`` (doc_id, text, lang) that aren't held out and predict all rows."""
-    model = learn(docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds)))
-    found = predict(docs.select("doc_id", "text"), model)
+    model = learn(docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds)), cells)
+    found = predict(docs.select("doc_id", "text"), model, ["text"])
     return found.select("doc_id", held_out(F.col("doc_id"), folds).alias("held_out"), "lang_pred", "score")

@@ -38,6 +38,16 @@ def test_held_out_accuracy_and_odd_texts(spark):
     assert got[124].lang_pred in ("en", "de") and got[126].lang_pred == "de" and got[127].lang_pred == "en"
 
 
+def test_a_small_head_changes_no_result(spark):
+    rows = [*corpus(), (900, "quickly sleeper hundert banana fuchsbau", None), (901, "gardengarden der", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    want = {r.doc_id: r for r in langid.identify(df).collect()}
+    got = langid.identify(df, cells=12).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert (r.held_out, r.lang_pred) == (want[r.doc_id].held_out, want[r.doc_id].lang_pred) and abs(r.score - want[r.doc_id].score) < 1e-9
+
+
 def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "text", None), (2, None, "en")], "doc_id long, text string, lang string")
     assert {(r.lang_pred, r.score) for r in langid.identify(df).collect()} == {("und", 0.0)}
