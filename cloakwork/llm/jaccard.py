@@ -6,16 +6,20 @@ sets that are similar enough differ in at most H shingles. The shingle universe
 m > H segments by hash, so at least m - H segments of such a pair are equal.
 
 * First index: a signature for the subset of each segment that isn't empty. A signature that few
-  classes share gives all pairs of them. One that many share is too costly: it gives only the pairs
-  with its hub, the class that has most costly signatures. A class may leave out as many segments
-  (empty or costly) as m - H - 1.
-* Second index, for the classes that had to leave out more: (H + 1) / 2 larger segments, each with
-  its one-deletion neighbourhood, of which a similar pair must share one within one shingle. Here
-  costly signatures give the pairs with their hubs too; then the classes that are linked by
-  now are taken together, and pairs across these groups are found by what they and their hub differ in.
-
-Candidates pass the size bound and a bound on the counts of 64 hash buckets, then their sets are
-compared exactly. Similar pairs are linked; components are found on Spark.
+  classes share gives all pairs of them; one that many share is costly. Its hub is the class among
+  them that has most costly signatures.
+* Each class is compared with the hub that it shares most costly signatures with, and what is
+  similar becomes one group. From then on only pairs of different groups are compared, since links
+  inside a group change no component: the pairs of signatures that few share, and each class with
+  all hubs. A costly signature whose classes are all of one group by then has told all it can.
+* A class may leave out as many other segments (empty, or costly and of several groups) as m - H - 1.
+  Classes that left out more meet in a second index: (H + 1) / 2 larger segments, each with
+  its one-deletion neighbourhood, of which a similar pair must share one within one shingle. Costly
+  signatures are treated as in the first index, and the pairs of different groups that are left
+  are found by what they and their hub differ in.
+
+Candidates pass the size bound and a bound on the counts of 64 hash buckets, then their sets are made
+from the whole texts and compared exactly (as 64-bit hashes of shingles). Components are found on Spark.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, chunks, materialise, small_batches
+from .common import CHUNK_BYTES, arrow_map, chunks, materialise, small_batches
 from .components import connected_components
 
 SHINGLE = 5
@@ -191,27 +195,51 @@ def _class_id(size: int, values: np.ndarray) -> tuple[int, int, int]:
 
 
 def summaries(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n, f1, f2 (fingerprints), cls, spare0 and spare1 (segments its schemes may leave out), buckets."""
+    """Per document: doc_id, n, f1, f2 (fingerprints), cls, spare0 and spare1 (segments its schemes may leave out), buckets, own and keys.
+
+    ``keys`` holds the signatures of the first index, the first ``own`` of them for pairs whose larger set is in the set's own
+    band. Documents of one class in one task give them once, rows without doc_id never.
+    """
+    names = ("doc_id", "n", "f1", "f2", "cls", "spare0", "spare1", "buckets", "own", "keys")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schemes, seen = Schemes(), set()
+        for batch in batches:
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            for a, b in chunks(texts):
+                rows, keys, ends = [], [], [0]
+                for doc_id, values in zip(ids[a:b], shingle_sets(texts[a:b]), strict=True):
+                    if not len(values):
+                        rows.append((doc_id, 0, *[None] * 7))
+                        ends.append(ends[-1])
+                        continue
+                    of_class = _class_id(len(values), values)
+                    found = {flag: (keyed, more) for flag, keyed, more in first_index(values, schemes)}
+                    own, next_ = found.get(0, (values[:0], None)), found.get(1, (values[:0], None))
+                    if doc_id is not None and of_class[2] not in seen:
+                        keys += own[0], next_[0]
+                        ends.append(ends[-1] + len(own[0]) + len(next_[0]))
+                        seen.add(of_class[2])
+                    else:
+                        ends.append(ends[-1])
+                    buckets = np.minimum(np.diff(_parts(values, 64)), 65_535).astype("<u2").tobytes()
+                    rows.append((doc_id, len(values), *of_class, own[1], next_[1], buckets, len(own[0])))
+                keys = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys))], names=names)
+
+    kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary(), pa.int32()]
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, cls long, spare0 int, spare1 int, buckets binary, own int, keys array<long>")
 
-    def run(columns):
-        schemes = Schemes()
-        ids, texts = columns["doc_id"].to_pylist(), columns["text"].to_pylist()
-        for a, b in chunks(texts):
-            rows = []
-            for doc_id, values in zip(ids[a:b], shingle_sets(texts[a:b]), strict=True):
-                if not len(values):
-                    rows.append((doc_id, 0, None, None, None, None, None, None))
-                    continue
-                spare = {flag: more for flag, _, more in first_index(values, schemes)}
-                buckets = np.minimum(np.diff(_parts(values, 64)), 65_535).astype("<u2").tobytes()
-                rows.append((doc_id, len(values), *_class_id(len(values), values), spare.get(0), spare.get(1), buckets))
-            yield dict(zip(("doc_id", "n", "f1", "f2", "cls", "spare0", "spare1", "buckets"), map(list, zip(*rows, strict=True)), strict=True))
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n long, f1 long, f2 long, cls long, spare0 int, spare1 int, buckets binary")
+def _first_signatures(table: DataFrame) -> DataFrame:
+    """key and member of the first index; the member's lowest bit is the scheme's flag."""
+    each = table.select("cls", "own", F.posexplode("keys").alias("at", "key"))
+    return each.select("key", F.when(F.col("at") < F.col("own"), F.col("cls")).otherwise(F.col("cls") + 1).alias("member"))
 
 
-def _signatures(docs: DataFrame, second: bool) -> DataFrame:
-    """key and member of an index. The member's lowest bit is the scheme's flag, or whether an element was left out.
+def _second_signatures(docs: DataFrame) -> DataFrame:
+    """key and member of the second index. The member's lowest bit tells whether an element was left out.
 
     Documents of one class in one task give its signatures once.
     """
@@ -220,22 +248,17 @@ def _signatures(docs: DataFrame, second: bool) -> DataFrame:
         schemes, seen = Schemes(), set()
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, CHUNK_BYTES // 8):
                 keys, members = [], []
                 for values in shingle_sets(texts[a:b]):
-                    if not len(values):
-                        continue
-                    own = _class_id(len(values), values)[2]
-                    if own in seen:
+                    own = _class_id(len(values), values)[2] if len(values) else None
+                    if own is None or own in seen:
                         continue
                     seen.add(own)
-                    if second:
-                        found = [(flag, s) for pair in second_index(values, schemes) for flag, s in enumerate(pair)]
-                    else:
-                        found = [(flag, s) for flag, s, _ in first_index(values, schemes)]
-                    for flag, signatures in found:
-                        keys.append(signatures)
-                        members.append(np.full(len(signatures), own | flag, np.int64))
+                    for pair in second_index(values, schemes):
+                        for flag, signatures in enumerate(pair):
+                            keys.append(signatures)
+                            members.append(np.full(len(signatures), own | flag, np.int64))
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(members))], names=["key", "member"])
 
@@ -301,20 +324,50 @@ class _Runs:
 
 
 def _hubs(costly: DataFrame) -> DataFrame:
-    """key, hub: of each costly signature the class that has most of them. ``costly`` has key, cls and whole.
+    """key, fame and hub: of each costly signature the class that has most of them. ``costly`` has key, cls and whole.
 
     Copies of one text share more signatures with it than with each other, so it links most of them.
     Only classes with the whole segment can be hubs.
     """
     wholes = costly.where("whole")
     fame = wholes.groupBy("cls").agg(F.count("*").alias("fame"))
-    return wholes.join(fame, "cls").groupBy("key").agg(F.max(F.struct("fame", "cls"))["cls"].alias("hub"))
+    return wholes.join(fame, "cls").groupBy("key").agg(F.max(F.struct("fame", "cls")).alias("best")).select("key", "best.fame", F.col("best.cls").alias("hub"))
+
+
+def _nearest(costly: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Each class (a) with the hub (b) of most of its costly signatures."""
+    met = costly.join(hubs, "key").where("cls <> hub").select("cls", "hub", "fame").repartition("cls")
+    votes = met.groupBy("cls", "hub").agg(F.count("*").alias("n"), F.first("fame").alias("fame"))
+    return votes.groupBy("cls").agg(F.max(F.struct("n", "fame", "hub"))["hub"].alias("b")).select(F.col("cls").alias("a"), "b")
 
 
 def _stars(costly: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Pairs of each costly signature's hub with its other classes."""
-    pairs = costly.join(hubs, "key").where("cls <> hub")
-    return pairs.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
+    """Each class of a costly signature (a) with its hub (b)."""
+    return costly.join(hubs.select("key", "hub"), "key").where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes in different groups."""
+    of = [groups.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}")) for x in ("a", "b")]
+    met = pairs.join(of[0], "a", "left").join(of[1], "b", "left")
+    return met.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
+def _mixed(costly: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of costly signatures (key, cls, ...) that are shared by classes of several groups, with ``component``."""
+    own = costly.join(groups.select(F.col("id").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    several = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    return materialise(own.join(several, "key"), "jaccard-mixed")
+
+
+def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``groups`` (id, component) after further links (a, b), which are taken between groups."""
+    ends = links
+    for x in ("a", "b"):
+        of = groups.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}"))
+        ends = ends.join(of, x, "left").withColumn(f"of_{x}", F.coalesce(f"of_{x}", x))
+    edges = ends.select("of_a", "of_b").union(ends.select("a", "of_a")).union(ends.select("b", "of_b")).union(groups.select("id", "component"))
+    return connected_components(edges)
 
 
 def _collisions(signatures: DataFrame, few: int, second: bool) -> DataFrame:
@@ -337,22 +390,24 @@ def _costly(met: DataFrame) -> DataFrame:
     return met.where("kind = 1").select(F.col("b").alias("key"), (F.col("a") - flag).alias("cls"), flag.alias("flag"), (flag == 0).alias("whole"))
 
 
+def _texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """cls and text of the classes in ``wanted``; a class whose document's id is repeated has other texts besides. A written table."""
+    rows = materialise(wanted.distinct().join(classes.select("cls", F.col("rep").alias("doc_id")), "cls"), "jaccard-wanted")
+    few = rows.count() <= BROADCAST_IDS
+    return materialise(docs.select("doc_id", "text").join(F.broadcast(rows) if few else rows, "doc_id").select("cls", "text"), "jaccard-texts")
+
+
 def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """cls, shingles (a set's hashes, ascending) and tails (their last 16 bits, each once) of the classes in ``wanted``. A written table."""
-    wanted = materialise(wanted.distinct().join(classes.select("cls", "rep"), "cls"), "jaccard-wanted")
-    rows = wanted.select(F.col("rep").alias("doc_id")).distinct()
-    if wanted.count() <= BROADCAST_IDS:
-        rows = F.broadcast(rows)
+    """cls and shingles (a set's hashes, ascending) of the classes in ``wanted``. A written table."""
 
     def sets(columns):
         texts = columns["text"].to_pylist()
         for a, b in chunks(texts):
             found = [v for v in shingle_sets(texts[a:b]) if len(v)]
-            tails = [np.unique(v.astype(np.uint16)).tobytes() for v in found]
-            yield {"cls": [_class_id(len(v), v)[2] for v in found], "shingles": [v.tobytes() for v in found], "tails": tails}
+            yield {"cls": [_class_id(len(v), v)[2] for v in found], "shingles": [v.tobytes() for v in found]}
 
-    read = arrow_map(docs.select("doc_id", "text").join(rows, "doc_id", "left_semi").select("text"), sets, "cls long, shingles binary, tails binary")
-    return materialise(read.dropDuplicates(["cls"]), "jaccard-sets")
+    read = arrow_map(_texts(wanted, classes, docs).select("text"), sets, "cls long, shingles binary")
+    return materialise(read.join(wanted.distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "jaccard-sets")
 
 
 def _pivots(hot: DataFrame, hubs: DataFrame) -> DataFrame:
@@ -413,7 +468,10 @@ def _across(hot: DataFrame, hubs: DataFrame, classes: DataFrame, docs: DataFrame
 
 
 def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar: first by bounds, then exactly. A written table."""
+    """The pairs (a, b) of classes whose sets are similar: first by bounds, then exactly. A written table.
+
+    Many pairs best have their common class as b: its set is then made once a batch.
+    """
     facts = classes.select("cls", "n", "buckets")
 
     def bound(columns):
@@ -425,69 +483,67 @@ def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
             p, q = (np.frombuffer(b"".join(columns[c].to_pylist()), "<u2").reshape(-1, 64).astype(np.int64) for c in ("p", "q"))
             ok &= np.abs(p - q).sum(axis=1) <= total * (100 - PERCENT) // (100 + PERCENT)
         keep = pa.array(ok)
-        yield {c: columns[c].filter(keep) for c in ("a", "b", "n", "m")}
+        yield {c: columns[c].filter(keep) for c in ("a", "b")}
 
     near = pairs.distinct().join(facts.select(F.col("cls").alias("a"), "n", F.col("buckets").alias("p")), "a")
     near = near.join(facts.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("buckets").alias("q")), "b")
-    near = materialise(arrow_map(near.select("a", "b", "n", "m", "p", "q"), bound, "a long, b long, n long, m long"), "jaccard-near")
-
-    read = _sets(near.select(F.col("a").alias("cls")).union(near.select("b")), classes, docs)
-
-    def brief(columns):
-        """Keep the pairs that the last 16 bits of their hashes allow: values in common, and repeated ones besides."""
-        kept = []
-        for x, y, n, m in zip(columns["x"], columns["y"], columns["n"].to_pylist(), columns["m"].to_pylist(), strict=True):
-            x, y = np.frombuffer(x.as_py(), np.uint16), np.frombuffer(y.as_py(), np.uint16)
-            both = len(np.intersect1d(x, y, assume_unique=True)) + min(n - len(x), m - len(y))
-            kept.append(100 * both >= PERCENT * (n + m - both))
-        keep = pa.array(kept, pa.bool_())
-        yield {"a": columns["a"].filter(keep), "b": columns["b"].filter(keep)}
+    near = near.where(f"100 * least(n, m) >= {PERCENT} * greatest(n, m)")
+    near = materialise(arrow_map(near.select("a", "b", "n", "m", "p", "q"), bound, "a long, b long"), "jaccard-near")
+    texts = _texts(near.select(F.col("a").alias("cls")).union(near.select("b")), classes, docs)
+    held: dict[tuple[int, str], np.ndarray] = {}
 
     def exact(columns):
+        a, b = columns["a"].to_pylist(), columns["b"].to_pylist()
+        sides = list(zip(a, columns["x"].to_pylist(), strict=True)), list(zip(b, columns["y"].to_pylist(), strict=True))
+        every = list(dict.fromkeys([*sides[0], *sides[1]]))
+        new = [k for k in every if k not in held]
+        texts = [t for _, t in new]
+        for i, j in chunks(texts):
+            held.update(zip(new[i:j], shingle_sets(texts[i:j]), strict=True))
         kept = []
-        for x, y in zip(columns["x"], columns["y"], strict=True):
-            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+        for k, m in zip(*sides, strict=True):
+            x, y = held[k], held[m]
             both = len(np.intersect1d(x, y, assume_unique=True))
-            kept.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            kept.append(100 * both >= PERCENT * (len(x) + len(y) - both) and all(_class_id(len(v), v)[2] == c for c, v in ((k[0], x), (m[0], y))))
+        for k in held.keys() - set(sides[1][-1:]):
+            del held[k]
         keep = pa.array(kept, pa.bool_())
         yield {"a": columns["a"].filter(keep), "b": columns["b"].filter(keep)}
 
-    short = near.join(read.select(F.col("cls").alias("a"), F.col("tails").alias("x")), "a")
-    short = short.join(read.select(F.col("cls").alias("b"), F.col("tails").alias("y")), "b")
-    near = materialise(arrow_map(short.select("a", "b", "n", "m", "x", "y"), brief, "a long, b long"), "jaccard-short")
-    full = near.join(read.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a")
-    full = full.join(read.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
+    full = near.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a")
+    full = full.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b")
     return materialise(arrow_map(full.select("a", "b", "x", "y"), exact, "a long, b long"), "jaccard-links")
 
 
-def _rest(docs: DataFrame, classes: DataFrame, costly: DataFrame, links: DataFrame) -> DataFrame:
-    """The links that the first index may have missed: between classes that left out too many segments."""
-    left = costly.groupBy("cls", "flag").agg(F.countDistinct("key").alias("left"))
+def _met(costly: DataFrame, pairs: DataFrame, groups: DataFrame | None, classes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Groups after an index: its costly signatures' classes with their nearest hubs, then all else that is apart.
+
+    Gives the groups, the rows of costly signatures of several groups, and the hubs.
+    """
+    hubs = materialise(_hubs(costly), "jaccard-hubs")
+    first = _nearest(costly, hubs)
+    links = _similar(first if groups is None else _apart(first, groups), classes, docs)
+    groups = connected_components(links) if groups is None else _merged(groups, links)
+    mixed = _mixed(costly, groups)
+    links = _similar(_apart(pairs.union(_stars(mixed, hubs)), groups), classes, docs)
+    groups = _merged(groups, links)
+    return groups, _mixed(mixed.drop("component"), groups), hubs
+
+
+def _rest(docs: DataFrame, classes: DataFrame, mixed: DataFrame, groups: DataFrame) -> DataFrame:
+    """Groups with the links that the first index may have missed: between classes that left out too many segments."""
+    left = mixed.groupBy("cls", "flag").agg(F.countDistinct("key").alias("left"))
     wide = left.groupBy("cls").agg(F.max(F.when(F.col("flag") == 0, F.col("left"))).alias("left0"), F.max(F.when(F.col("flag") == 1, F.col("left"))).alias("left1"))
     short = (F.coalesce("spare0", F.lit(0)) < F.coalesce("left0", F.lit(0))) | (F.coalesce("spare1", F.lit(0)) < F.coalesce("left1", F.lit(0)))
-    again = materialise(classes.join(wide, "cls", "left").where(short).select("cls", "rep"), "jaccard-again")
-    n = again.count()
-    if not n:
-        return links
-    rows = again.select(F.col("rep").alias("doc_id")).distinct()
-    rows = F.broadcast(rows) if n <= BROADCAST_IDS else rows
-    few = docs.select("doc_id", "text").join(rows, "doc_id", "left_semi")
-    met = _collisions(_signatures(few, second=True), FEW_SECOND, second=True)
-    hot = materialise(_costly(met), "jaccard-costly")
-    hubs = materialise(_hubs(hot), "jaccard-hubs")
-    pairs = met.where("kind = 0").select("a", "b").union(_stars(hot, hubs)).distinct()
-    links = links.union(_similar(pairs.join(links, ["a", "b"], "left_anti"), classes, docs))
-    if hot.isEmpty():
-        return links
-    # Members that are linked by now stand together; only pairs across groups are left to compare.
-    groups = connected_components(links)
-    hot = hot.join(groups.select(F.col("id").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    mixed = hot.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    hot = materialise(hot.select("key", "cls", "component").join(mixed, "key"), "jaccard-mixed")
-    if hot.isEmpty():
-        return links
-    pairs, direct = _across(hot, hubs, classes, docs)
-    return links.union(direct).union(_similar(pairs, classes, docs))
+    again = materialise(classes.join(wide, "cls", "left").where(short).select("cls"), "jaccard-again")
+    if again.isEmpty():
+        return groups
+    met = _collisions(_second_signatures(_texts(again, classes, docs)), FEW_SECOND, second=True)
+    groups, mixed, hubs = _met(materialise(_costly(met), "jaccard-costly"), met.where("kind = 0").select("a", "b"), groups, classes, docs)
+    if mixed.isEmpty():
+        return groups
+    pairs, direct = _across(mixed.select("key", "cls", "component"), hubs.select("key", "hub"), classes, docs)
+    return _merged(groups, direct.union(_similar(pairs, classes, docs)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -495,19 +551,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no shingles and are their own component; a text of fewer than five
     words has one shingle. Repeated rows each get a row; rows without doc_id aren't linked and have no component.
+    An empty table gives no rows, texts of any length count whole, ties need no rule (a component's id is its
+    smallest doc_id), and further columns of ``docs`` are ignored, whatever their names.
     """
     table = materialise(summaries(docs), "jaccard-summaries")
     docs = docs.where("doc_id is not null")
-    classes = table.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(
+    told = table.where("n > 0 and doc_id is not null")
+    classes = told.groupBy("n", "f1", "f2").agg(
         F.min("doc_id").alias("rep"), F.first("cls").alias("cls"), F.first("spare0").alias("spare0"), F.first("spare1").alias("spare1"), F.first("buckets").alias("buckets")
     )
     classes = materialise(classes, "jaccard-classes")
-    met = _collisions(_signatures(docs, second=False), FEW, second=False)
-    costly = _costly(met)
-    stars = _stars(costly, _hubs(costly.withColumn("whole", F.lit(True))))
-    links = _similar(met.where("kind = 0").select("a", "b").union(stars), classes, docs)
-    links = _rest(docs, classes, costly, links)
-    groups = connected_components(links)
+    met = _collisions(_first_signatures(table), FEW, second=False)
+    costly = materialise(_costly(met), "jaccard-costly")
+    groups, mixed, _ = _met(costly, met.where("kind = 0").select("a", "b"), None, classes, docs)
+    groups = _rest(docs, classes, mixed, groups)
     named = groups.join(classes.select(F.col("cls").alias("id"), "rep"), "id")
     names = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     linked = named.join(names, "component").select(F.col("id").alias("cls"), "component_id")
