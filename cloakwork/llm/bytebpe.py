@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import public_tokenizers
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -14,12 +16,38 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _ODD = re.compile("[\x00\x01\x0b\x0c\x1c-\x1f\x7f-\xa0²³¹¼½¾]|[^\x00-ɏ‐-‧‰-‾€]")
 _ODD_ASCII = "\x0b\x0c\x1c\x1d\x1e\x1f\x7f"
 _BLANKS = ("  ", "\n ", "\t ", "\r ")
+#: White space that a unit may end with, at the end of its text.
+_ENDS = ("\n", "\t", "\r")
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Units that are encoded as one text.
+JOINED = 32
+
+
+class _Cache(dict):
+    """Ids by unit, in two generations. A unit that neither has gets an empty array, which ``fill`` fills."""
+
+    def __init__(self, older: dict[str, bytes]):
+        self.older = dict(older)
+        self.new: dict[str, bytearray] = {}
+
+    def __missing__(self, unit: str) -> bytes | bytearray:
+        code = self.older.get(unit)
+        if code is None:
+            code = self.new[unit] = bytearray()
+        self[unit] = code
+        return code
+
+    def fill(self, units: list[str], codes: Iterable[bytes]) -> None:
+        for unit, code in zip(units, codes, strict=True):
+            self.new.pop(unit).extend(code)
+            self[unit] = code
+
+
 class Encoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes.
 
@@ -35,9 +63,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: By id, whether a token begins with a blank.
+        self.blank = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.blank[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
         self.limit = limit
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.cache = _Cache({})
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -47,32 +77,37 @@ class Encoder:
             return False
         return not any(c in text for c in _ODD_ASCII) if text.isascii() else not _ODD.search(text)
 
+    def _codes(self, units: list[str]) -> Iterator[bytes]:
+        """Ids of units, many encoded as one text: only a unit's first token begins with its blank."""
+        for at in range(0, len(units), JOINED * JOINED):
+            part = units[at : at + JOINED * JOINED]
+            ids = array("I")
+            for e in self.tokenizer.encode_batch_fast([" " + " ".join(part[i : i + JOINED]) for i in range(0, len(part), JOINED)], add_special_tokens=False):
+                ids.extend(e.ids)
+            data, cuts = ids.tobytes(), (np.flatnonzero(self.blank[np.frombuffer(ids, np.uint32)]) * 4).tolist()
+            yield from map(data.__getitem__, map(slice, cuts, [*cuts[1:], len(data)]))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        units: list[tuple[int, list[str]]] = []
+        plain: list[tuple[int, str, list]] = []
         rest: list[int] = []
-        seen: set[str] = set()
+        if len(self.cache) > self.limit:
+            self.cache = _Cache(self.cache)
+        found = self.cache.__getitem__
         for i, text in enumerate(texts):
             if self.plain(text):
-                parts = text.split(" ")
-                units.append((i, parts))
-                seen.update(parts[1:])
+                head, *parts = text.split(" ")
+                plain.append((i, head, list(map(found, parts))))
             else:
                 rest.append(i)
-        if rest:
-            for i, ids in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
-                out[i] = ids
-        if len(self.cache) > self.limit:
-            self.cache, self.older = {}, self.cache
-        cache, older = self.cache, self.older
-        missing = [u for u in seen if u not in cache]
-        cache.update((u, older[u]) for u in missing if u in older)
-        if missing := [u for u in missing if u not in older]:
-            cache.update(zip(missing, self.whole([" " + u for u in missing]), strict=True))
-        heads = self.whole([parts[0] for _, parts in units])
-        for (i, parts), head in zip(units, heads, strict=True):
-            del parts[0]
-            out[i] = head + b"".join(map(cache.__getitem__, parts))
+        for i, ids in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
+            out[i] = ids
+        alone = [u for u in self.cache.new if not u or u.endswith(_ENDS)]
+        joined = [u for u in self.cache.new if u and not u.endswith(_ENDS)]
+        self.cache.fill(alone, self.whole([" " + u for u in alone]))
+        self.cache.fill(joined, self._codes(joined))
+        for (i, _, codes), head in zip(plain, self.whole([head for _, head, _ in plain]), strict=True):
+            out[i] = head + b"".join(codes)
         return out
 
 
