@@ -8,9 +8,11 @@ apart, so they fall into one of the overlapping bands of 2 (k + 1) diagonals. Ba
 shared q-grams are aligned; what stays within k edits is a match.
 
 The benchmark is sent to the tasks in blocks of at most ``BLOCK_CHARS`` characters; a larger one
-takes more passes over the texts. Items of fewer than ``least`` letters and digits are too short to
-tell and match nothing. Null and empty texts match nothing; repeated rows match each; no ties arise,
-as every item found is reported.
+takes more passes over the texts. Of items with fewer than ``least`` letters and digits no edits are
+allowed, and they must begin and end at the ends of words (scripts without blanks between words have
+no such ends). Null and empty texts and items match nothing; repeated rows match each; no ties arise,
+as every item found is reported. Texts and items of any length count whole, empty tables give no
+matches, and further columns are passed through or ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ BLOCK_CHARS = 4_000_000
 #: Normalised characters that are searched at once.
 _SLICE = 1 << 20
 _NONE = np.uint32(0xFFFFFFFF)
+#: From here on code points are mostly of scripts that set no blanks between words.
+_NO_BLANKS = 0x2E80
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _fold: np.ndarray | None = None
 
@@ -79,10 +83,12 @@ class Index:
 
     def __init__(self, items: list[tuple], window: int, rate: float, q: int, least: int):
         self.q = q
-        codes, self.item, hashes, owners, offsets = [], [], [], [], []
+        codes, self.item, hashes, owners, offsets, short = [], [], [], [], [], []
         for item_id, text in items:
             own = normal(text or "")[0]
             if len(own) < max(least, q):
+                if len(own):
+                    short.append((item_id, own))
                 continue
             starts = range(0, max(1, len(own) - window + 1), max(1, window // 2))
             for s in sorted({*starts, max(0, len(own) - window)}):
@@ -110,6 +116,13 @@ class Index:
             self.bits = max(16, int(np.ceil(np.log2(len(self.hash)))) + 5)
             self.seen = np.zeros(1 << self.bits, bool)
             self.seen[self._slot(self.hash)] = True
+        #: Short items by length: their hashes, ascending, and the numbers that follow the windows' numbers.
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in sorted({len(own) for _, own in short}):
+            of = [(int(gram_hashes(own, size)[0]), item_id) for item_id, own in short if len(own) == size]
+            of.sort(key=lambda x: x[0])
+            self.short[size] = np.array([h for h, _ in of], np.uint64), np.arange(len(self.item), len(self.item) + len(of))
+            self.item += [item_id for _, item_id in of]
 
     def _slot(self, hashes: np.ndarray) -> np.ndarray:
         return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -192,6 +205,27 @@ class Index:
             yield int(owner[j]), int(edits[j]), max(first, int(limits[text[j]])), min(last, int(limits[text[j] + 1]) - 1)
 
 
+    def exact(self, codes: np.ndarray, limits: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(number, first, last character) of each place of a short item within one text, by its 64-bit hash."""
+        for size, (hashes, numbers) in self.short.items():
+            if len(codes) < size:
+                continue
+            own = gram_hashes(codes, size)
+            at = np.flatnonzero(np.isin(own, hashes))
+            at = at[limits[np.searchsorted(limits, at, side="right")] >= at + size]
+            low, high = (np.searchsorted(hashes, own[at], side=side) for side in ("left", "right"))
+            for first, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True):
+                for number in numbers[a:b].tolist():
+                    yield number, first, first + size - 1
+
+
+def _stands_alone(codes: np.ndarray, at: np.ndarray, first: int, last: int) -> bool:
+    """Whether characters ``first`` to ``last`` of a text's letters and digits begin and end where words do."""
+    left = first and at[first] - at[first - 1] == 1 and codes[first] < _NO_BLANKS and codes[first - 1] < _NO_BLANKS
+    right = last + 1 < len(at) and at[last + 1] - at[last] == 1 and codes[last] < _NO_BLANKS and codes[last + 1] < _NO_BLANKS
+    return not left and not right
+
+
 def find(index: Index, texts: list[str | None]) -> list[dict]:
     """For each text the items it holds: item -> (windows found, fewest edits, start, end in the text)."""
     parts = [normal(t or "") for t in texts]
@@ -204,6 +238,13 @@ def find(index: Index, texts: list[str | None]) -> list[dict]:
             span = int(at[first - limits[text]]), int(at[last - limits[text]]) + 1
             windows, fewest, start, end = found[text].get(index.item[window], (set(), edits, *span))
             found[text][index.item[window]] = windows | {window}, min(fewest, edits), min(start, span[0]), max(end, span[1])
+        for number, first, last in index.exact(np.concatenate([c for c, _ in parts]), limits) if index.short else ():
+            text = int(np.searchsorted(limits, first, side="right")) - 1
+            codes, at = parts[text]
+            first, last = first - int(limits[text]), last - int(limits[text])
+            if _stands_alone(codes, at, first, last):
+                _, _, start, end = found[text].get(index.item[number], (None, 0, int(at[first]), 0))
+                found[text][index.item[number]] = {number}, 0, start, max(end, int(at[last]) + 1)
     return found
 
 

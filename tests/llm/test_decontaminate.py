@@ -1,6 +1,7 @@
 """Benchmark decontamination against edit distances of all windows and regions."""
 
 import random
+import re
 
 import numpy as np
 
@@ -31,6 +32,10 @@ def edited(rnd, text, most):
     return "".join(out)
 
 
+def D_letters(text):
+    return [c for c in text.lower() if c.isalnum()]
+
+
 def words(rnd, n):
     return " ".join("".join(rnd.choices("abcdefghilmnoprstu", k=rnd.randint(2, 8))) for _ in range(n))
 
@@ -43,14 +48,22 @@ def test_against_all_regions():
     texts += [words(rnd, rnd.randint(0, 20)) + " " + edited(rnd, rnd.choice(items)[1], 9).upper() + " " + words(rnd, rnd.randint(0, 20)) for _ in range(60)]
     for text, found in zip(texts, D.find(index, texts), strict=True):
         own = D.normal(text or "")[0].tolist()
-        want = {index.item[w] for w in range(len(index.item)) if distance(index.codes[w][: index.length[w]].tolist(), own) <= index.budget[w]}
-        assert found.keys() == want
+        want = {index.item[w] for w in range(len(index.length)) if distance(index.codes[w][: index.length[w]].tolist(), own) <= index.budget[w]}
+        short = {i for i, t in items if 0 < len(D.normal(t)[0]) < 12 and re.search(rf"(?<![^\W_]){r'[\W_]*'.join(map(re.escape, D_letters(t)))}(?![^\W_])", (text or "").lower())}
+        assert found.keys() == want | short
         held += len(want)
         for windows, edits, start, end in found.values():
             assert windows and edits >= 0 and 0 <= start < end <= len(text)
     assert held > 30
 
 
+def test_short_items():
+    index = D.Index([(1, "Is it 42?"), (2, "天地玄黄"), (3, "!"), (4, "is it"), (5, "IS-IT 42"), (6, None)], 80, 0.1, 8, 24)
+    texts = ["so is it, 42. Is it 42", "this it 42", "is it 421", "宇宙天地玄黄洪荒", "is", None, "x is\nit"]
+    got = [{k: (len(w), e, a, b) for k, (w, e, a, b) in x.items()} for x in D.find(index, texts)]
+    assert got == [{1: (1, 0, 3, 22), 4: (1, 0, 3, 19), 5: (1, 0, 3, 22)}, {}, {4: (1, 0, 0, 5)}, {2: (1, 0, 2, 6)}, {}, {}, {4: (1, 0, 2, 7)}]
+
+
 def test_slices_do_not_matter(monkeypatch):
     rnd = random.Random(5)
     items = [(i, words(rnd, 20)) for i in range(5)]
@@ -77,8 +90,8 @@ def test_rows(spark):
     benchmark = spark.createDataFrame([(*i, 0) for i in items], "item_id long, text string, doc_id int")
     for block_chars in (100, 10**6):
         got = sorted((r.doc_id or 0, r.item_id) for r in D.matches(df, benchmark, block_chars=block_chars).collect())
-        assert got == [(0, 1), (2, 0), (2, 3), (4, 2), (4, 2)]
+        assert got == [(0, 1), (2, 0), (2, 3), (4, 2), (4, 2), (5, 9)]
         kept = D.clean(df, benchmark, block_chars=block_chars)
-        assert kept.columns == df.columns and sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted((d, t or "") for d, t in (docs[0], docs[2], docs[4], docs[7]))
+        assert kept.columns == df.columns and sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted((d, t or "") for d, t in (docs[0], docs[2], docs[4]))
     assert D.matches(df, benchmark.limit(0)).count() == 0 and D.clean(df, benchmark.limit(0)).count() == len(docs)
     assert D.matches(df.limit(0), benchmark).count() == 0
