@@ -11,8 +11,9 @@ what stands in lighter containers beside it; then the same for the pages left. I
 page only don't tell containers apart. Menus, footers, forms, comments and the like are known by element names and by words of
 class, id and role. Template text inside the article is kept, outside it is dropped.
 
-Null and empty html give an empty text. A page without a host, or alone in its group, has a template
-of its own structure. Repeated rows are pages each; ties between containers go to the first.
+Null and empty html give an empty text, an empty table no rows. A page without a host stands alone, and a page
+alone in its group has a template of its own structure. Repeated rows are pages each; ties between containers go to the
+first. Pages of any length count whole; columns besides page_id, url and html are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -342,7 +343,8 @@ def main_text(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
     large = read.groupBy("host").count().where(F.col("count") > group_pages).select("host", F.ceil(F.col("count") / group_pages).alias("groups"))
     if large.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         large = F.broadcast(large)
-    grouped = read.join(large, "host", "left").withColumn("deal", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1))))
+    dealt = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1)))
+    grouped = read.join(large, "host", "left").withColumn("deal", F.when(F.col("host") == "", F.monotonically_increasing_id()).otherwise(dealt))
 
     def run(table: pa.Table) -> pa.Table:
         texts = extract(table["html"].to_pylist())

@@ -30,6 +30,22 @@ def test_without_article_the_slots_with_most_words_count():
     assert P.extract(pages) == texts
 
 
+def test_the_template_decides_without_article(monkeypatch):
+    rnd = random.Random(9)
+    texts = [_words(rnd, 30) for _ in range(6)]
+    pages = [page(rnd, f'<div id="content"><p>Tell your friends about this page!</p><p>{t}</p></div>') for t in texts]
+    assert P.extract(pages) == texts
+    monkeypatch.setattr(P, "template_tokens", lambda pages, n: np.zeros(n, bool))
+    assert P.extract(pages) == [f"Tell your friends about this page!\n{t}" for t in texts]
+
+
+def test_pages_without_host_stand_alone(spark):
+    rnd = random.Random(11)
+    rows = [(i, (None, "", "no url")[i % 3], f"<p>{_words(rnd, 5 + 9 * i)}</p><div><p>same {_words(random.Random(1), 4)}</p></div>") for i in range(12)]
+    got = {r.page_id: r.text for r in P.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)).collect()}
+    assert got == {i: P.extract([h])[0] for i, _, h in rows} and all(got.values())
+
+
 def _words(rnd, n):
     return " ".join("".join(rnd.choices("klmnop", k=5)) for _ in range(n))
 
