@@ -1,6 +1,7 @@
 """License scan: an exact set-similarity join of text blocks with license templates, and phrase places.
 
-Native DataFrame operations only. A block is a sentence or line. A template is found in a block when
+Native DataFrame operations only. A block is a sentence; it goes on over single line ends, as license texts are
+wrapped, and ends at an empty line. A template is found in a block when
 the block holds at least ``threshold`` of the template's distinct words. The join orders words by
 their document frequency in the corpus, rarest first, and lets a block and a template meet only if
 they share a word of both prefixes (prefix filter), the block has enough words (length filter) and
@@ -8,7 +9,8 @@ the places of the shared words leave room for enough overlap (positional filter)
 counted exactly. Only words of templates can overlap, so blocks are cut to these first.
 
 Null and empty texts have 0 words and no labels; every row counts, repeated ones too. Texts are
-lower-cased for A-Z only.
+lower-cased for A-Z only. An empty table gives no rows; texts of any length count whole; templates that are found equally
+well all give their labels; columns besides doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,20 +29,27 @@ PHRASES = {"cc-by": ("cc", "by"), "gpl": ("general", "public", "license"), "rese
 TEMPLATES = {
     "agpl-3.0": "gnu affero general public license version 3",
     "apache-2.0": "licensed under the apache license version 2 0",
+    "apache-2.0-notice": "you may not use this file except in compliance with the license",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted",
+    "bsd-clause": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "bsl-1.0": "distributed under the boost software license version 1 0",
     "cc-by-4.0": "licensed under a creative commons attribution 4 0 international license",
     "cc-by-nc-4.0": "licensed under cc by nc 4 0",
     "cc-by-sa-4.0": "licensed under cc by sa 4 0",
     "gpl-3.0": "this work is licensed under the gnu general public license version 3",
+    "gpl-notice": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "lgpl-notice": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
     "mit": "released under the mit license",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software",
+    "mit-licensed": "licensed under the mit license",
+    "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "mpl-2.0": "subject to the terms of the mozilla public license v 2 0",
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
 THRESHOLD = 0.9
-#: Blocks end at line ends and after the marks that end a sentence.
-BLOCK_END = r"\n|[.!?]+[ \t]+"
+#: Blocks end at empty lines and after the marks that end a sentence.
+BLOCK_END = r"\n[ \t\r]*\n|[.!?]+[ \t\r\n]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 

@@ -97,6 +97,13 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_wrapped_license(spark):
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files"
+    rows = [(1, f"/*\n * {grant}, to deal\n */"), (2, grant.replace("\n", "\n\n")), (3, "Redistribution and use in source and binary forms, with or without\r\nmodification, are permitted provided")]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "mit-grant", 2: "", 3: "bsd"}
+
+
 def test_no_python_on_the_executors(spark):
     docs = spark.createDataFrame([(1, "all rights reserved")], "doc_id long, text string")
     talk = spark.createDataFrame([(1, 0, "a", "x")], "conv_id long, turn long, role string, text string")
