@@ -9,7 +9,8 @@ and those between groups join them, so links and components are exact; the passe
 
 Vectors that are null, zero or hold null or non-finite components, and those without a label, link
 with nothing; vectors of other lengths are compared with their like only. Rows without vec_id aren't
-linked. Ties in the order go by class; repeated rows of a vec_id count as vectors each.
+linked. Ties in the order go by class; repeated rows of a vec_id count as vectors each. An empty table gives no
+rows; columns besides vec_id, embedding and label are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -4,10 +4,12 @@ Each task packs the documents of its partition as they come. A level array count
 by fill; a document's last piece goes to the level that makes the sum of the squared counts of
 partially filled windows smallest. Longer documents first give off whole windows. When a task ends
 (or holds ``open_limit`` open windows) the open windows are joined: the emptiest are cut up to fill
-the fullest, so that at most one window a task stays short.
+the fullest, so that each time at most one window stays short.
 
 No shuffle: work and result depend on the input partition alone, so a lost task is simply run again.
-Null and empty texts give one piece that holds the end id; repeated rows are packed once each.
+Null and empty texts give one piece that holds the end id; repeated rows and rows without doc_id are
+packed once each. An empty table gives no rows. A text of any length is cut into whole windows and a rest. Of
+levels with equal sums the emptiest is taken. Columns besides doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations

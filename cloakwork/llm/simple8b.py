@@ -2,15 +2,16 @@
 
 A shard file holds documents in ascending doc_id order:
 
-    magic "CWS8B\\x01\\0\\0", then little-endian int64: documents, ids, blocks, ids of the partition before the shard
+    magic "CWS8B\\x02\\0\\0", then little-endian int64: documents, ids, blocks, ids of the partition before the shard,
+      documents without doc_id (they come first, with 0 in its place)
     int64 doc_id of each document, int64 ids of each document
     int64 first word of each block, one more for the end
     uint64 words
 
 A block holds ``BLOCK`` ids (the last one fewer), so a reader can start at any block. Ids of more
 than 30 bits are escaped: each takes a word of its own. Null and empty texts hold the end id alone;
-repeated rows are stored once each, in the order of their texts. Rows without doc_id come first and
-carry the smallest 64-bit number in its place.
+repeated rows are stored once each, in the order of their texts. An empty table gives no files and no rows;
+texts of any length count whole; columns besides doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,10 +28,9 @@ from pyspark.sql import functions as F
 from .bytebpe import encoder, vocabulary_path
 from .common import arrow_map, chunks, materialise, new_path, small_batches
 
-MAGIC = b"CWS8B\x01\0\0"
+MAGIC = b"CWS8B\x02\0\0"
 BLOCK = 4096
 SHARD_IDS = 1 << 20
-NO_ID = -(1 << 63)
 #: How many ids of how many bits each selector of Simple-8b packs.
 SELECTORS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 _COUNTS = np.array([n for n, _ in SELECTORS])
@@ -107,8 +107,9 @@ def decode_ids(words: np.ndarray) -> np.ndarray:
 
 def shard_bytes(doc_ids: list, lengths: list[int], ids: bytes, before: int) -> bytes:
     words, blocks = encode_ids(np.frombuffer(ids, "<u4"))
-    head = np.array([len(doc_ids), len(ids) // 4, len(blocks) - 1, before], "<i8")
-    return b"".join([MAGIC, head.tobytes(), np.array([NO_ID if x is None else x for x in doc_ids], "<i8").tobytes(), np.array(lengths, "<i8").tobytes(), blocks.tobytes(), words.tobytes()])
+    without = doc_ids.count(None)
+    head = np.array([len(doc_ids), len(ids) // 4, len(blocks) - 1, before, without], "<i8")
+    return b"".join([MAGIC, head.tobytes(), np.array([0] * without + doc_ids[without:], "<i8").tobytes(), np.array(lengths, "<i8").tobytes(), blocks.tobytes(), words.tobytes()])
 
 
 class Shard:
@@ -117,8 +118,8 @@ class Shard:
     def __init__(self, data: bytes):
         if data[:8] != MAGIC:
             raise ValueError("not a Simple-8b shard")
-        docs, self.n_ids, n_blocks, self.before = np.frombuffer(data, "<i8", 4, 8).tolist()
-        at = 40
+        docs, self.n_ids, n_blocks, self.before, self.without = np.frombuffer(data, "<i8", 5, 8).tolist()
+        at = 48
         self.doc_ids = np.frombuffer(data, "<i8", docs, at)
         self.lengths = np.frombuffer(data, "<i8", docs, at + 8 * docs)
         at += 16 * docs
@@ -207,7 +208,7 @@ def read_ids(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
             ends = np.cumsum(shard.lengths)
             starts = ends - shard.lengths
             yield {
-                "doc_id": pa.array(shard.doc_ids, mask=shard.doc_ids == NO_ID),
+                "doc_id": pa.array(shard.doc_ids, mask=np.arange(len(shard.doc_ids)) < shard.without),
                 "start": starts + first,
                 "n_tokens": shard.lengths,
                 "ids_crc32": [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)],

@@ -6,7 +6,9 @@ a text may be cut there into pre-tokens whose pieces add up. Each distinct pre-t
 is given to the library once. Frequent short ones (at most ``head`` of them) are broadcast; the rest
 meets the per-document frequencies in a join.
 
-Null and empty texts count 0 tokens and 0 bytes; repeated rows are counted each.
+Null and empty texts count 0 tokens and 0 bytes; repeated rows and rows without doc_id are counted each. An
+empty table gives no rows, texts of any length count whole, no ties arise that change a count, and columns
+besides doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -1,6 +1,9 @@
 """A training corpus from documents: language ID, n-gram Jaccard join, benchmark decontamination, packing.
 
-Every stage takes all rows its predecessor kept; all but the last return the columns of ``documents``.
+Every stage takes all rows its predecessor kept; all but the last return the columns of ``documents``, others
+that the table has besides included. Null and empty texts are ``und`` and go in the first stage; rows without
+doc_id pass the second, which keeps one of repeated rows. Empty tables give empty tables; texts of any length
+count whole; of near-duplicates the smallest doc_id stays, so no tie arises.
 """
 
 from __future__ import annotations
