@@ -2,19 +2,23 @@
 
 Learning counts every word of every training text on Spark. A known word scores by its log frequency
 in each language; of another word, the longest n-grams that are known score in its place, by their
-mean. The words seen most, within ``MODEL_CELLS`` (word, language) counts, are sent to the tasks; all
-other words of the texts meet the full counts in joins, so the bound changes no result.
+mean. Counts are sent to the tasks as arrays, by 64-bit hashes of words and n-grams. Beyond ``MODEL_CELLS``
+(word, language) counts these are the words seen most only, and all other words of the texts meet the full
+counts in joins, as do n-grams where they are more than that; so the bound changes no result.
 
 A text that is null or has no letter is ``und`` with score 0. With nothing learned every text is
 ``und``. A text of which no word or n-gram is known gets the language seen in most documents, at its
-share of one over the number of languages. Ties go to the first language by name.
+share of one over the number of languages. Ties go to the first language by name. Repeated rows and rows
+without doc_id are predicted each (the latter are never learned from); an empty table gives no rows; texts of
+any length count whole; other columns are no input, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +26,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from xxhash import xxh64_intdigest
 
-from .common import materialise, small_batches
+from .common import chunks, materialise, small_batches
 
-#: At most so many counts of words are sent to the tasks, and as many of n-grams if all of both fit; the others are joined.
-MODEL_CELLS = 200_000
+#: At most so many counts of words are sent to the tasks, and as many of n-grams if all of these fit; the others are joined.
+MODEL_CELLS = 4_000_000
 #: Numbers in the table of the words that are sent: with many languages these are fewer words.
 MODEL_SIZE = 1 << 24
-#: Scores of so many unseen words are kept by a task.
+#: Scores of so many words are kept by a task.
 UNSEEN = 100_000
 LONGEST = 5
 UND = "und"
@@ -99,114 +104,144 @@ def gram_counts(counts: DataFrame) -> DataFrame:
     return _counted(counts.select("lang", "word", "n"), of_words, "gram")
 
 
-def _most(counts: DataFrame, key: str, cells: int) -> pa.Table | None:
-    """The counts of the keys seen most, all languages of a key together, within ``cells`` counts."""
-    totals = counts.groupBy(key).agg(F.sum("n").alias("total"), F.count("*").alias("cells"))
-    level = F.floor(F.log2("total") * 8).cast("int")
-    held, cut = 0, None
-    for k, n in sorted(map(tuple, totals.groupBy(level).agg(F.sum("cells")).collect()), reverse=True):
-        if held + n > cells:
-            break
-        held, cut = held + n, k
-    if cut is None:
-        return None
-    return counts.join(totals.where(level >= cut).select(key), key).select(key, "lang", "n").toArrow()
+def _most(counts: DataFrame, key: str, languages: list[str], cells: int | None) -> pa.Table | None:
+    """The counts (hash, lang, n and the key's length) of the keys seen most, all languages of a key together, within ``cells`` counts; None: all."""
+    if cells is not None:
+        totals = counts.groupBy(key).agg(F.sum("n").alias("total"), F.count("*").alias("cells"))
+        level = F.floor(F.log2("total") * 8).cast("int")
+        held, cut = 0, None
+        for k, n in sorted(map(tuple, totals.groupBy(level).agg(F.sum("cells")).collect()), reverse=True):
+            if held + n > cells:
+                break
+            held, cut = held + n, k
+        if cut is None:
+            return None
+        counts = counts.join(totals.where(level >= cut).select(key), key)
+    number = (F.array_position(F.array(*map(F.lit, languages)), F.col("lang")) - 1).cast("short")
+    return counts.select(F.xxhash64(key).alias("hash"), number.alias("lang"), "n", F.least(F.length(key), F.lit(100)).cast("byte").alias("size")).toArrow()
+
+
+def hashes(keys: Collection[str]) -> np.ndarray:
+    """The 64-bit hash of each key, as Spark's ``xxhash64`` gives it."""
+    return np.fromiter((xxh64_intdigest(k.encode(), 42) for k in keys), np.uint64, len(keys))
 
 
 class Logs:
-    """Log frequencies by language of keys: one row of a table for each key."""
+    """Log frequencies by language of keys: one row of counts for each key, in the order of their hashes."""
 
     def __init__(self, counts: pa.Table | None, languages: list[str], totals: np.ndarray, distinct: int | None = None):
-        keys, langs, n = ([], [], []) if counts is None else (c.to_pylist() for c in counts.columns)
-        number = {x: i for i, x in enumerate(languages)}
-        self.rows = {k: i for i, k in enumerate(dict.fromkeys(keys))}
-        table = np.full((len(self.rows), len(languages)), 0.5)
-        np.add.at(table, ([self.rows[k] for k in keys], [number[x] for x in langs]), n)
-        size = totals + 0.5 * (len(self.rows) if distinct is None else distinct) + 1
+        if counts is None:
+            keys, langs, n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
+        elif counts.schema[0].type == pa.int64():
+            keys, langs, n = counts.column(0).to_numpy().view(np.uint64), counts.column(1).to_numpy(), counts.column(2).to_numpy()
+        else:
+            number = {x: i for i, x in enumerate(languages)}
+            keys, langs, n = counts.column(0).to_pylist(), [number[x] for x in counts.column(1).to_pylist()], counts.column(2).to_numpy()
+            keys = hashes(keys)
+        self.hash, row = np.unique(keys, return_inverse=True)
+        # As counts of 32 bits, exact below 2 ** 24; logarithms are taken of the rows that are looked up.
+        self.counts = np.zeros((len(self.hash), len(languages)), np.float32)
+        self.counts[row, langs] = n
+        self.size = np.log(totals + 0.5 * (len(self.hash) if distinct is None else distinct) + 1)
         #: Of a key that no language has. One seen n times in a language has log(2 n + 1) more there.
-        self.base = np.log(0.5 / size)
-        self.table = np.log(table / size)
+        self.base = np.log(0.5) - self.size
 
-    def __getstate__(self):
-        return "\n".join(self.rows), self.table, self.base
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each hash, or -1."""
+        if not len(self.hash):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.hash, keys), len(self.hash) - 1)
+        return np.where(self.hash[at] == keys, at, -1)
 
-    def __setstate__(self, state):
-        keys, self.table, self.base = state
-        self.rows = {k: i for i, k in enumerate(keys.split("\n"))} if len(self.table) else {}
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        return np.log(self.counts[rows].astype(np.float64) + 0.5) - self.size
 
 
 class Model:
     """Log frequencies by language of the known words and n-grams."""
 
-    def __init__(self, languages: list[str], totals: list[list[int]], words: pa.Table | None, ngrams: pa.Table | None, prior: int, distinct: list[int] | None = None):
+    def __init__(self, languages: list[str], totals: list[list[int]], words: pa.Table | None, ngrams: pa.Table | list | None, prior: int, distinct: list[int] | None = None):
         self.languages, self.prior = languages, prior
         distinct = distinct or [None] * (LONGEST + 1)
-        #: The full counts of words and n-grams, if tasks have only a part of them.
-        self.full: tuple[DataFrame, DataFrame] | None = None
+        #: The full counts of words, if tasks have only a part of them, and of n-grams, if tasks have none.
+        self.full: tuple[DataFrame, DataFrame | None] | None = None
         self.words = Logs(words, languages, np.array(totals[0], float), distinct[0])
         # The n-grams of each length share the counts of their own length.
         self.grams = [Logs(None, languages, np.ones(len(languages)))]
         for n in range(1, LONGEST + 1):
-            own = None if ngrams is None else ngrams.filter(pc.equal(pc.utf8_length(ngrams["gram"]), n))
+            length = pc.utf8_length(ngrams["gram"]) if ngrams is not None and "gram" in ngrams.column_names else None if ngrams is None else ngrams["size"]
+            own = None if ngrams is None else ngrams.filter(pc.equal(length, n))
             self.grams.append(Logs(own, languages, np.maximum(1.0, np.array(totals[n], float)), distinct[n]))
         self._forget()
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("unseen", "scores", "full")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("rows", "scores", "full")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
         self._forget()
 
     def _forget(self, room: int = 0):
-        """Unseen words met lately: word -> row of ``scores``, -1 for words of which nothing is known."""
-        self.unseen: dict[str, int] = {}
+        """Words met lately: word -> row of ``scores``, -1 for words of which nothing is known."""
+        self.rows: dict[str, int] = {}
         self.scores = np.zeros((max(UNSEEN, room), len(self.languages)))
 
-    def _unseen(self, word: str) -> int:
-        found = self.backoff(word)
-        row = -1 if found is None else len(self.unseen)
-        if found is not None:
-            self.scores[row] = found
-        self.unseen[word] = row
-        return row
-
-    def backoff(self, word: str) -> np.ndarray | None:
-        """The mean of the longest n-grams that are known; None if not even a letter is."""
-        for n in range(min(LONGEST, len(word) + 2), 0, -1):
-            logs = self.grams[n]
-            known = [i for g in grams(word, n) if (i := logs.rows.get(g)) is not None]
-            if known:
-                return logs.table[known].mean(axis=0)
-        return None
+    def backoff(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word the mean of the longest n-grams that are known, and their length; 0 if not even a letter is."""
+        score, level = np.zeros((len(words), len(self.languages))), np.zeros(len(words), np.int64)
+        rest = np.arange(len(words))
+        for n in range(LONGEST, 0, -1):
+            if not len(rest):
+                break
+            of = [grams(words[i], n) for i in rest.tolist()]
+            owner = np.repeat(np.arange(len(rest)), list(map(len, of)))
+            at = self.grams[n].find(hashes(list(chain.from_iterable(of))))
+            owner, at = owner[at >= 0], at[at >= 0]
+            logs, often = self.grams[n].of(at), np.bincount(owner, minlength=len(rest))
+            met = often > 0
+            for k in range(len(self.languages)):
+                score[rest[met], k] = np.bincount(owner, logs[:, k], len(rest))[met] / often[met]
+            level[rest[met]] = n
+            rest = rest[~met]
+        return score, level
+
+    def _meet(self, counters: list[Counter]) -> None:
+        """Keep the scores of all words of some texts."""
+        every = set().union(*counters)
+        new = every.difference(self.rows)
+        if len(self.rows) + len(new) > len(self.scores):
+            self._forget(len(every))
+            new = every
+        new = list(new)
+        found = self.words.find(hashes(new))
+        known = np.flatnonzero(found >= 0)
+        other = np.flatnonzero(found < 0)
+        score, level = self.backoff([new[i] for i in other.tolist()])
+        first = len(self.rows)
+        rows = first + np.arange(len(new))
+        self.scores[rows[known]] = self.words.of(found[known])
+        self.scores[rows[other]] = score
+        rows[other[level == 0]] = -1
+        self.rows.update(zip(new, rows.tolist(), strict=True))
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        counters = [Counter(_WORD.findall((text or "").lower())) for text in texts]
+        if not self.languages:
+            return [(UND, 0.0)] * len(texts)
+        self._meet(counters)
+        get, out = self.rows.__getitem__, []
+        for counts in counters:
+            if not any(map(str.isalpha, counts)):
+                out.append((UND, 0.0))
+                continue
+            rows, times = np.fromiter(map(get, counts), np.int64, len(counts)), np.fromiter(counts.values(), np.float64, len(counts))
+            if rows.min() < 0:
+                rows, times = rows[rows >= 0], times[rows >= 0]
+            out.append(self.decided(times @ self.scores[rows], int(times.sum())))
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = _WORD.findall((text or "").lower())
-        if not self.languages or not any(map(str.isalpha, words)):
-            return UND, 0.0
-        counts = Counter(words)
-        if len(self.unseen) + len(counts) > len(self.scores):
-            self._forget(len(counts))
-        known, often, other, times = [], [], [], []
-        rows, unseen = self.words.rows, self.unseen
-        for word, count in counts.items():
-            row = rows.get(word)
-            if row is not None:
-                known.append(row)
-                often.append(count)
-                continue
-            row = unseen.get(word)
-            if row is None:
-                row = self._unseen(word)
-            if row >= 0:
-                other.append(row)
-                times.append(count)
-        score, n = np.zeros(len(self.languages)), sum(often) + sum(times)
-        if known:
-            score += np.array(often) @ self.words.table[known]
-        if other:
-            score += np.array(times) @ self.scores[other]
-        return self.decided(score, n)
+        return self.predict_all([text])[0]
 
     def decided(self, score: np.ndarray, n: int) -> tuple[str, float]:
         """The language and score of a text by the summed scores of its ``n`` words."""
@@ -231,12 +266,14 @@ def learn(training: DataFrame, cells: int = MODEL_CELLS) -> Model:
     totals = [[sums.get((lang, k), 0) for lang in languages] for k in range(LONGEST + 1)]
     prior = languages.index(found[0].lang)
     cells = min(cells, max(1, MODEL_SIZE // len(languages)))
-    if words.count() <= cells and ngrams.count() <= cells:
-        return Model(languages, totals, _most(words, "word", cells), _most(ngrams, "gram", cells), prior)
+    all_words, all_grams = words.count() <= cells, ngrams.count() <= cells
+    sent = _most(ngrams, "gram", languages, None) if all_grams else None
+    if all_words and all_grams:
+        return Model(languages, totals, _most(words, "word", languages, None), sent, prior)
     each = {r.k: r.n for r in ngrams.select("gram").distinct().groupBy(F.length("gram").alias("k")).agg(F.count("*").alias("n")).collect()}
     distinct = [words.select("word").distinct().count(), *(each.get(k, 0) for k in range(1, LONGEST + 1))]
-    model = Model(languages, totals, _most(words, "word", cells), None, prior, distinct)
-    model.full = words, ngrams
+    model = Model(languages, totals, _most(words, "word", languages, cells), sent, prior, distinct)
+    model.full = words, None if all_grams else ngrams
     return model
 
 
@@ -247,6 +284,21 @@ def _looked_up(wanted: DataFrame, model: Model) -> DataFrame:
     met = materialise(wanted.join(words.groupBy("word").agg(above.alias("more")), "word", "left"), "language-known")
     found = met.where("more is not null").select("word", F.lit(0).alias("level"), "more")
     rest = met.where("more is null").select("word")
+    if ngrams is None:
+        shared, level = wanted.sparkSession.sparkContext.broadcast(model), "word string, level int, more array<struct<lang string, d double>>"
+
+        def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = shared.value
+            base = np.array([x.base for x in m.grams])
+            for batch in batches:
+                words = batch.column("word").to_pylist()
+                score, levels = m.backoff(words)
+                more = [[{"lang": x, "d": y} for x, y in zip(m.languages, row, strict=True)] for row in (score - base[levels]).tolist()]
+                kept = pa.array(levels > 0)
+                kind = pa.list_(pa.struct([("lang", pa.string()), ("d", pa.float64())]))
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(levels, pa.int32()), pa.array(more, kind)], names=["word", "level", "more"]).filter(kept)
+
+        return found.union(small_batches(rest).mapInArrow(unseen, level))
 
     def cut(k: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,17 +329,19 @@ def _predict_joined(kept: DataFrame, model: Model, schema: StructType, hidden: l
     part_schema = StructType([*shown, *StructType.fromDDL(parts).fields])
 
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, table = shared.value.words.rows, shared.value.words.table
+        logs = shared.value.words
         for batch in batches:
             letters, score, n, others, times = [], [], [], [], []
             for text in batch.column("text"):
                 counts = Counter(_WORD.findall((text.as_py() or "").lower()))
-                known = [(r, c) for w, c in counts.items() if (r := rows.get(w)) is not None]
+                words, often = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+                at = logs.find(hashes(words))
+                known = at >= 0
                 letters.append(any(map(str.isalpha, counts)))
-                score.append((np.array([c for _, c in known]) @ table[[r for r, _ in known]]).tolist() if known else [0.0] * table.shape[1])
-                n.append(sum(c for _, c in known))
-                others.append([w for w in counts if w not in rows])
-                times.append([c for w, c in counts.items() if w not in rows])
+                score.append((often[known] @ logs.of(at[known])).tolist())
+                n.append(int(often[known].sum()))
+                others.append([w for w, k in zip(words, known.tolist(), strict=True) if not k])
+                times.append(often[~known].tolist())
             columns = [batch.column(f.name) for f in shown] + [batch.column("_row"), pa.array(letters, pa.bool_()), pa.array(score, pa.list_(pa.float64())), pa.array(n, pa.int64()), pa.array(others, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=part_schema.names)
 
@@ -331,9 +385,10 @@ def predict(docs: DataFrame, model: Model, hidden: list[str] | None = None) -> D
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = shared.value.predict
+        of = shared.value.predict_all
         for batch in batches:
-            found = [of(t.as_py()) for t in batch.column("text")]
+            texts = batch.column("text").to_pylist()
+            found = [x for a, b in chunks(texts) for x in of(texts[a:b])]
             columns = [*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred", "score"])
 

@@ -4,6 +4,7 @@ import math
 import pickle
 import zlib
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,27 @@ def test_a_small_head_changes_no_result(spark):
         assert (r.held_out, r.lang_pred) == (want[r.doc_id].held_out, want[r.doc_id].lang_pred) and abs(r.score - want[r.doc_id].score) < 1e-9
 
 
+def test_n_grams_fit_where_words_do_not(spark):
+    """Many words of few letters: n-grams are sent, words joined."""
+    rows = [*corpus(), *((1000 + i, "".join(w), "en" if i % 2 else "de") for i, w in enumerate(product("ab", repeat=11)))]
+    df = spark.createDataFrame([*rows, (900, "quickly sleeper hundert banana fuchsbau", None)], "doc_id long, text string, lang string").repartition(3)
+    training = df.where("lang is not null")
+    words = langid.word_counts(training)
+    grams = langid.gram_counts(words).count()
+    assert grams < words.count()
+    want = {r.doc_id: r for r in langid.predict(df, langid.learn(training)).collect()}
+    model = langid.learn(training, grams)
+    assert model.full and model.full[1] is None
+    for r in langid.predict(df, model).collect():
+        assert r.lang_pred == want[r.doc_id].lang_pred and abs(r.score - want[r.doc_id].score) < 1e-9
+
+
+def test_hashes_are_those_of_spark(spark):
+    keys = ["", "a", "über", "日本", "x" * 100, "<ab>"]
+    got = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k string").select(F.xxhash64("k")).collect()]
+    assert langid.hashes(keys).view(np.int64).tolist() == got
+
+
 def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "text", None), (2, None, "en")], "doc_id long, text string, lang string")
     assert {(r.lang_pred, r.score) for r in langid.identify(df).collect()} == {("und", 0.0)}
