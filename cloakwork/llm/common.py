@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of one Arrow batch between the JVM and a Python worker.
 BATCH_BYTES = "4m"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of text that a Python task handles at once; bounds its working memory whatever the batch holds.
 CHUNK_BYTES = 2 << 20
 
@@ -42,10 +43,18 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage is cut, and it survives lost executors."""
+    """Write a table to the shared folder and read it back: lineage is cut, and it survives lost executors.
+
+    Once it is written nothing reads its shuffles again, so their files go.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
