@@ -6,6 +6,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -24,6 +25,8 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Short units that stay in the cache between tasks.
+KEPT = 60_000
 #: Units that are encoded as one text.
 JOINED = 32
 
@@ -87,6 +90,10 @@ class Encoder:
             data, cuts = ids.tobytes(), (np.flatnonzero(self.blank[np.frombuffer(ids, np.uint32)]) * 4).tolist()
             yield from map(data.__getitem__, map(slice, cuts, [*cuts[1:], len(data)]))
 
+    def shrink(self) -> None:
+        """Keep some short units only, which come up again most; for the end of a task, as workers outlive it."""
+        self.cache = _Cache(dict(islice(((u, c) for u, c in self.cache.items() if len(u) <= 8), KEPT)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         plain: list[tuple[int, str, list]] = []

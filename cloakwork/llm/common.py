@@ -14,7 +14,7 @@ BATCH_BYTES = "4m"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of text that a Python task handles at once; bounds its working memory whatever the batch holds.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:

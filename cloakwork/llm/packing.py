@@ -117,7 +117,7 @@ def pack(docs: DataFrame, window: int = 1024, end_id: int = 0, vocabulary: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(path).encode
+        encode = (units := encoder(path)).encode
         packer = Packer(window, TaskContext.get().partitionId() << 33)
 
         def flush() -> pa.RecordBatch:
@@ -134,6 +134,7 @@ def pack(docs: DataFrame, window: int = 1024, end_id: int = 0, vocabulary: str |
                 if len(packer.rows) > 20_000:
                     yield flush()
         packer.finish()
+        units.shrink()
         yield flush()
 
     return small_batches(docs).select("doc_id", "text").mapInArrow(run, SCHEMA)

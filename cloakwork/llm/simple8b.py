@@ -145,7 +145,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 0, vocabulary: str | Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(vocabulary).encode
+        encode = (units := encoder(vocabulary)).encode
         store, root = fs.FileSystem.from_uri(path)
         task = TaskContext.get()
         partition = task.partitionId()
@@ -179,6 +179,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 0, vocabulary: str | Non
                         flush()
         if doc_ids:
             flush()
+        units.shrink()
         columns = list(zip(*manifest, strict=True)) or [()] * 5
         kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["partition", "shard", "path", "n_docs", "n_ids"])
