@@ -8,12 +8,13 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .functions.wordlists import Dictionaries
 from .operators import infer, vault
 from .operators.detect import Options
 from .plans.analyse import analyse, summary
 from .plans.engine import run
 from .plans.mapping import Mapping
-from .sources import files
+from .sources import dictionaries, files
 
 DRY_RUN = 100
 
@@ -29,16 +30,18 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--fort", action="store_true", help="also detect names by context and dictionaries")
     p.add_argument("--tech", action="store_true", help="also detect technical secrets and addresses")
     p.add_argument("--input-dir", action="store_true", help="all files of a folder, each with a vault of its own")
+    p.add_argument("--dictionaries", metavar="FOLDER", help="word lists that take the place of the built-in ones, names among them")
     p.add_argument("--output")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("cloakwork").getOrCreate()
     mapping = Mapping.from_json(Path(a.mapping).read_text()) if a.mapping else Mapping()
     df = files.read_folder(spark, a.input, mapping, (".json", ".csv", ".tsv", ".xlsx", ".ods", ".docx", ".odt")) if a.input_dir else files.read(spark, a.input, mapping)
+    words = dictionaries.load(spark, a.dictionaries) if a.dictionaries else Dictionaries()
     if a.mapping_generate:
         print(infer.infer_mapping(df).to_json())
         return 0
     if a.score_only:
-        summary(analyse(df, None, Options(a.fort, a.tech))).show(truncate=False)
+        summary(analyse(df, None, Options(a.fort, a.tech, dictionaries=words))).show(truncate=False)
         return 0
     if a.restore:
         rows = df.withColumn("_rid", F.monotonically_increasing_id())
@@ -50,9 +53,10 @@ def main(argv: list[str] | None = None) -> int:
     if files.extension(a.input) in (*files.DOCUMENTS, *files.TEXTS, ".pdf") and mapping.texts == ("*",):
         mapping = Mapping(mapping.fields, ("texte",), whitelist=mapping.whitelist, blacklist=mapping.blacklist)
     mode = "anon" if a.anon else "pseudo"
-    result = run(df, mapping, mode, a.fort, a.tech, scope="_source" if a.input_dir else None, limit=DRY_RUN if a.dry_run else None)
+    result = run(df, mapping, mode, a.fort, a.tech, words, scope="_source" if a.input_dir else None, limit=DRY_RUN if a.dry_run else None)
     result.stats().orderBy("stat").show(100, truncate=False)
     result.report().show(truncate=False)
+    print(f"errors: {result.errors.count()}")
     if not a.dry_run:
         out = a.output or files.output_path(a.input, mode)
         files.write(result.records.orderBy("_rid"), out)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.text import LETTER, LOWER, UPPER
 from ..functions.wordlists import AMBIGUOUS_GIVEN, LEGAL_FORMS, RESERVED, Dictionaries
+from ..plans.tables import with_row_id
 
 DETECTION = "struct<stage:int,place:int,type:string,prefix:string,key:string,value:string,stat:string,risk:string,hit:boolean,token:string>"
 PERSON = "PERSONNE"
@@ -224,6 +225,7 @@ def stages(options: Options) -> list[Stage]:
     def typed(name_, pattern, prefix, risk, **more) -> Stage:
         return Stage(name_, pattern, name_, prefix, risk, **more)
 
+    # What each pattern matches, its type and prefix, and the order of the stages.
     found = [
         typed("url_txt", r"(?U)\b(?:https?://|www\.)\S+", "URL", None, hint="link"),
         *([Stage("blacklist", rf"(?iU)\b(?:{T.alternation([w])})\b", guard=False, stat="blacklist") for w in sorted(options.blacklist, key=lambda w: (-len(w), w))]),
@@ -231,7 +233,7 @@ def stages(options: Options) -> list[Stage]:
         typed("nir_txt", rf"(?iU)(?<!\d)[12]{sep}\d{{2}}{sep}\d{{2}}{sep}(?:\d{{2}}|2[AB]){sep}\d{{3}}{sep}\d{{3}}(?:{sep}\d{{2}})?(?!\d)", "NIR", "finance", accept=lambda m: T.social_number(m.value), hint="number"),
         typed("iban_txt", r"(?iU)\b[A-Z]{2}\d{2}(?:[\s-]?[0-9A-Z]{4}){4}[\s-]?[0-9A-Z]{0,4}[\s-]?[0-9A-Z]{0,3}\b", "IBAN", "finance", hint="digit"),
         typed("cb_txt", r"(?U)\b(?:\d[\s-]*?){13,19}\b", "CB", "finance", accept=lambda m: T.card_number(m.value), hint="number"),
-        typed("cvv_txt", r"(?iU)\b(?:cvv|cvc|cv2|cryptogramme)\W+\d{3,4}\b", "CVV", "finance", hint="digit"),
+        typed("cvv_txt", r"(?iU)\b(?:cvv|cvc|cryptogramme|cv2)\W+\d{3,4}\b", "CVV", "finance", hint="digit"),
         typed("siret_txt", r"(?U)\b\d{3}[\s.]?\d{3}[\s.]?\d{3}(?:[\s.]?\d{5})?\b", "SIRET", "finance", accept=lambda m: T.company_number(m.value), kind=siret, hint="number"),
         typed("email_txt", rf"(?iU)\bmailto:{local}@{domain}", "EMAIL", "direct", hint="at"),
         typed("email_txt", rf"(?iU)\b{local}\s*(?:@|\[at\]|\(at\)|\[arobase\])\s*[a-zA-Z0-9-]+\s*(?:\.|\[dot\]|\(dot\)|point)\s*[a-zA-Z0-9.-]+\b", "EMAIL", "direct", hint="any_at"),
@@ -310,14 +312,16 @@ def detect(df: DataFrame, column: str, options: Options = Options(), out: str =
     """``df`` with the rewritten ``column`` as ``out`` and an array of detections as ``found``.
 
     ``lookup`` is the given name and surname of the person a row is about, looked for before all else;
-    with ``hide`` these become a constant. ``row`` is a column that tells rows apart, needed only for
-    dictionaries that are tables. Null texts stay null and have no detections.
+    with ``hide`` these become a constant. ``row`` is a column that tells rows apart; without it, frames that
+    meet a dictionary that is a table (or a list too long for the plan) are numbered and written first. Null texts stay null and have no detections.
     """
     d = options.dictionaries
-    words = {"given": _known(df, column, d.given_names, "given", row) if options.strong or options.entities else None, "surname": _known(df, column, d.surnames, "surname", row) if options.strong else None}
-    for name, value in words.items():
+    words: dict[str, Column] = {}
+    for name, dictionary, used in (("given", d.given_names, options.strong or options.entities), ("surname", d.surnames, options.strong)):
+        value = _known(df, column, dictionary, name, row) if used else None
         if isinstance(value, tuple):
-            df, words[name] = value
+            df, value = value
+        words[name] = value
     empty = F.array().cast(f"array<{DETECTION}>")
     chain = stages(options)
     hints = {s.hint for s in chain if s.hint}
@@ -340,8 +344,8 @@ def detect(df: DataFrame, column: str, options: Options = Options(), out: str =
     return df.drop(*{"_text", "_found", "_done", "_known_given", "_known_surname", *(f"_hint_{h}" for h in hints)} - {out, found})
 
 
-#: Dictionaries given as lists stand in the plan itself, up to so many words.
-LITERAL_WORDS = 5_000
+#: Dictionaries given as lists stand in the plan itself, up to so many words; longer ones are joined.
+LITERAL_WORDS = 500
 
 
 def _known(df: DataFrame, column: str, dictionary, name: str, row: str | None):
@@ -350,12 +354,12 @@ def _known(df: DataFrame, column: str, dictionary, name: str, row: str | None):
         key = dictionary.columns[0]
         words = dictionary.select(F.upper(T.trim(F.col(key))).alias("_word")).distinct()
         if row is None:
-            raise ValueError("dictionaries that are tables need the column that tells rows apart")
+            df, row = with_row_id(df, "_row_of"), "_row_of"
         parts = F.split(F.upper(F.coalesce(F.col(column), F.lit(""))), f"[^{LETTER}-]+")
         candidates = F.array_distinct(F.concat(parts, F.transform(parts, T.fold)))
         hits = df.select(F.col(row).alias("_of"), F.explode(candidates).alias("_word")).join(words, "_word")
         hits = hits.groupBy("_of").agg(F.collect_set("_word").alias(f"_known_{name}"))
-        joined = df.join(hits, F.col(row) == F.col("_of"), "left").drop("_of")
+        joined = df.join(hits, F.col(row) == F.col("_of"), "left").drop("_of", "_row_of")
         return joined.withColumn(f"_known_{name}", F.coalesce(f"_known_{name}", F.array().cast("array<string>"))), F.col(f"_known_{name}")
     words = sorted({w.strip().upper() for w in dictionary})
     if len(words) > LITERAL_WORDS:

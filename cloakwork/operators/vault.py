@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import numbered
 
-PROVISIONAL = r"\[[A-Z0-9_]+_9\d{17}\]"
+PROVISIONAL = r"\[[^\[\]]+_9\d{17}\]"
 
 
 def build(occurrences: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -49,7 +49,8 @@ def final_text(text: Column, tokens: Column) -> Column:
     return F.when(F.rlike(text, F.lit(PROVISIONAL)), F.array_join(woven, "")).otherwise(text)
 
 
-TOKEN = r"\[[A-Z][A-Z0-9_]*_\d+\]"
+#: A token of any prefix; what isn't in the vault stays as it is.
+TOKEN = r"\[[^\[\]]+_\d+\]"
 
 
 def restore(df: DataFrame, columns: list[str], vault: DataFrame, row: str) -> DataFrame:

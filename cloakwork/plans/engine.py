@@ -25,12 +25,14 @@ POSITION = ["_rid", "phase", "field", "elem", "stage", "place"]
 
 @dataclass(frozen=True)
 class Result:
-    """``records`` as they came, protected; ``vault`` (null in anon mode); ``detections`` one row each; ``scores`` one row for each record."""
+    """``records`` as they came, protected; ``vault`` (null in anon mode); ``detections`` one row each; ``scores`` one row
+    for each record; ``errors`` the ``_rid`` of each record whose wrapped JSON is broken."""
 
     records: DataFrame
     vault: DataFrame | None
     detections: DataFrame
     scores: DataFrame
+    errors: DataFrame
 
     def stats(self) -> DataFrame:
         return scoring.replacements(self.detections)
@@ -157,12 +159,15 @@ def run(
     if limit is not None:
         base = materialise(base.orderBy("_rid").limit(limit))
     inner = json_schema(base, mapping.unwrap) if mapping.unwrap else None
+    errors = base.select("_rid").limit(0)
     if inner is not None:
         # A broken text would give an object of nulls; it gives none.
         sound = F.expr(f"try_parse_json(`{mapping.unwrap}`)").isNotNull()
         base = base.withColumn("_un", F.when(sound, F.from_json(mapping.unwrap, inner)))
+        fine = F.col("_un").isNotNull() | (F.trim(F.coalesce(mapping.unwrap, F.lit(""))) == "")
+        errors = base.where(~fine).select("_rid")
         if on_error == "drop":
-            base = base.where(F.col("_un").isNotNull() | (F.trim(F.coalesce(mapping.unwrap, F.lit(""))) == ""))
+            base = base.where(fine)
     paths = _Paths(base.select(*columns).schema, mapping.unwrap, inner)
 
     # Fields: what each becomes, and its occurrence.
@@ -204,7 +209,8 @@ def run(
     detections = reduce(DataFrame.unionByName, parts)
 
     # In the vault the scope is a part of the type, so each scope numbers by itself.
-    kind = F.concat_ws("\x1f", F.col("_scope").cast("string"), F.col("type")) if scope else F.col("type")
+    head = F.when(F.col("_scope").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("_scope").cast("string"))) if scope else None
+    kind = F.concat(head, F.lit("\x1f"), F.col("type")) if scope else F.col("type")
     occurrences = detections.where((F.col("type") != HIDDEN) & (F.col("key") != "")).select(kind.alias("type"), "key", "value", "prefix", F.struct(*POSITION).alias("pos"))
     table = materialise(vault.build(occurrences, known))
     finals = detections.withColumns({"_kind": kind, "_provisional": F.col("token")}).join(table.select(F.col("type").alias("_kind"), "key", F.col("token").alias("final")), ["_kind", "key"], "left").drop("_kind")
@@ -228,16 +234,16 @@ def run(
 
             records = _put(records, column, rest, _of_two(text) if "[]" in rest else text)
     if anon and any(f.type == "id" for f, _, _ in fields):
-        first = next(f for f, _, _ in fields if f.type == "id")
-        there = dict((f.path, t) for f, _, t in fields)[first.path]
-        order = numbered(base.where(there).select("_rid"), ["_rid"], name="_n")
+        # Ids are counted through: record by record, and within a record in the order of the fields.
+        order = numbered(of_fields.where(F.col("type") == "id").select("_rid", "field"), ["_rid", "field"], name="_n")
+        order = order.groupBy("_rid").agg(F.map_from_entries(F.collect_list(F.struct("field", "_n"))).alias("_numbers"))
         records = records.join(order, "_rid", "left")
-    for f, value, there in fields:
+    for i, (f, value, there) in enumerate(fields):
         column, rest, kind_ = paths.resolve(f.path)
         if not anon:
             new = F.try_element_at("_tokens", provisional(F.lit(f.type), fn.typed_key(value), F.lit(f.prefix)))
         elif f.type == "id":
-            new = F.col("_n").cast("string")
+            new = F.try_element_at("_numbers", F.lit(i)).cast("string")
         elif f.type == "uuid":
             new = F.uuid()
         else:
@@ -249,9 +255,10 @@ def run(
     scores = base.select("_rid").join(detections.groupBy("_rid").agg(*per_risk), "_rid", "left").na.fill(0, list(scoring.POINTS))
     scores = scores.withColumn("score", sum((F.col(r) * p for r, p in scoring.POINTS.items()), F.lit(0).cast("long"))).withColumn("level", scoring.level(F.col("score")))
     if scope:
-        split = F.split("type", "\x1f", 2)
-        table = table.withColumns({"_scope": split[0], "type": split[1]})
-    return Result(records.select("_rid", *columns), None if anon else table, detections.drop("_provisional"), scores)
+        of = F.substring_index("type", "\x1f", -1)
+        own = F.substring("type", F.lit(2), F.length("type") - F.length(of) - 2)
+        table = table.withColumns({"_scope": F.when(F.left("type", F.lit(1)) == "+", own), "type": of})
+    return Result(records.select("_rid", *columns), None if anon else table, detections.drop("_provisional"), scores, errors)
 
 
 def _there(old: Column) -> Column:

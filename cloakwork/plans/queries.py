@@ -53,10 +53,12 @@ def det_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections of three detectors over each text as it was given, in one scan."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    e, c, i = (D.detect(docs, "text", D.Options(tech=True, names=(n,)), out="shown").select("doc_id", "lang", "source", F.col("found").alias(n)) for n in ("email_txt", "cb_txt", "ipv4_txt"))
-    merged = e.join(c.select("doc_id", "cb_txt"), "doc_id").join(i.select("doc_id", "ipv4_txt"), "doc_id")
-    return merged.select("doc_id", "lang", "source", F.concat("email_txt", "cb_txt", "ipv4_txt").alias("found"))
+    names = ("email_txt", "cb_txt", "ipv4_txt")
+    for name in names:
+        docs = D.detect(docs, "text", D.Options(tech=True, names=(name,)), out="shown", found=name).drop("shown")
+    return docs.select("doc_id", "lang", "source", F.concat(*names).alias("found"))
 
 
 def doc_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +97,7 @@ def has_city(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upper_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words in capitals found most, of documents and conversations' texts."""
+    """The words in capitals found most in documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     detected = D.detect(docs, "text", D.Options(strong=True, names=("capitals",)), out="shown")
     return scoring.top_words(detected.select(F.explode("found").alias("d")).select("d.*"))
@@ -191,6 +193,43 @@ def score_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "conversations"), "text", D.Options(tech=True)).select("conv_id", "turn", "direct", "finance", "tech", "indirect", "score", "level")
 
 
+#: Sentences made of each customer's key, as SQL that Spark and the oracle both read.
+_TWO, _THREE, _FOUR = (lambda x, n=n: f"lpad(({x}) || '', {n}, '0')" for n in (2, 3, 4))
+_K = "c_custkey"
+SENTENCES = {
+    "tel_txt": f"'appelez le 0' || ({_K} % 10) || ' ' || {_TWO(f'{_K} % 97')} || ' 45.67 ' || {_TWO(f'{_K} % 89')} || ' fin'",
+    "nir_txt": f"'secu ' || (1 + {_K} % 2) || ' ' || {_TWO(f'{_K} % 100')} || ' ' || {_TWO(f'{_K} % 16')} || ' 78 ' || {_THREE(f'{_K} % 1000')} || ' ' || {_THREE(f'{_K} % 997')} || ' fin'",
+    "iban_txt": f"'compte FR' || {_TWO(f'{_K} % 97')} || CASE WHEN {_K} % 7 = 0 THEN ' 30-0 6000 ' ELSE ' 3000 6000 ' END || {_FOUR(f'{_K} % 9999')} || ' 3456 7890 189 fin'",
+    "siret_txt": f"'siret ' || lpad((({_K} * 104729) % 1000000000) || '', 9, '0') || lpad(({_K} % 99991) || '', 5, '0') || ' ou ' || lpad((({_K} * 7919) % 1000000000) || '', 9, '0') || ' fin'",
+    "cvv_txt": f"CASE {_K} % 5 WHEN 0 THEN 'cvv: ' WHEN 1 THEN 'CVC ' WHEN 2 THEN 'Cryptogramme - ' WHEN 3 THEN 'cv2=' ELSE 'cv3 ' END || {_THREE(f'{_K} % 1000')} || ' fin'",
+    "mac_txt": f"'carte ' || {_TWO(f'{_K} % 100')} || CASE WHEN {_K} % 3 = 0 THEN '-' ELSE ':' END || 'aB:0' || ({_K} % 10) || ':CC:DD' || CASE WHEN {_K} % 4 = 0 THEN '' ELSE ':e1' END || ' fin'",
+    "plaque_txt": f"'auto ' || CASE {_K} % 3 WHEN 0 THEN 'AB-' || {_THREE(f'{_K} % 1000')} || '-CD' WHEN 1 THEN ({_K} % 10000) || ' XYZ ' || {_TWO(f'{_K} % 96')} ELSE 'ab-' || {_THREE(f'{_K} % 1000')} || '-cd' END || ' fin'",
+    "gps_txt": f"'en ' || ({_K} % 100) || '.5' || ({_K} % 10) || ', ' || (({_K} * 7) % 200) || '.25 fin'",
+    "apikey_txt": f"'cle ' || CASE {_K} % 3 WHEN 0 THEN 'sk_' WHEN 1 THEN 'api_' ELSE 'ak_' END || substr('abcdefghijklmnopqrstuvwxyz', 1, CAST(8 + {_K} % 12 AS INT)) || lpad({_K} || '', 6, '0') || ' fin'",
+}
+
+
+def made(name: str):
+    """One detector over a sentence for each customer."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(SENTENCES[name]).alias("text"))
+        detected = D.detect(rows, "text", D.Options(tech=True, names=(name,)), out="shown")
+        return detected.select("c_custkey", F.explode("found").alias("d")).select("c_custkey", F.col("d.type").alias("type"), F.col("d.value").alias("value"), F.col("d.risk").alias("risk"))
+
+    return query
+
+
+def made_sql(name: str, pattern: str, risk: str, valid: str = "true", kind: str | None = None) -> str:
+    found = f"SELECT c_custkey, unnest(regexp_extract_all({SENTENCES[name]}, '{pattern}')) AS v FROM customer"
+    return f"SELECT c_custkey, {kind or f"'{name}'"} AS type, trim(v) AS value, '{risk}' AS risk FROM ({found}) WHERE {valid}"
+
+
+def analyse_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The analysis of all documents by all standard and technical detectors."""
+    return summary(analyse(table(spark, sf_dir, "documents").select("text"), None, D.Options(tech=True)))
+
+
 QUERIES = {
     "det_email": per_document("email_txt"),
     "det_ipv4": per_document("ipv4_txt"),
@@ -199,9 +238,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         det_url, doc_risk, risk_by_source, counts_by_type, samples_top5, email_rewrite, has_city, upper_words, tok_customer, anon_customer, vault_export, vault_search, vault_page,
-        restore_roundtrip, unwrap_props, rewrap_props, preview_diff, infer_documents, analyse_documents, protect_documents, score_conversations,
+        restore_roundtrip, unwrap_props, rewrap_props, preview_diff, infer_documents, analyse_documents, analyse_all, protect_documents, score_conversations,
     )
-}
+} | {f"made_{name}": made(name) for name in SENTENCES}
 
 
 def _city_sql() -> str:
@@ -235,3 +274,16 @@ ORACLES = {
     "infer_documents": "SELECT 'doc_id' AS path, 'id' AS type, 'ID' AS prefix UNION ALL SELECT 'text', 'text', NULL WHERE (SELECT length(text) FROM documents ORDER BY doc_id LIMIT 1) > 80",
     "analyse_documents": f"SELECT count(*) AS n, CAST(round_even(avg(s), 0) AS BIGINT) AS mean, CAST(max(s) AS BIGINT) AS max, CASE WHEN round_even(avg(s), 0) < 1 THEN 'NUL' WHEN round_even(avg(s), 0) < 10 THEN 'FAIBLE' ELSE 'MODERE' END AS level FROM (SELECT 3 * len(regexp_extract_all(text, '{EMAIL}')) AS s FROM documents)",
 }
+#: Luhn over all digits of ``v``, for the 9 or 14 digits of a company number.
+_COMPANY = LUHN.replace("NOT IN (9, 14)", "IN (9, 14)")
+ORACLES |= {
+    "made_tel_txt": made_sql("tel_txt", r"\b0[1-9](?:[\s._-]*\d){8}", "direct"),
+    "made_nir_txt": made_sql("nir_txt", r"[12] \d{2} \d{2} \d{2} \d{3} \d{3}", "finance", "CAST(substr(v, 6, 2) AS INT) BETWEEN 1 AND 12"),
+    "made_iban_txt": made_sql("iban_txt", r"FR\d{2}(?: \d{4}){4}(?: \d{1,4})?(?: \d{1,3})?", "finance"),
+    "made_siret_txt": made_sql("siret_txt", r"\b\d{9}(?:\d{5})?\b", "finance", _COMPANY, "CASE WHEN length(v) = 14 THEN 'siret_txt' ELSE 'siren_txt' END"),
+    "made_cvv_txt": made_sql("cvv_txt", r"(?i)(?:cvv|cvc|cryptogramme|cv2)[ :=-]+\d{3}", "finance"),
+    "made_mac_txt": made_sql("mac_txt", r"[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}", "tech"),
+    "made_plaque_txt": made_sql("plaque_txt", r"AB-\d{3}-CD|\b\d{1,4} XYZ \d{2}\b", "tech"),
+    "made_gps_txt": made_sql("gps_txt", r"\b[1-8]?\d\.\d+, (?:1[0-7]\d|[1-9]?\d)\.\d+", "tech"),
+    "made_apikey_txt": made_sql("apikey_txt", r"\b(?:sk|api)_[a-z0-9]{20,}", "tech"),
+}

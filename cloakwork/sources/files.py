@@ -36,7 +36,9 @@ def read(spark: SparkSession, path: str, mapping: Mapping = Mapping(), pdf=None)
     kind = extension(path)
     options = mapping.options
     if kind == ".json":
-        return spark.read.json(path, multiLine=True, encoding=options.get("encoding", "utf-8"))
+        encoding = options.get("encoding", "utf-8")
+        first = spark.read.text(path).where(F.trim("value") != "").first()
+        return spark.read.json(path, multiLine=first is None or not _is_line(spark, first.value), encoding=encoding)
     if kind in (".csv", ".tsv"):
         header = options.get("header", True)
         df = spark.read.csv(path, sep="\t" if kind == ".tsv" else options.get("delimiter", ","), encoding=options.get("encoding", "utf-8"), header=header, multiLine=True, escape='"')
@@ -69,6 +71,12 @@ def read(spark: SparkSession, path: str, mapping: Mapping = Mapping(), pdf=None)
     raise ValueError(f"unknown format: {kind or path}")
 
 
+def _is_line(spark: SparkSession, text: str) -> bool:
+    """Whether a file whose first line this is holds one JSON object a line; else it is one array or one object."""
+    text = text.strip("\ufeff \t\r\n")
+    return text.startswith("{") and spark.sql("SELECT try_parse_json(:t) IS NOT NULL", {"t": text}).first()[0]
+
+
 def _binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content", F.element_at(F.split("path", "/"), -1).alias("_source"))
 
@@ -100,7 +108,11 @@ def read_folder(spark: SparkSession, path: str, mapping: Mapping = Mapping(), ki
 
 def _together(spark: SparkSession, files: list[str], kind: str, mapping: Mapping) -> DataFrame:
     if kind == ".json":
-        return spark.read.json(files, multiLine=True)
+        firsts = {f: spark.read.text(f).where(F.trim("value") != "").first() for f in files}
+        lines = [f for f, first in firsts.items() if first is not None and _is_line(spark, first.value)]
+        parts = [(own, whole) for own, whole in ((lines, False), ([f for f in files if f not in lines], True)) if own]
+        read = [spark.read.json(own, multiLine=whole, encoding=mapping.options.get("encoding", "utf-8")) for own, whole in parts]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [x.withColumn("_source", F.col("_metadata.file_name")) for x in read])
     if kind in TEXTS:
         return spark.read.text(files, wholetext=True).select(F.col("value").alias("texte"), F.col("_metadata.file_name").alias("_source"))
     return spark.read.csv(files, sep="\t" if kind == ".tsv" else mapping.options.get("delimiter", ","), header=True, multiLine=True, escape='"').na.fill("")
@@ -161,8 +173,8 @@ def _put(path: str, data: bytes) -> None:
 
 
 def write_vault(vault: DataFrame, path: str) -> None:
-    """The vault as ``;``-separated text in the order of type and token, one folder."""
-    exported(vault).coalesce(1).write.mode("overwrite").csv(path, sep=";", header=True, escape='"')
+    """The vault as ``;``-separated text in the order of type and token: one folder of as many files as the order has ranges."""
+    exported(vault).write.mode("overwrite").csv(path, sep=";", header=True, escape='"')
 
 
 def read_vault(spark: SparkSession, path: str) -> DataFrame:

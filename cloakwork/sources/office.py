@@ -76,7 +76,7 @@ def read_ods(data: bytes) -> list[dict[str, str]]:
         while cells and not cells[-1]:
             cells.pop()
         times = int(row.get(f"{TABLE}number-rows-repeated", 1))
-        rows += [cells] * (times if cells and times < MOST_REPEATS else bool(cells))
+        rows += [cells] * (times if cells else 0)
     return list(_records(rows))
 
 

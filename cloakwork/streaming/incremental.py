@@ -21,7 +21,7 @@ def protect_stream(source: DataFrame, mapping: Mapping, out: str, checkpoint: st
     spark = source.sparkSession
 
     def one(batch: DataFrame, number: int) -> None:
-        known = _vault_before(spark, out, number)
+        known = _vault_before(spark, out, number) if mode == "pseudo" else None
         result = run(batch, replace(mapping), mode, known=known, **options)
         if result.vault is not None:
             new = result.vault if known is None else result.vault.join(known.select("type", "key"), ["type", "key"], "left_anti")
