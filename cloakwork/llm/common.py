@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -72,6 +73,25 @@ def chunks(texts: list[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[
         yield start, len(texts)
 
 
+def release() -> None:
+    """Hand free memory of this Python worker back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function of ``mapInArrow`` that releases memory when its task's rows have ended."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
 def arrow_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` for a function of one record batch (its columns as a dict of Arrow arrays) that yields dicts of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -79,6 +99,7 @@ def arrow_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, small_batches
+from .common import chunks, small_batches, tidy
 
 WINDOW, RATE, Q, LEAST = 80, 0.1, 8, 24
 BLOCK_CHARS = 4_000_000
@@ -266,6 +266,7 @@ def matches(
     names = ["doc_id", "item_id", "n_windows", "edits", "start", "end"]
 
     def searched(shared):
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
@@ -287,6 +288,7 @@ def clean(
     """The rows of ``docs`` that hold no item, with all their columns."""
 
     def without(left: DataFrame, shared) -> DataFrame:
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = batch.column("text").to_pylist()

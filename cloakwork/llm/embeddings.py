@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialise
+from .common import arrow_map, materialise, tidy
 from .components import connected_components
 
 PASSES, BITS, NEIGHBOURS = 16, 64, 10
@@ -114,6 +114,7 @@ def _windows(classes: DataFrame, passes: int, bits: int, neighbours: int, thresh
         columns = [pa.array(np.full(rows.num_rows, border, np.int32)), *(rows.column(c) for c in names[1:7]), pa.nulls(rows.num_rows, pa.int64())]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
+    @tidy
     def slide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links of a range; its first and last rows go out again, to be compared across the border to the next."""
         from pyspark import TaskContext

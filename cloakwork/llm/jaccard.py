@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, arrow_map, chunks, materialise, small_batches
+from .common import CHUNK_BYTES, arrow_map, chunks, materialise, small_batches, tidy
 from .components import connected_components
 
 SHINGLE = 5
@@ -202,6 +202,7 @@ def summaries(docs: DataFrame) -> DataFrame:
     """
     names = ("doc_id", "n", "f1", "f2", "cls", "spare0", "spare1", "buckets", "own", "keys")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schemes, seen = Schemes(), set()
         for batch in batches:
@@ -244,6 +245,7 @@ def _second_signatures(docs: DataFrame) -> DataFrame:
     Documents of one class in one task give its signatures once.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schemes, seen = Schemes(), set()
         for batch in batches:
@@ -373,6 +375,7 @@ def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
 def _collisions(signatures: DataFrame, few: int, second: bool) -> DataFrame:
     """kind, a, b as ``_Runs`` gives them, as a written table."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = _Runs(few, second)
         for batch in batches:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from xxhash import xxh64_intdigest
 
-from .common import chunks, materialise, small_batches
+from .common import chunks, materialise, small_batches, tidy
 
 #: At most so many counts of words are sent to the tasks, and as many of n-grams if all of these fit; the others are joined.
 MODEL_CELLS = 4_000_000
@@ -58,6 +58,7 @@ def grams(word: str, n: int) -> list[str]:
 def _counted(df: DataFrame, keys_of, key: str) -> DataFrame:
     """Counts by language over all batches of ``keys_of(batch)``, which gives (lang, keys, n): each key n times."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
 
@@ -287,6 +288,7 @@ def _looked_up(wanted: DataFrame, model: Model) -> DataFrame:
     if ngrams is None:
         shared, level = wanted.sparkSession.sparkContext.broadcast(model), "word string, level int, more array<struct<lang string, d double>>"
 
+        @tidy
         def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = shared.value
             base = np.array([x.base for x in m.grams])
@@ -301,6 +303,7 @@ def _looked_up(wanted: DataFrame, model: Model) -> DataFrame:
         return found.union(small_batches(rest).mapInArrow(unseen, level))
 
     def cut(k: int):
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 # A word that holds an n-gram twice counts it twice.
@@ -328,6 +331,7 @@ def _predict_joined(kept: DataFrame, model: Model, schema: StructType, hidden: l
     parts = "_row long, _letters boolean, _score array<double>, _n long, _words array<string>, _times array<long>"
     part_schema = StructType([*shown, *StructType.fromDDL(parts).fields])
 
+    @tidy
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = shared.value.words
         for batch in batches:
@@ -351,6 +355,7 @@ def _predict_joined(kept: DataFrame, model: Model, schema: StructType, hidden: l
     found = _looked_up(said.select("word").distinct(), model)
     tails = said.join(found, "word").groupBy("_row").agg(F.collect_list(F.struct("times", "level", F.col("more.lang").alias("langs"), F.col("more.d").alias("ds"))).alias("_tail"))
 
+    @tidy
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         number = {x: i for i, x in enumerate(m.languages)}
@@ -384,6 +389,7 @@ def predict(docs: DataFrame, model: Model, hidden: list[str] | None = None) -> D
         return _predict_joined(kept, model, schema, hidden or [])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value.predict_all
         for batch in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bytebpe import encoder, vocabulary_path
-from .common import chunks, small_batches
+from .common import chunks, small_batches, tidy
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -114,6 +114,7 @@ def pack(docs: DataFrame, window: int = 1024, end_id: int = 0, vocabulary: str |
     path = vocabulary or vocabulary_path()
     end = np.array([end_id], "<u4").tobytes()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

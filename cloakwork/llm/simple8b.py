@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytebpe import encoder, vocabulary_path
-from .common import arrow_map, chunks, materialise, new_path, small_batches
+from .common import arrow_map, chunks, materialise, new_path, small_batches, tidy
 
 MAGIC = b"CWS8B\x02\0\0"
 BLOCK = 4096
@@ -142,6 +142,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 0, vocabulary: str | Non
     vocabulary = vocabulary or vocabulary_path()
     end = np.array([end_id], "<u4").tobytes()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

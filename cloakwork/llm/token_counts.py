@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, chunks, materialise, small_batches
+from .common import arrow_map, chunks, materialise, small_batches, tidy
 
 SPACE = "▁"
 #: The broadcast table has at most so many pre-tokens, each of at most so many characters.
@@ -71,6 +71,7 @@ def splitter(path: str) -> Splitter:
 def vocabulary_counts(docs: DataFrame, path: str) -> DataFrame:
     """Each distinct pre-token of the corpus once: piece, n (its occurrences), n_tokens."""
 
+    @tidy
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter(path).split
         seen: Counter = Counter()
@@ -116,6 +117,7 @@ def token_counts(docs: DataFrame, model: str | None = None, limit: int = 4096, h
     names = ["own", "piece", "row", "doc_id", "n_bytes", "n"]
     kinds = [pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
+    @tidy
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each document a row of its own, with the tokens of broadcast pre-tokens, and one for each other pre-token."""
         from pyspark import TaskContext
