@@ -9,11 +9,13 @@ container that says so (article, main, or their roles), else the one found for t
 the pages that have slots in the container of most words, the lowest element that holds all slots but
 what stands in lighter containers beside it; then the same for the pages left. Ids and classes of one
 page only don't tell containers apart. Menus, footers, forms, comments and the like are known by element names and by words of
-class, id and role. Template text inside the article is kept, outside it is dropped.
+class, id and role. In a page without article or main, template text is dropped. Inside an article or main, a container
+is dropped if it holds template text only, on every page of the group (share bars, notices), while template text
+beside slots is kept; nothing goes this way where it would be as many words as the slots of the page, as among near copies.
 
 Null and empty html give an empty text, an empty table no rows. A page without a host stands alone, and a page
-alone in its group has a template of its own structure. Repeated rows are pages each; ties between containers go to the
-first. Pages of any length count whole; columns besides page_id, url and html are ignored, whatever their names.
+alone in its group has a template of its own structure. Repeated rows are pages each, which count once for the template and get the
+same text; ties between containers go to the first. Pages of any length count whole; columns besides page_id, url and html are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -208,8 +210,14 @@ def _judge(path: tuple[str, ...]) -> tuple[bool, int]:
     for i, element in enumerate(path):
         if _MAIN.search(element.split(" ", 1)[0]) or _MAIN.search(element):
             main = i + 1
+    part = len(path)
     for i, element in enumerate(path):
         name, _, hints = element.partition(" ")
+        if name not in BLOCKS and i > part:
+            # Marked words at the head of a paragraph say nothing about the paragraph.
+            continue
+        if name in PARTS:
+            part = min(part, i)
         # A header belongs to the page unless it stands inside the article; html and body are never left.
         out = name in OUTSIDE or name == "header" and i >= 0 and not main or name not in ("html", "body") and i + 1 != main and bool(hints and _HINT.search(hints))
         if out:
@@ -296,11 +304,35 @@ def _containers(slots: list[Counter]) -> list[tuple[str, ...]]:
     return found
 
 
+def _in_article(kept: list[list[tuple]], generic: list[tuple[str, ...]]) -> list[list[str]]:
+    """The raw texts inside article or main of each page: its slots, and template text that stands beside slots."""
+    regions = {at: _region(generic[at]) for own in kept for at, main, *_ in own if main}
+    live = set()
+    for own in kept:
+        for at, main, is_slot, *_ in own:
+            if main and is_slot:
+                region = regions[at]
+                live.update(region[:depth] for depth in range(main + 1, len(region) + 1))
+    chosen = []
+    for own in kept:
+        inside = [(at, is_slot or len(regions[at]) <= main or regions[at] in live, is_slot, raw, n) for at, main, is_slot, raw, n in own if main]
+        fixed = sum(n for _, stays, _, _, n in inside if not stays)
+        slots = sum(n for _, _, is_slot, _, n in inside if is_slot)
+        chosen.append([raw for _, stays, _, raw, _ in inside if stays or fixed >= slots])
+    return chosen
+
+
 def extract(htmls: list[str | None]) -> list[str]:
     """The main texts of pages that share a template."""
+    distinct = list(dict.fromkeys(h or "" for h in htmls))
+    texts = dict(zip(distinct, _extract(distinct), strict=True))
+    return [texts[h or ""] for h in htmls]
+
+
+def _extract(htmls: list[str]) -> list[str]:
     numbers: dict = {}
     paths: dict = {}
-    pages = [Page(h or "", numbers, paths) for h in htmls]
+    pages = [Page(h, numbers, paths) for h in htmls]
     generic = _generic(pages, numbers, paths)
     template = template_tokens(pages, len(numbers))
     judged = {k: _judge(path) for path, k in paths.items()}
@@ -326,10 +358,9 @@ def extract(htmls: list[str | None]) -> list[str]:
             words[regions[at]] += n
         weights.append(words)
     texts = []
-    for own, best in zip(kept, _containers(weights), strict=True):
-        if any(main for _, main, *_ in own):
-            raws = [raw for _, main, _, raw, _ in own if main]
-        else:
+    for own, inside, best in zip(kept, _in_article(kept, generic), _containers(weights), strict=True):
+        raws = inside
+        if not any(main for _, main, *_ in own):
             raws = [raw for at, _, is_slot, raw, _ in own if is_slot and generic[at][: len(best)] == best]
         texts.append("\n".join(x for raw in raws if (x := " ".join(unescape(raw).split()))))
     return texts

@@ -39,6 +39,33 @@ def test_the_template_decides_without_article(monkeypatch):
     assert P.extract(pages) == [f"Tell your friends about this page!\n{t}" for t in texts]
 
 
+def test_the_template_decides_inside_an_article(monkeypatch):
+    rnd = random.Random(12)
+    texts = [_words(rnd, 30) for _ in range(6)]
+    pages = [page(rnd, f'<article><h1>t{i}</h1><div class="tools"><p>Print this page</p><span>Send it on</span></div><div class="body"><p>Told by our own staff</p><p>{t}</p></div></article>') for i, t in enumerate(texts)]
+    want = [f"t{i}\nTold by our own staff\n{t}" for i, t in enumerate(texts)]
+    assert P.extract(pages) == want
+    assert P.extract(pages + pages[:3]) == want + want[:3]
+    monkeypatch.setattr(P, "template_tokens", lambda pages, n: np.zeros(n, bool))
+    assert P.extract(pages) == [f"t{i}\nPrint this page\nSend it on\n{w[3:]}" for i, w in enumerate(want)]
+
+
+def test_copies_keep_their_text():
+    rnd = random.Random(13)
+    for body in (f"<article><h1>h</h1><div class=body><p>{_words(rnd, 40)}</p></div></article>", f"<div id=content><p>{_words(rnd, 40)}</p></div>"):
+        one = page(rnd, body)
+        assert P.extract([one] * 5) == P.extract([one]) * 5 and len(P.extract([one])[0].split()) >= 40
+    # Near copies: what they share is not taken for a frame.
+    shared = _words(rnd, 40)
+    got = P.extract([page(rnd, f"<article><h1>head {i}</h1><div class=body><p>{shared}</p></div></article>") for i in range(8)])
+    assert got == [f"head {i}\n{shared}" for i in range(8)]
+
+
+def test_marked_words_at_the_head_of_a_paragraph():
+    html = '<article><p><span class="share">Shares</span> rose by a third.</p><span class="ad">Buy</span><p class="notice">We use cookies.</p><p>End.</p></article>'
+    assert P.extract([html]) == ["Shares rose by a third.\nEnd."]
+
+
 def test_pages_without_host_stand_alone(spark):
     rnd = random.Random(11)
     rows = [(i, (None, "", "no url")[i % 3], f"<p>{_words(rnd, 5 + 9 * i)}</p><div><p>same {_words(random.Random(1), 4)}</p></div>") for i in range(12)]
