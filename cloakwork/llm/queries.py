@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, jaccard, langid, licenses, packing, page_text, simple8b, token_counts
+from . import chat, decontaminate, embeddings, jaccard, langid, licenses, negatives, packing, page_text, phrases, simple8b, token_counts
 from .common import table
 
 
@@ -48,5 +49,15 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_embeddings, op4_decontaminate, op5_simple8b, op6_chat, op7_licenses, op8_page_text, op9_langid, op10_jaccard)}
-ORACLES: dict[str, str] = {"op6_chat": chat.ORACLE_SQL, "op7_licenses": licenses.ORACLE_SQL}
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh label is off by one, so mined negatives can hold wrongly labelled rows; every fiftieth row is an anchor."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_embeddings, op4_decontaminate, op5_simple8b, op6_chat, op7_licenses, op8_page_text, op9_langid, op10_jaccard, op11_negatives, op12_phrases)}
+ORACLES: dict[str, str] = {"op6_chat": chat.ORACLE_SQL, "op7_licenses": licenses.ORACLE_SQL, "op11_negatives": negatives.ORACLE_SQL, "op12_phrases": phrases.ORACLE_SQL}
