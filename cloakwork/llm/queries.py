@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, jaccard, langid, licenses, negatives, packing, page_text, phrases, simple8b, token_counts
+from . import chat, decontaminate, embeddings, jaccard, langid, licenses, negatives, packing, page_text, phrases, pii, simple8b, token_counts
 from .common import table
 
 
@@ -59,5 +59,9 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_embeddings, op4_decontaminate, op5_simple8b, op6_chat, op7_licenses, op8_page_text, op9_langid, op10_jaccard, op11_negatives, op12_phrases)}
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_embeddings, op4_decontaminate, op5_simple8b, op6_chat, op7_licenses, op8_page_text, op9_langid, op10_jaccard, op11_negatives, op12_phrases, op13_pii)}
 ORACLES: dict[str, str] = {"op6_chat": chat.ORACLE_SQL, "op7_licenses": licenses.ORACLE_SQL, "op11_negatives": negatives.ORACLE_SQL, "op12_phrases": phrases.ORACLE_SQL}
