@@ -37,9 +37,11 @@ SCALE, POSITIVES, NEGATIVES = 256, 5, 3
 #: Percent of a positive's score between which its negatives lie.
 LOW, HIGH = 50, 95
 #: Vectors in a tree; components (of all vectors together) in a cell of trees; anchors in a cell.
-TREE, CELL, ANCHORS = 4096, 1 << 20, 2048
+TREE, CELL, ANCHORS = 4096, 1 << 19, 2048
 _LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 _BOTTOM = -(1 << 15)
+#: Anchors that meet the first nodes of a tree at once; partitions of the cells at most.
+_TOGETHER, _TASKS = 256, 2000
 
 
 def prepared(rows: DataFrame, anchor: Column, scale: int) -> DataFrame:
@@ -160,11 +162,14 @@ class Tree:
                 self.radius[g] = max(self.radius[g], self.radius[g + 1])
         self.has = self.first[1:] > self.first[:-1]
 
-    def scores(self, nodes: np.ndarray, anchor: np.ndarray, square: float) -> np.ndarray:
-        """Exact products; doubles hold them where they stay below 2^53."""
+    def scores(self, nodes: np.ndarray, anchors: np.ndarray, square: float) -> np.ndarray:
+        """Exact products of nodes with an anchor or several (as columns); doubles hold them where they stay below 2^53."""
         if square * self.square < 2.0**104:
-            return (self.f[nodes] @ anchor.astype(np.float64)).astype(np.int64)
-        return self.q[nodes] @ anchor
+            return (self.f[nodes] @ anchors.astype(np.float64)).astype(np.int64)
+        return self.q[nodes] @ anchors
+
+    def group(self, group: int) -> np.ndarray:
+        return self.child[self.starts[group] : self.starts[group + 1]]
 
 
 class Best:
@@ -174,24 +179,29 @@ class Best:
         self.low, self.high, self.k = np.array([w[0] for w in windows]), np.array([w[1] for w in windows]), k
         self.held: list[list[tuple[int, int]]] = [[] for _ in windows]
 
-    def least(self) -> np.ndarray:
-        return self.low
-
     def offer(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        for w, held in enumerate(self.held):
-            fit = np.flatnonzero((scores >= self.low[w]) & (scores <= self.high[w]))
-            if not len(fit):
-                continue
-            fit = fit[np.lexsort((ids[fit], -scores[fit]))[: self.k]]
-            held += [(-int(s), int(i)) for s, i in zip(scores[fit], ids[fit], strict=True)]
+        fit = np.flatnonzero((scores >= self.low.min(initial=_MOST)) & (scores <= self.high.max(initial=_LEAST)))
+        if not len(fit):
+            return
+        fit = fit[np.lexsort((ids[fit], -scores[fit]))]
+        scores, ids = scores[fit], ids[fit]
+        # ~x falls as x rises and, unlike -x, is there for every long.
+        starts, ends = np.searchsorted(~scores, ~self.high), np.searchsorted(~scores, ~self.low, side="right")
+        for w in np.flatnonzero(starts < ends):
+            held = self.held[w]
+            these = slice(starts[w], min(ends[w], starts[w] + self.k))
+            held += zip((-scores[these]).tolist(), ids[these].tolist(), strict=True)
             held.sort()
             del held[self.k :]
             if len(held) == self.k:
                 self.low[w] = max(self.low[w], -held[-1][0])
 
 
-def descend(tree: Tree, rid: int, anchor: np.ndarray, best: Best) -> int:
-    """Offer ``best`` all points of ``tree`` that can be among them; the number of points that were verified."""
+def descend(tree: Tree, rid: int, anchor: np.ndarray, best: Best, first: np.ndarray | None = None) -> int:
+    """Offer ``best`` all points of ``tree`` that can be among them; the number of points that were verified.
+
+    ``first`` are the scores of the first group of the root, where they are known.
+    """
     square = float(anchor.astype(np.float64) @ anchor.astype(np.float64))
     total = square + tree.square
     slack = 1e-6 * total + 1.0
@@ -204,8 +214,8 @@ def descend(tree: Tree, rid: int, anchor: np.ndarray, best: Best) -> int:
         low, high = best.low.astype(np.float64), best.high.astype(np.float64)
         return ((np.atleast_1d(upper)[:, None] >= low) & (np.atleast_1d(lower)[:, None] <= high)).any(axis=1)
 
-    def met(nodes: np.ndarray) -> np.ndarray:
-        scores = tree.scores(nodes, anchor, square)
+    def met(nodes: np.ndarray, scores: np.ndarray | None = None) -> np.ndarray:
+        scores = tree.scores(nodes, anchor, square) if scores is None else scores
         other = tree.rid[nodes] != rid
         best.offer(scores[other], tree.vec_id[nodes[other]])
         return scores
@@ -225,8 +235,8 @@ def descend(tree: Tree, rid: int, anchor: np.ndarray, best: Best) -> int:
         upper, lower, group, node, score = heapq.heappop(heap)
         if not open_(-upper, lower)[0]:
             continue
-        children = tree.child[tree.starts[group] : tree.starts[group + 1]]
-        scores = met(children)
+        children = tree.group(group)
+        scores = met(children, first if node == 0 and group == tree.first[0] else None)
         verified += len(children)
         if group + 1 < tree.first[node + 1]:
             push(node, group + 1, score)
@@ -268,17 +278,24 @@ def _met(index: DataFrame, anchors: DataFrame, by: list[str], same: bool, k: int
             for name, number in zip(keys["label"].to_pylist(), keys["tree"].to_pylist(), strict=True):
                 trees.append(Tree(nodes.filter(pc.and_(pc.equal(nodes["label"], name), pc.equal(nodes["tree"], number))), length))
             vectors = _matrix(own["q"], length)
-            for i, (rid, name, windows) in enumerate(zip(own["rid"].to_pylist(), own["label"].to_pylist(), own["windows"].to_pylist(), strict=True)):
-                spans = [(_LEAST, _MOST)] if same else [(-(-low * s // 100), high * s // 100) for s in windows]
-                best = Best(spans, k)
-                for tree in trees:
-                    if (tree.label == name) == same:
-                        descend(tree, rid, vectors[i], best)
-                found += [(rid, w, -s, vec_id) for w, held in enumerate(best.held) for s, vec_id in held]
+            squares = np.einsum("ij,ij->i", vectors.astype(np.float64), vectors.astype(np.float64))
+            rids, names = own["rid"].to_pylist(), own["label"].to_pylist()
+            bests = [Best([(_LEAST, _MOST)] if same else [(-(-low * s // 100), high * s // 100) for s in windows], k) for windows in own["windows"].to_pylist()]
+            for tree in trees:
+                asking = np.array([i for i, name in enumerate(names) if (tree.label == name) == same], np.int64)
+                for begin in range(0, len(asking), _TOGETHER):
+                    block = asking[begin : begin + _TOGETHER]
+                    # The products with what hangs under the root, of many anchors at once.
+                    first = tree.scores(tree.group(0), np.ascontiguousarray(vectors[block].T), float(squares[block].max())).T if tree.has[0] else [None] * len(block)
+                    for i, scores in zip(block.tolist(), first, strict=True):
+                        descend(tree, rids[i], vectors[i], bests[i], scores)
+            found = [(rid, w, -s, vec_id) for rid, best in zip(rids, bests, strict=True) for w, held in enumerate(best.held) for s, vec_id in held]
         columns = list(zip(*found, strict=True)) or [[]] * 4
         return pa.table({c: pa.array(x, kind) for c, x, kind in zip(("rid", "window", "score", "vec_id"), columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)})
 
-    return rows.groupBy(*by, "block", "cell").applyInArrow(search, "rid long, window int, score long, vec_id long")
+    # Cells are few and costly, so they aren't put together by their bytes.
+    tasks = max(1, min(_TASKS, int(sizes.agg(F.sum(F.col("cells").cast("long") * F.col("blocks"))).first()[0] or 0)))
+    return rows.repartition(tasks, *by, "block", "cell").groupBy(*by, "block", "cell").applyInArrow(search, "rid long, window int, score long, vec_id long")
 
 
 def hard_negatives(
