@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.tables import numbered
 
@@ -45,7 +48,7 @@ def page(vault: DataFrame, number: int, size: int = 20) -> DataFrame:
 def final_text(text: Column, tokens: Column) -> Column:
     """``text`` with provisional tokens replaced through the map ``tokens``."""
     found = F.regexp_extract_all(text, F.lit(PROVISIONAL), F.lit(0))
-    woven = F.zip_with(F.split(text, PROVISIONAL, -1), found, lambda a, m: F.concat(a, F.coalesce(F.get(F.map_values(F.map_filter(tokens, lambda k, _: k == m)), F.lit(0)), m, F.lit(""))))
+    woven = F.zip_with(F.split(text, PROVISIONAL, -1), found, lambda a, m: F.concat(a, F.coalesce(F.try_element_at(tokens, m), m, F.lit(""))))
     return F.when(F.rlike(text, F.lit(PROVISIONAL)), F.array_join(woven, "")).otherwise(text)
 
 
@@ -53,20 +56,64 @@ def final_text(text: Column, tokens: Column) -> Column:
 TOKEN = r"\[[^\[\]]+_\d+\]"
 
 
-def restore(df: DataFrame, columns: list[str], vault: DataFrame, row: str) -> DataFrame:
-    """The string ``columns`` of ``df`` with each token of the exported ``vault`` replaced by its value.
-
-    Of a token that stands for several values the last in the order of type and value counts. Tokens
-    that the vault lacks, and those of empty values, stay. ``row`` tells the rows of ``df`` apart.
+def _strings(kind: T.DataType, value: Column) -> Column | None:
+    """An array of all strings in a value of any type; None if it can hold none."""
+    if isinstance(kind, T.StringType):
+        return F.array(value)
+    if isinstance(kind, T.StructType):
+        parts = [p for f in kind.fields if (p := _strings(f.dataType, value[f.name])) is not None]
+        return F.concat(*(F.coalesce(p, F.array().cast("array<string>")) for p in parts)) if parts else None
+    if isinstance(kind, T.MapType):
+        return _strings(T.ArrayType(kind.valueType), F.map_values(value))
+    if isinstance(kind, T.ArrayType) and _strings(kind.elementType, F.lit(None)) is not None:
+        return F.flatten(F.transform(value, lambda x: F.coalesce(_strings(kind.elementType, x), F.array().cast("array<string>"))))
+    return None
+
+
+def rewritten(kind: T.DataType, value: Column, one: Callable[[Column], Column]) -> Column:
+    """A value of any type with ``one`` applied to each string in it, at any depth; keys of maps stay."""
+    if isinstance(kind, T.StringType):
+        return one(value)
+    if _strings(kind, F.lit(None)) is None:
+        return value
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*(rewritten(f.dataType, value[f.name], one).alias(f.name) for f in kind.fields)))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, v: rewritten(kind.valueType, v, one))
+    return F.transform(value, lambda x: rewritten(kind.elementType, x, one))
+
+
+def restore(df: DataFrame, columns: list[str] | None, vault: DataFrame, row: str) -> DataFrame:
+    """``columns`` of ``df`` (None: all) with each token of the exported ``vault`` replaced by its value, at any depth.
+
+    Strings in structs, lists and values of maps are restored too; in a string that is a JSON object or list the value is
+    written as JSON writes it, so wrapped records stay sound. Of a token that stands for several values the last in
+    the order of type and value counts. Tokens that the vault lacks, and those of empty values, stay. ``row`` tells
+    the rows of ``df`` apart.
     """
+    columns = [c for c in df.columns if c != row] if columns is None else columns
+    kinds = {c: df.schema[c].dataType for c in columns}
+    found = {c: s for c in columns if (s := _strings(kinds[c], F.col(f"`{c}`"))) is not None}
+    if not found:
+        return df
     values = vault.where(F.coalesce("valeur_originale", F.lit("")) != "").groupBy("jeton").agg(F.max_by("valeur_originale", F.struct("type", "valeur_originale")).alias("_value"))
-    every = F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(TOKEN), F.lit(0)) for c in columns))))
+    texts = F.concat(*(F.coalesce(s, F.array().cast("array<string>")) for s in found.values()))
+    every = F.array_distinct(F.flatten(F.transform(texts, lambda t: F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(TOKEN), F.lit(0)))))
     met = df.select(F.col(row).alias("_row"), F.explode(every).alias("jeton")).join(values, "jeton")
     maps = met.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("jeton", "_value"))).alias("_values"))
 
-    def restored(c: str) -> Column:
-        found = F.regexp_extract_all(F.col(c), F.lit(TOKEN), F.lit(0))
-        woven = F.zip_with(F.split(F.col(c), TOKEN, -1), found, lambda a, m: F.concat(a, F.coalesce(F.try_element_at("_values", m), m, F.lit(""))))
-        return F.when(F.col(c).isNotNull(), F.array_join(woven, ""))
+    def restored(text: Column) -> Column:
+        tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+        # Only texts that begin like JSON are tried as JSON.
+        wrapped = F.ltrim(text).rlike(r"^[{\[]\s*[\"{\[]") & F.try_parse_json(text).isNotNull()
+
+        def known(m: Column) -> Column:
+            value = F.try_element_at("_values", m)
+            quoted = F.to_json(F.struct(value.alias("v")))
+            return F.coalesce(F.when(wrapped, F.substring(quoted, F.lit(7), F.length(quoted) - 8)).otherwise(value), m, F.lit(""))
+
+        woven = F.zip_with(F.split(text, TOKEN, -1), tokens, lambda a, m: F.concat(a, F.when(m.isNull(), F.lit("")).otherwise(known(m))))
+        return F.when(F.rlike(text, F.lit(TOKEN)), F.array_join(woven, "")).otherwise(text)
 
-    return df.join(maps, F.col(row) == F.col("_row"), "left").withColumns({c: restored(c) for c in columns}).drop("_row", "_values")
+    joined = df.join(maps, F.col(row) == F.col("_row"), "left")
+    return joined.withColumns({c: rewritten(kinds[c], F.col(f"`{c}`"), restored) for c in found}).drop("_row", "_values")

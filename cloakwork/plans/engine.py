@@ -47,7 +47,8 @@ class Result:
 def json_schema(df: DataFrame, column: str) -> T.StructType:
     """The schema of all JSON objects in a string column, found in one aggregate."""
     found = df.select(F.schema_of_variant_agg(F.expr(f"try_parse_json(`{column}`)"))).first()[0] or "VOID"
-    ddl = re.sub(r"\bVOID\b", "STRING", found.replace("OBJECT<", "STRUCT<"))
+    # Values of several kinds under one key are read as texts.
+    ddl = re.sub(r"\b(?:VOID|VARIANT)\b", "STRING", found.replace("OBJECT<", "STRUCT<"))
     kind = T._parse_datatype_string(ddl) if ddl.startswith("STRUCT<") else T.StructType()
     return kind
 
@@ -143,12 +144,12 @@ def _texts(paths: _Paths, path: str, index: int) -> Column | None:
 
 def run(
     df: DataFrame, mapping: Mapping, mode: str = "pseudo", strong: bool = False, tech: bool = False, dictionaries: Dictionaries = Dictionaries(),
-    known: DataFrame | None = None, on_error: str = "keep", scope: str | None = None, limit: int | None = None,
+    known: DataFrame | None = None, on_error: str = "keep", scope: str | None = None, limit: int | None = None, entities: str | None = None,
 ) -> Result:
     """Protect ``df``. ``mode`` is pseudo (reversible tokens) or anon; ``known`` an earlier vault to go on from.
 
     ``on_error`` says what becomes of records whose wrapped JSON is broken: keep them as they are or
-    drop them. ``limit`` takes the first records only (a dry run). With ``scope``, a column, each of
+    drop them. ``entities`` is a list column of person names that a model has found. ``limit`` takes the first records only (a dry run). With ``scope``, a column, each of
     its values has numbering and vault of its own.
     """
     if mode not in ("pseudo", "anon"):
@@ -194,9 +195,10 @@ def run(
     arrays = [a for i, p in enumerate(mapping.texts) if (a := _texts(paths, p, i)) is not None]
     found = texts = None
     if arrays:
-        rows = base.select("_rid", *scoped, *_names(paths, mapping), F.explode(F.flatten(F.array(*(F.coalesce(a, F.array()) for a in arrays)))).alias("t"))
-        rows = rows.select("_rid", *keys, "_given", "_surname_", "t.*").where("text is not null").withColumn("_key", F.concat_ws("/", "_rid", "field", "elem"))
-        options = Options(strong, tech, mapping.whitelist, mapping.blacklist, dictionaries)
+        named = [F.col(f"`{entities}`").alias("_entities")] if entities else []
+        rows = base.select("_rid", *scoped, *named, *_names(paths, mapping), F.explode(F.flatten(F.array(*(F.coalesce(a, F.array()) for a in arrays)))).alias("t"))
+        rows = rows.select("_rid", *keys, *(["_entities"] if entities else []), "_given", "_surname_", "t.*").where("text is not null").withColumn("_key", F.concat_ws("/", "_rid", "field", "elem"))
+        options = Options(strong, tech, mapping.whitelist, mapping.blacklist, dictionaries, entities="_entities" if entities else None)
         rows = detect(rows, "text", options, out="shown", row="_key", lookup=(F.col("_given"), F.col("_surname_")) if mapping.lookup_given else None, hide=anon)
         if anon:
             rows = rows.withColumn("shown", F.regexp_replace("shown", rf"\[{PERSON}_\d+\]", REMOVED))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 from pathlib import PurePosixPath
 
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from ..operators.vault import exported
 from ..plans.mapping import Mapping
-from . import office
+from ..plans.tables import materialise, with_row_id
+from . import json_records, office
 
 #: Suffixes of the files that the library writes.
 SUFFIXES = {"pseudo": "_PSEUDO", "anon": "_ANON", "restore": "_RESTAURE"}
@@ -28,100 +29,142 @@ def extension(path: str) -> str:
     return PurePosixPath(path).suffix.lower()
 
 
-def read(spark: SparkSession, path: str, mapping: Mapping = Mapping(), pdf=None) -> DataFrame:
-    """The records of a file, folder of one format, or glob; ``_source`` names the file of a document.
+@dataclass(frozen=True)
+class Loaded:
+    """``records`` that could be read; ``errors``, one row for each that could not: _source and reason, never its text;
+    ``files``, one row for each file that was looked at: _source."""
+
+    records: DataFrame
+    errors: DataFrame
+    files: DataFrame
+
 
+def load(spark: SparkSession, path: str, mapping: Mapping = Mapping(), kinds: tuple[str, ...] | None = None, pdf=None) -> Loaded:
+    """A file, glob, or folder of one format; with ``kinds`` all files of a folder of these formats, but those the library wrote itself.
+
+    A record or file that is broken is left out of the records and counted. Each format is one scan, however many files it has.
     ``pdf`` is a function of a PDF's bytes that gives the text of its pages; there is none built in.
     """
-    kind = extension(path)
+    found = _list(spark, path, kinds) if kinds else None
+    by_kind: dict[str, list[str]] = {}
+    for f in found if kinds else []:
+        by_kind.setdefault(extension(f), []).append(f)
+    if kinds and not by_kind:
+        raise ValueError(f"no files of {', '.join(kinds)} in {path}")
+    parts = [_load(spark, own, kind, mapping, pdf) for kind, own in by_kind.items()] if kinds else [_load(spark, [path], extension(path), mapping, pdf)]
+    records = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [_numbered(r, i, len(parts)) for i, (r, _) in enumerate(parts)])
+    errors = reduce(DataFrame.unionByName, [e for _, e in parts])
+    names = [PurePosixPath(f).name for f in found] if kinds else [PurePosixPath(path).name]
+    return Loaded(records, errors, spark.createDataFrame([(n,) for n in names], "_source string"))
+
+
+def _numbered(records: DataFrame, part: int, parts: int) -> DataFrame:
+    """Numbers of rows that stay apart where formats meet; each format keeps its order."""
+    return records if parts == 1 else with_row_id(records).withColumn("_rid", F.col("_rid") + (part << 57))
+
+
+def read(spark: SparkSession, path: str, mapping: Mapping = Mapping(), pdf=None) -> DataFrame:
+    """The records that ``load`` finds in a file, glob, or folder of one format; ``_source`` names the file of a document."""
+    records = load(spark, path, mapping, pdf=pdf).records
+    return records if extension(path) in (*DOCUMENTS, *TEXTS, ".pdf") else records.drop("_source")
+
+
+def read_folder(spark: SparkSession, path: str, mapping: Mapping = Mapping(), kinds: tuple[str, ...] = (".json",)) -> DataFrame:
+    """The records of all files of a folder with the given extensions; ``_source`` tells the file.
+
+    Use ``scope="_source"`` in ``run`` to give each file a numbering of its own.
+    """
+    return load(spark, path, mapping, kinds).records
+
+
+def _load(spark: SparkSession, paths: list[str], kind: str, mapping: Mapping, pdf) -> tuple[DataFrame, DataFrame]:
+    """(records, errors) of files of one format."""
+    none = spark.createDataFrame([], "_source string, reason string")
     options = mapping.options
+    named = json_records.name_of("_metadata.file_path").alias("_source")
+    if kind == ".json" and options.get("encoding", "utf-8").lower().replace("-", "") == "utf8":
+        sound, broken = json_records.read(spark, paths)
+        return sound, broken.select("_source", F.lit("JSON").alias("reason"))
     if kind == ".json":
-        encoding = options.get("encoding", "utf-8")
-        first = spark.read.text(path).where(F.trim("value") != "").first()
-        return spark.read.json(path, multiLine=first is None or not _is_line(spark, first.value), encoding=encoding)
+        # Other encodings can't be cut at bytes; a task reads a file whole.
+        whole = materialise(spark.read.json(paths, multiLine=True, encoding=options["encoding"], columnNameOfCorruptRecord=json_records.BROKEN).withColumn("_source", json_records.name_of("_metadata.file_path")))
+        if json_records.BROKEN not in whole.columns:
+            return whole, none
+        bad = F.col(json_records.BROKEN).isNotNull()
+        return whole.where(~bad).drop(json_records.BROKEN), whole.where(bad).select("_source", F.lit("JSON").alias("reason"))
     if kind in (".csv", ".tsv"):
         header = options.get("header", True)
-        df = spark.read.csv(path, sep="\t" if kind == ".tsv" else options.get("delimiter", ","), encoding=options.get("encoding", "utf-8"), header=header, multiLine=True, escape='"')
-        df = df if header else df.toDF(*(f"col_{i}" for i in range(len(df.columns))))
-        return df.na.fill("")
+        df = spark.read.csv(paths, sep="\t" if kind == ".tsv" else options.get("delimiter", ","), encoding=options.get("encoding", "utf-8"), header=header, multiLine=True, escape='"')
+        fields = df.columns
+        df = df.select(*(F.coalesce(f"`{c}`", F.lit("")).alias(c if header else f"col_{i}") for i, c in enumerate(fields)), *([] if "_source" in fields else [named]))
+        return df, none
     if kind in TEXTS:
-        return spark.read.text(path, wholetext=True).select(F.col("value").alias("texte"), F.col("_metadata.file_name").alias("_source"))
+        return spark.read.text(paths, wholetext=True).select(F.col("value").alias("texte"), named), none
     if kind in DOCUMENTS or kind == ".pdf":
-        parse = DOCUMENTS.get(kind) or (lambda data: "\n\n".join(x for x in pdf(data) if x))
         if kind == ".pdf" and pdf is None:
             raise ValueError("reading PDF needs a function that gives the text of its pages")
-
-        def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                parsed = [parse(c.as_py()) for c in batch.column("content")]
-                yield pa.RecordBatch.from_arrays([pa.array(parsed, pa.string()), batch.column("_source")], names=["texte", "_source"])
-
-        return _binary(spark, path).mapInArrow(texts, "texte string, _source string")
+        parse = DOCUMENTS.get(kind) or (lambda data: "\n\n".join(x for x in pdf(data) if x))
+        found = materialise(_each(spark, paths, lambda data: [parse(data)], "string"))
+        return found.where("reason is null").select(F.col("r").alias("texte"), "_source"), found.where("reason is not null").select("_source", "reason")
     if kind in TABLES:
-        parse_table = TABLES[kind]
-
-        def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for data in batch["content"]:
-                    yield pd.DataFrame({"r": parse_table(bytes(data))})
+        found = materialise(_each(spark, paths, TABLES[kind], "map<string,string>"))
+        keys = found.select("_source", F.posexplode(F.map_keys("r")).alias("i", "k")).groupBy("k").agg(F.min(F.struct("_source", "i")).alias("at"))
+        names = [r.k for r in keys.orderBy("at").collect()]
+        # A cell that is empty is "", a column that the file lacks is null.
+        cells = [F.when(F.map_contains_key("r", F.lit(n)), F.coalesce(F.try_element_at("r", F.lit(n)), F.lit(""))).alias(n) for n in names]
+        return found.where("reason is null").select(*cells, *([] if "_source" in names else ["_source"])), found.where("reason is not null").select("_source", "reason")
+    raise ValueError(f"unknown format: {kind or paths[0]}")
 
-        found = _binary(spark, path).mapInPandas(rows, "r map<string,string>")
-        names = _columns(found)
-        return found.select(*(F.coalesce(F.col("r")[n], F.lit("")).alias(n) for n in names))
-    raise ValueError(f"unknown format: {kind or path}")
 
+def _each(spark: SparkSession, paths: list[str], parse, kind: str) -> DataFrame:
+    """r, _source and reason: what ``parse`` makes of the bytes of each file; a file that it can't read has one row with the reason."""
+    from pyspark.sql.pandas.types import to_arrow_type
 
-def _is_line(spark: SparkSession, text: str) -> bool:
-    """Whether a file whose first line this is holds one JSON object a line; else it is one array or one object."""
-    text = text.strip("\ufeff \t\r\n")
-    return text.startswith("{") and spark.sql("SELECT try_parse_json(:t) IS NOT NULL", {"t": text}).first()[0]
+    r = to_arrow_type(T._parse_datatype_string(kind))
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, source in zip(batch.column("content"), batch.column("_source").to_pylist(), strict=True):
+                try:
+                    found, reason = list(parse(data.as_py())), None
+                except Exception as e:  # whatever a broken file makes a parser raise
+                    found, reason = [None], type(e).__name__
+                if found and isinstance(found[0], dict):
+                    found = [list(x.items()) for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array(found, r), pa.array([source] * len(found), pa.string()), pa.array([reason] * len(found), pa.string())], names=["r", "_source", "reason"])
 
-def _binary(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("content", F.element_at(F.split("path", "/"), -1).alias("_source"))
+    return _binary(spark, paths).mapInArrow(rows, f"r {kind}, _source string, reason string")
 
 
-def _columns(found: DataFrame) -> list[str]:
-    """Names of a spreadsheet's columns in their order; as many as a sheet is wide."""
-    return list(found.select(F.map_keys("r").alias("k")).first().k) if not found.isEmpty() else []
+def _binary(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").load(paths).select("content", F.element_at(F.split("path", "/"), -1).alias("_source"))
 
 
-def read_folder(spark: SparkSession, path: str, mapping: Mapping = Mapping(), kinds: tuple[str, ...] = (".json",)) -> DataFrame:
-    """All files of a folder with the given extensions, but those the library wrote itself; ``_source`` tells the file.
+def status(loaded: Loaded, detections: DataFrame | None = None, records: DataFrame | None = None) -> DataFrame:
+    """One row for each file that was looked at, and one for all (``_source`` null): n_records, n_errors, n_replacements and status.
 
-    Use ``scope="_source"`` in ``run`` to give each file a numbering of its own.
+    ``detections`` and ``records`` are those of a run over ``loaded.records``. A file of which nothing could be read is an ``error``.
     """
-    frames = []
-    for kind in kinds:
-        own = _list(path, kind)
-        if not own:
-            continue
-        if kind in (".json", ".csv", ".tsv", *TEXTS):
-            df = read(spark, own[0], mapping) if len(own) == 1 else _together(spark, own, kind, mapping)
-            frames.append(df if "_source" in df.columns else df.withColumn("_source", F.col("_metadata.file_name")))
-        else:
-            frames += [read(spark, f, mapping).withColumn("_source", F.lit(PurePosixPath(f).name)) for f in own]
-    if not frames:
-        raise ValueError(f"no files of {', '.join(kinds)} in {path}")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-
-def _together(spark: SparkSession, files: list[str], kind: str, mapping: Mapping) -> DataFrame:
-    if kind == ".json":
-        firsts = {f: spark.read.text(f).where(F.trim("value") != "").first() for f in files}
-        lines = [f for f, first in firsts.items() if first is not None and _is_line(spark, first.value)]
-        parts = [(own, whole) for own, whole in ((lines, False), ([f for f in files if f not in lines], True)) if own]
-        read = [spark.read.json(own, multiLine=whole, encoding=mapping.options.get("encoding", "utf-8")) for own, whole in parts]
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [x.withColumn("_source", F.col("_metadata.file_name")) for x in read])
-    if kind in TEXTS:
-        return spark.read.text(files, wholetext=True).select(F.col("value").alias("texte"), F.col("_metadata.file_name").alias("_source"))
-    return spark.read.csv(files, sep="\t" if kind == ".tsv" else mapping.options.get("delimiter", ","), header=True, multiLine=True, escape='"').na.fill("")
-
-
-def _list(path: str, kind: str) -> list[str]:
-    store, root = _store(path)
-    names = [f.path for f in store.get_file_info(fs.FileSelector(root)) if f.is_file]
-    return sorted(n for n in names if extension(n) == kind and not any(f"{s}." in n for s in SUFFIXES.values()))
+    counts = loaded.records.groupBy("_source").agg(F.count("*").alias("n_records"))
+    broken = loaded.errors.groupBy("_source").agg(F.count("*").alias("n_errors"))
+    rows = loaded.files.join(counts, "_source", "left").join(broken, "_source", "left")
+    if detections is not None:
+        of = detections.join((loaded.records if records is None else records).select("_rid", "_source"), "_rid")
+        rows = rows.join(of.groupBy("_source").agg(F.count("*").alias("n_replacements")), "_source", "left")
+    else:
+        rows = rows.withColumn("n_replacements", F.lit(0).cast("long"))
+    rows = rows.na.fill(0, ["n_records", "n_errors", "n_replacements"])
+    rows = rows.withColumn("status", F.when((F.col("n_errors") > 0) & (F.col("n_records") == 0), "error").otherwise("ok"))
+    failed = F.sum(F.when(F.col("status") == "error", 1).otherwise(0))
+    sums = [F.sum(c).alias(c) for c in ("n_records", "n_errors", "n_replacements")]
+    every = rows.agg(*sums, F.concat((F.count("*") - failed).cast("string"), F.lit(" ok, "), failed.cast("string"), F.lit(" error")).alias("status"))
+    return rows.unionByName(every.select(F.lit(None).cast("string").alias("_source"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_records", "n_errors", "n_replacements")), "status"))
+
+
+def _list(spark: SparkSession, path: str, kinds: tuple[str, ...]) -> list[str]:
+    """Files of a folder; Spark lists them, so any store will do, and reads none."""
+    names = [r.path for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+    return sorted(n for n in names if extension(n) in kinds and not any(f"{s}." in n for s in SUFFIXES.values()))
 
 
 def _store(path: str):
