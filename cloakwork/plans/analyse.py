@@ -10,6 +10,9 @@ from ..operators import scoring
 from ..operators.detect import Options
 from .engine import json_schema, score_texts
 
+#: Levels of objects and lists that are looked into where no schema is given.
+LEVELS = 4
+
 
 def leaf_texts(schema: T.DataType, base: Column) -> list[Column]:
     """All string leaves of a value as columns; keys that begin with ``_`` are passed over, lists are joined."""
@@ -22,16 +25,47 @@ def leaf_texts(schema: T.DataType, base: Column) -> list[Column]:
     return []
 
 
-def analyse(df: DataFrame, limit: int | None = 20, options: Options = Options(), unwrap: tuple[str, ...] = ()) -> DataFrame:
-    """Each record with risk counts, score and level of all its texts; ``unwrap`` names columns of JSON texts. ``limit`` None takes all."""
+def wrapped_texts(text: Column, levels: int = LEVELS) -> Column:
+    """The string leaves of a JSON object in a text, a line each, whatever its shape; the text itself if it holds no object.
+
+    Keys that begin with ``_`` are passed over, and what lies deeper than ``levels`` is taken as its JSON.
+    """
+
+    def leaves(v: Column, left: int) -> Column:
+        kind = F.schema_of_variant(v)
+        if not left:
+            return F.when(kind.isin("STRING", "VOID") | ~kind.rlike("^(?:OBJECT|ARRAY)"), F.array(F.when(kind == "STRING", v.cast("string")))).otherwise(F.array(F.to_json(v)))
+        entries = F.map_entries(F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: ~k.startswith("_")))
+        items = F.try_variant_get(v, "$", "array<variant>")
+        none = F.array().cast("array<string>")
+        return (
+            F.when(kind == "STRING", F.array(v.cast("string")))
+            .when(kind.startswith("OBJECT"), F.flatten(F.transform(entries, lambda e: leaves(e["value"], left - 1))))
+            .when(kind.startswith("ARRAY"), F.flatten(F.transform(items, lambda x: leaves(x, left - 1))))
+            .otherwise(none)
+        )
+
+    found = F.try_parse_json(text)
+    looks = (F.length(text) > 10) & F.ltrim(text).startswith("{")
+    return F.when(looks & found.isNotNull(), F.array_join(leaves(found, levels), "\n")).otherwise(text)
+
+
+def analyse(df: DataFrame, limit: int | None = 20, options: Options = Options(), unwrap: tuple[str, ...] | None = None) -> DataFrame:
+    """Each record with risk counts, score and level of all its texts. ``limit`` None takes all records.
+
+    ``unwrap`` names columns of JSON texts, which are then read with one schema; without it every text that is a JSON object is
+    unwrapped by itself, so records may have shapes of their own.
+    """
     rows = df if limit is None else df.limit(limit)
     parts: list[Column] = []
     for f in df.schema.fields:
         if f.name.startswith("_"):
             continue
-        if f.name in unwrap:
+        if unwrap and f.name in unwrap:
             schema = json_schema(df, f.name)
             parts += leaf_texts(schema, F.from_json(F.col(f"`{f.name}`"), schema))
+        elif unwrap is None and isinstance(f.dataType, T.StringType):
+            parts.append(wrapped_texts(F.col(f"`{f.name}`")))
         else:
             parts += leaf_texts(f.dataType, F.col(f"`{f.name}`"))
     return score_texts(rows.withColumn("_all", F.concat_ws("\n", *parts) if parts else F.lit("")), "_all", options).drop("_all")

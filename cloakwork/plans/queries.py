@@ -230,6 +230,76 @@ def analyse_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(analyse(table(spark, sf_dir, "documents").select("text"), None, D.Options(tech=True)))
 
 
+NESTED = Mapping.from_json({"champs_sensibles": {"person.name": {"type": "nom", "jeton": "NOM"}}, "texte_libre": ["person.notes[].said", "wrapped"]})
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer as a record with lists and wrapped JSON, that holds its name and an address."""
+    mail = F.concat(F.lit("client"), F.col("c_custkey").cast("string"), F.lit("@example.com"))
+    notes = F.array(F.struct(F.concat(F.lit("mail "), mail).alias("said")), F.struct(F.lit(None).cast("string").alias("said")), F.struct(F.lower("c_mktsegment").alias("said")))
+    wrapped = F.to_json(F.struct(mail.alias("to"), F.array(F.concat(F.lit("cc "), mail)).alias("cc")))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("_rid"), F.struct(F.col("c_name").alias("name"), notes.alias("notes")).alias("person"), wrapped.alias("wrapped"))
+
+
+def nested_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens in structs, lists and wrapped JSON."""
+    done = run(_nested(spark, sf_dir), NESTED).records
+    return done.select(F.col("_rid").alias("row"), F.col("person.name").alias("name"), F.col("person.notes")[0]["said"].alias("said"), F.get_json_object("wrapped", "$.cc[0]").alias("cc"))
+
+
+def nested_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records whole again, from their protected form and the vault."""
+    done = run(_nested(spark, sf_dir), NESTED)
+    back = vault.restore(done.records, None, vault.exported(done.vault), "_rid")
+    return back.select(F.col("_rid").alias("row"), F.col("person.name").alias("name"), F.array_join(F.col("person.notes")["said"], "|", "-").alias("said"), F.get_json_object("wrapped", "$.to").alias("to"), F.get_json_object("wrapped", "$.cc[0]").alias("cc"))
+
+
+#: Records in an array of the files that ``json_arrays`` makes.
+ARRAY = 2_000
+
+
+def _arrays(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of files, each one array of events; braces, quotes and escapes stand in their texts."""
+    from .tables import new_path
+
+    odd = F.concat(F.lit('}{"'), F.col("event_type"), F.lit('\\"[ '), F.col("props"))
+    record = F.to_json(F.struct("event_id", "user_id", odd.alias("odd"), F.array(F.struct("event_type")).alias("list")))
+    rows = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / ARRAY).alias("of"), record.alias("j"))
+    path = new_path(spark, "arrays")
+    arrays = rows.groupBy("of").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("j"), " ,\n"), F.lit("]")).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+def json_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as JSON arrays and read back by byte ranges."""
+    from ..sources import json_records
+
+    records, _ = json_records.read(spark, [_arrays(spark, sf_dir)])
+    return records.select("event_id", "user_id", "odd", F.col("list")[0]["event_type"].alias("event_type"))
+
+
+def json_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON lines, each tenth cut short: what is read, and what is counted as broken."""
+    from ..sources import json_records
+    from .tables import new_path
+
+    line = F.to_json(F.struct("event_id", "user_id", "event_type"))
+    path = new_path(spark, "lines")
+    table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 10 == 7, F.left(line, F.length(line) - 3)).otherwise(line).alias("value")).write.text(path)
+    records, broken = json_records.read(spark, [path])
+    kept = records.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("user_id").alias("users"))
+    return kept.unionByName(broken.agg(F.lit("(broken)").alias("event_type"), F.count("*").alias("n"), F.lit(0).cast("long").alias("users")))
+
+
+def analyse_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of documents wrapped in JSON of two shapes, which the analysis finds by itself."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    flat, deep = F.to_json(F.struct("text", "lang")), F.to_json(F.struct(F.struct(F.array(F.struct("text", F.lit(1).alias("n"))).alias("parts"), F.col("lang").alias("_hidden")).alias("body")))
+    wrapped = docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, flat).otherwise(deep).alias("w"))
+    return analyse(wrapped, None, D.Options(names=("email_txt",))).select("doc_id", "direct", "score", "level")
+
+
 QUERIES = {
     "det_email": per_document("email_txt"),
     "det_ipv4": per_document("ipv4_txt"),
@@ -239,6 +309,7 @@ QUERIES = {
     for f in (
         det_url, doc_risk, risk_by_source, counts_by_type, samples_top5, email_rewrite, has_city, upper_words, tok_customer, anon_customer, vault_export, vault_search, vault_page,
         restore_roundtrip, unwrap_props, rewrap_props, preview_diff, infer_documents, analyse_documents, analyse_all, protect_documents, score_conversations,
+        nested_tokens, nested_roundtrip, json_arrays, json_errors, analyse_wrapped,
     )
 } | {f"made_{name}": made(name) for name in SENTENCES}
 
@@ -274,6 +345,14 @@ ORACLES = {
     "infer_documents": "SELECT 'doc_id' AS path, 'id' AS type, 'ID' AS prefix UNION ALL SELECT 'text', 'text', NULL WHERE (SELECT length(text) FROM documents ORDER BY doc_id LIMIT 1) > 80",
     "analyse_documents": f"SELECT count(*) AS n, CAST(round_even(avg(s), 0) AS BIGINT) AS mean, CAST(max(s) AS BIGINT) AS max, CASE WHEN round_even(avg(s), 0) < 1 THEN 'NUL' WHEN round_even(avg(s), 0) < 10 THEN 'FAIBLE' ELSE 'MODERE' END AS level FROM (SELECT 3 * len(regexp_extract_all(text, '{EMAIL}')) AS s FROM documents)",
 }
+_CLIENT = "'client' || c_custkey || '@example.com'"
+ORACLES |= {
+    "nested_tokens": "SELECT c_custkey AS row, '[NOM_' || row_number() OVER (ORDER BY c_custkey) || ']' AS name, 'mail [EMAIL_' || row_number() OVER (ORDER BY c_custkey) || ']' AS said, 'cc [EMAIL_' || row_number() OVER (ORDER BY c_custkey) || ']' AS cc FROM customer",
+    "nested_roundtrip": f"SELECT c_custkey AS row, c_name AS name, 'mail ' || {_CLIENT} || '|-|' || lower(c_mktsegment) AS said, {_CLIENT} AS to, 'cc ' || {_CLIENT} AS cc FROM customer",
+    "json_arrays": "SELECT event_id, user_id, '}{\"' || event_type || '\\\"[ ' || props AS odd, event_type FROM events",
+    "json_errors": "SELECT event_type, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS users FROM events WHERE event_id % 10 <> 7 GROUP BY event_type UNION ALL SELECT '(broken)', count(*), CAST(0 AS BIGINT) FROM events WHERE event_id % 10 = 7",
+    "analyse_wrapped": f"SELECT doc_id, n AS direct, 3 * n AS score, {_LEVEL.format('3 * n')} AS level FROM (SELECT doc_id, len(regexp_extract_all(text, '{EMAIL}')) AS n FROM documents)",
+}
 #: Luhn over all digits of ``v``, for the 9 or 14 digits of a company number.
 _COMPANY = LUHN.replace("NOT IN (9, 14)", "IN (9, 14)")
 ORACLES |= {

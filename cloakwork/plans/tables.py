@@ -5,23 +5,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write a table to the folder of ``spark.checkpoint.dir`` (one of our own where it is unset) and read it back."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, tag: str = "table") -> str:
+    """A path of its own in the folder of ``spark.checkpoint.dir`` (one of our own where it is unset)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a table to the folder of ``spark.checkpoint.dir`` and read it back."""
+    spark = df.sparkSession
+    path = new_path(spark)
     # Once the table is written nothing reads its shuffles again, so their files go.
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
