@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterable
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -68,15 +70,74 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _ENDS = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
 
 
+#: Elements below this depth count as children of the last one above it, as browsers have it.
+DEPTH = 512
+
+
+class Paths:
+    """Paths of elements by number. A path is known by its parent's number and its last element."""
+
+    def __init__(self):
+        self.tuples: list[tuple[str, ...]] = [()]
+        self._below: dict[tuple[int, str], int] = {}
+
+    def below(self, parent: int, element: str) -> int:
+        number = self._below.setdefault((parent, element), len(self.tuples))
+        if number == len(self.tuples):
+            self.tuples.append((*self.tuples[parent], element))
+        return number
+
+
+class Stack:
+    """Open elements: each one's name and path, and where the elements of a name stand."""
+
+    def __init__(self, paths: Paths):
+        self.paths = paths
+        self.names: list[str] = []
+        self.numbers: list[int] = []
+        self.bare: list[bool] = []
+        self.at: dict[str, list[int]] = defaultdict(list)
+        #: Open elements without class, id and role, by name.
+        self.plain: Counter = Counter()
+
+    @property
+    def path(self) -> int:
+        return self.numbers[-1] if self.numbers else 0
+
+    def push(self, name: str, hints: str) -> None:
+        depth = len(self.names)
+        parent = self.path if depth < DEPTH else self.numbers[DEPTH - 2]
+        self.at[name].append(depth)
+        self.names.append(name)
+        self.bare.append(not hints)
+        self.plain[name] += not hints
+        self.numbers.append(self.paths.below(parent, f"{name} {hints}" if hints else name))
+
+    def pop(self) -> str:
+        name = self.names.pop()
+        self.at[name].pop()
+        self.plain[name] -= self.bare.pop()
+        self.numbers.pop()
+        return name
+
+    def nearest(self, names: Iterable[str]) -> int:
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def close(self, names: set[str]) -> None:
+        """Close the nearest open element of these names with all inside it, unless a container stands between."""
+        i = self.nearest(names)
+        if i >= 0 and i >= self.nearest(_STOPS):
+            while len(self.names) > i:
+                self.pop()
+
+
 class Page:
     """A page's tokens as numbers, and its blocks: (path, raw text, first token, last token)."""
 
-    def __init__(self, html: str, numbers: dict, paths: dict):
+    def __init__(self, html: str, numbers: dict, paths: Paths):
         self.tokens: list[int] = []
         self.blocks: list[tuple[int, str, int, int]] = []
-        stack: list[str] = []
-        path: tuple[str, ...] = ()
-        at = paths.setdefault(path, len(paths))
+        stack = Stack(paths)
         text: list[str] = []
         first = 0
         own = 0
@@ -88,11 +149,6 @@ class Page:
             text = []
             first = len(self.tokens)
 
-        def moved() -> None:
-            nonlocal path, at
-            path = tuple(stack)
-            at = paths.setdefault(path, len(paths))
-
         position, end = 0, len(html)
         while position < end:
             match = _TOKEN.match(html, position)
@@ -102,52 +158,38 @@ class Page:
                 piece = match[0]
                 if piece[0] != "<" or piece == "<":
                     if not text:
-                        own, first = at, len(self.tokens)
+                        own, first = stack.path, len(self.tokens)
                     text.append(piece)
                     for word in piece.split():
-                        self.tokens.append(numbers.setdefault((word, at), len(numbers)))
+                        self.tokens.append(numbers.setdefault((word, stack.path), len(numbers)))
                 continue
             name = name.lower()
             if match["end"]:
-                if any(x.split(" ", 1)[0] == name for x in stack):
+                if stack.at.get(name):
                     if name in BLOCKS:
                         close_block()
-                    while stack.pop().split(" ", 1)[0] != name:
+                    while stack.pop() != name:
                         pass
-                    moved()
-                    self.tokens.append(numbers.setdefault((f"</{name}>", at), len(numbers)))
+                    self.tokens.append(numbers.setdefault((f"</{name}>", stack.path), len(numbers)))
                 continue
             if name in BLOCKS:
                 close_block()
-                if "p" in stack and name != "p" or name == "p" and any(x.split(" ", 1)[0] == "p" for x in stack):
-                    self._pop(stack, {"p"})
+                if stack.plain["p"] and name != "p" or name == "p" and stack.at.get("p"):
+                    stack.close({"p"})
             elif name == "br" and text:
                 text.append(" ")
             if name in CLOSES:
-                self._pop(stack, CLOSES[name])
+                stack.close(CLOSES[name])
             if name not in VOID:
                 hints = " ".join(f"{k.lower()}={(a or b or c).lower()}" for k, a, b, c in _ATTRIBUTE.findall(match["more"]))
-                stack.append(f"{name} {hints}" if hints else name)
-            moved()
-            self.tokens.append(numbers.setdefault((f"<{name}>", at), len(numbers)))
+                stack.push(name, hints)
+            self.tokens.append(numbers.setdefault((f"<{name}>", stack.path), len(numbers)))
             if name in RAW and not match["more"].endswith("/>"):
                 found = _ENDS[name].search(html, position)
                 position = found.end() if found else end
                 stack.pop()
-                moved()
         close_block()
 
-    @staticmethod
-    def _pop(stack: list[str], names: set[str]) -> None:
-        """Close the nearest open element of these names with all inside it, unless a container stands between."""
-        for i in range(len(stack) - 1, -1, -1):
-            name = stack[i].split(" ", 1)[0]
-            if name in names:
-                del stack[i:]
-                return
-            if name in _STOPS:
-                return
-
 
 def template_tokens(pages: list[Page], n_tokens: int) -> np.ndarray:
     """Which token numbers belong to the template: the valid, nested classes of equal occurrence vectors."""
@@ -204,33 +246,36 @@ def _nested(shown: list[np.ndarray], chosen: np.ndarray, kept: list[np.ndarray],
     return True
 
 
+@lru_cache(maxsize=65_536)
+def _marks(element: str) -> tuple[str, bool, bool]:
+    """An element's name, whether it is the main text's, and whether its class, id or role marks it as beside the text."""
+    name, _, hints = element.partition(" ")
+    return name, bool(_MAIN.search(name) or _MAIN.search(element)), bool(hints and _HINT.search(hints))
+
+
 def _judge(path: tuple[str, ...]) -> tuple[bool, int]:
     """Whether a path leads out of the main text, and how many of its elements reach down to the innermost article."""
-    main = 0
-    for i, element in enumerate(path):
-        if _MAIN.search(element.split(" ", 1)[0]) or _MAIN.search(element):
-            main = i + 1
+    marks = [_marks(element) for element in path]
+    main = max((i + 1 for i, (_, of_main, _) in enumerate(marks) if of_main), default=0)
     part = len(path)
-    for i, element in enumerate(path):
-        name, _, hints = element.partition(" ")
+    for i, (name, _, marked) in enumerate(marks):
         if name not in BLOCKS and i > part:
             # Marked words at the head of a paragraph say nothing about the paragraph.
             continue
         if name in PARTS:
             part = min(part, i)
         # A header belongs to the page unless it stands inside the article; html and body are never left.
-        out = name in OUTSIDE or name == "header" and i >= 0 and not main or name not in ("html", "body") and i + 1 != main and bool(hints and _HINT.search(hints))
-        if out:
+        if name in OUTSIDE or name == "header" and i >= 0 and not main or name not in ("html", "body") and i + 1 != main and marked:
             return True, main
     return False, main
 
 
-def _generic(pages: list[Page], numbers: dict, paths: dict) -> list[tuple[str, ...]]:
+def _generic(pages: list[Page], numbers: dict, paths: Paths) -> list[tuple[str, ...]]:
     """Each path without the classes, ids and roles of one page only; digits of words on few pages count as one.
 
     Tokens that differ by these alone become equal.
     """
-    every = list(paths)
+    every = paths.tuples
     if len(pages) < 2 or not any(" " in x for path in every for x in path):
         return every
     number_path = np.fromiter((at for _, at in numbers), np.int64, len(numbers))
@@ -331,11 +376,11 @@ def extract(htmls: list[str | None]) -> list[str]:
 
 def _extract(htmls: list[str]) -> list[str]:
     numbers: dict = {}
-    paths: dict = {}
+    paths = Paths()
     pages = [Page(h, numbers, paths) for h in htmls]
     generic = _generic(pages, numbers, paths)
     template = template_tokens(pages, len(numbers))
-    judged = {k: _judge(path) for path, k in paths.items()}
+    judged = [_judge(path) for path in paths.tuples]
     kept = []
     for page in pages:
         own = []

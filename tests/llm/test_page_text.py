@@ -1,8 +1,10 @@
 """Main text of pages: templates, slots, odd markup."""
 
 import random
+import time
 
 import numpy as np
+import pytest
 
 from cloakwork.llm import page_text as P
 
@@ -108,7 +110,7 @@ def test_odd_markup():
 
 def test_template_is_of_equal_vectors_in_one_order():
     rnd = random.Random(3)
-    numbers, paths = {}, {}
+    numbers, paths = {}, P.Paths()
     pages = [P.Page(page(rnd, f"<article><p>{i} words</p></article>"), numbers, paths) for i in range(6)]
     template = P.template_tokens(pages, len(numbers))
     name = {v: k for k, v in numbers.items()}
@@ -127,3 +129,16 @@ def test_rows_and_large_hosts(spark):
         assert sorted(((r.page_id or 0, r.text) for r in got)) == sorted((i or 0, t) for i, t in want)
         assert all(r.n_chars == len(r.text) for r in got)
     assert P.main_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("html", ["<font>" * 50_000 + "<p>The end.</p>", "<div>" * 20_000 + "The end.", "".join(f"<div class='c{i}'>" for i in range(3_000)) + "The end.", "<p><div>" + "<font>" * 20_000 + "<h1></h1>" * 20_000 + "The end.", "</font>" * 50_000 + "The end.", "<li>" * 50_000 + "The end."])
+def test_deep_nesting_takes_linear_time(html):
+    start = time.process_time()
+    assert P.extract([html]) == ["The end."]
+    assert time.process_time() - start < 4
+
+
+def test_elements_below_the_depth_count_as_siblings():
+    inside = "<span>" * (P.DEPTH + 100) + "one <b>two</b> three" + "</span>" * (P.DEPTH + 100)
+    html = f"<body><nav>menu</nav><article><p>{inside}</p><p>four</p></article><footer>end</footer></body>"
+    assert P.extract([html]) == ["one two three\nfour"]
