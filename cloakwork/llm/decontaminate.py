@@ -31,6 +31,8 @@ WINDOW, RATE, Q, LEAST = 80, 0.1, 8, 24
 BLOCK_CHARS = 4_000_000
 #: Normalised characters that are searched at once.
 _SLICE = 1 << 20
+#: Pairs of a place and a window's q-gram that are counted at once.
+_ENTRIES = 1 << 20
 _NONE = np.uint32(0xFFFFFFFF)
 #: From here on code points are mostly of scripts that set no blanks between words.
 _NO_BLANKS = 0x2E80
@@ -156,19 +158,52 @@ class Index:
         at, k = at[exact], k[exact]
         if not len(at):
             return
-        times = self.last[k] - self.first[k]
-        entry = np.repeat(self.first[k] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-        owner = self.owner[entry]
-        diagonal = np.repeat(at, times) + start - self.offset[entry]
-        width = self.budget[owner] + 1
-        band = diagonal // width
-        key = np.concatenate([band, band - 1]) + (1 << 40), np.concatenate([owner, owner])
-        packed, count = np.unique(key[1] * (1 << 42) + key[0], return_counts=True)
-        owner, band = packed >> 42, (packed & ((1 << 42) - 1)) - (1 << 40)
-        enough = count >= self.need[owner]
-        owner, band = owner[enough], band[enough]
-        for i in range(0, len(owner), 2048):
-            yield from self._align(codes, limits, owner[i : i + 2048], band[i : i + 2048])
+        for owner, band in self._bands(at, k, start):
+            for i in range(0, len(owner), 2048):
+                yield from self._align(codes, limits, owner[i : i + 2048], band[i : i + 2048])
+
+    def _bands(self, at: np.ndarray, k: np.ndarray, start: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Windows and bands that share enough q-grams, from q-gram ``k`` at each place of ``at``.
+
+        A q-gram may stand in many windows, and often in each, so places are taken in runs of about ``_ENTRIES`` pairs;
+        counts are kept only of bands that later places can still reach.
+        """
+        ends = np.cumsum(self.last[k] - self.first[k])
+        held, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        i = 0
+        while i < len(at):
+            done = int(ends[i - 1]) if i else 0
+            j = max(i + 1, int(np.searchsorted(ends, done + _ENTRIES, side="right")))
+            first = self.first[k[i:j]]
+            times = self.last[k[i:j]] - first
+            entry = np.repeat(first - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            owner = self.owner[entry]
+            band = (np.repeat(at[i:j], times) + start - self.offset[entry]) // (self.budget[owner] + 1)
+            packed, count = self._tally(owner, band)
+            held, place = np.unique(np.concatenate([held, packed]), return_inverse=True)
+            counts = np.bincount(place, np.concatenate([counts, count]), len(held)).astype(np.int64)
+            owner, band = held >> 42, (held & ((1 << 42) - 1)) - (1 << 40)
+            # A band holds two steps of its window's width; no place behind reaches further back than the longest window.
+            over = (band + 2) * (self.budget[owner] + 1) <= at[j] + start - self.longest if j < len(at) else np.ones(len(held), bool)
+            enough = over & (counts >= self.need[owner])
+            yield owner[enough], band[enough]
+            held, counts = held[~over], counts[~over]
+            i = j
+
+    def _tally(self, owner: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many pairs fall into each (window, band), packed as one number; each counts for its band and the one below."""
+        low = int(band.min()) - 1
+        span = int(band.max()) - low + 1
+        owners = np.flatnonzero(np.bincount(owner, minlength=len(self.length)))
+        if len(owners) * span <= 8 * _ENTRIES:
+            place = np.zeros(len(self.length), np.int64)
+            place[owners] = np.arange(len(owners))
+            key = place[owner] * span + (band - low)
+            count = np.bincount(key, minlength=len(owners) * span)
+            count[:-1] += count[1:].copy() if len(count) > 1 else 0
+            full = np.flatnonzero(count)
+            return owners[full // span] * (1 << 42) + (full % span + low) + (1 << 40), count[full]
+        return np.unique(np.concatenate([owner, owner]) * (1 << 42) + np.concatenate([band, band - 1]) + (1 << 40), return_counts=True)
 
     def _align(self, codes, limits, owner, band):
         """Edit distance of each window to the region around its band, free at both ends of the region."""

@@ -95,3 +95,31 @@ def test_rows(spark):
         assert kept.columns == df.columns and sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted((d, t or "") for d, t in (docs[0], docs[2], docs[4]))
     assert D.matches(df, benchmark.limit(0)).count() == 0 and D.clean(df, benchmark.limit(0)).count() == len(docs)
     assert D.matches(df.limit(0), benchmark).count() == 0
+
+
+def test_repetitive_texts_need_bounded_memory():
+    """A long text of one letter, two or a phrase, against items of the same: what is held doesn't grow with the text."""
+    import tracemalloc
+
+    items = [(1, "a" * 100), (2, "ab" * 60), (3, "the same words " * 12)]
+    index = D.Index(items, D.WINDOW, D.RATE, D.Q, D.LEAST)
+    for item, text in ((1, "a" * 300_000), (2, "ab" * 40_000), (3, "the same words " * 5_000)):
+        tracemalloc.start()
+        found = D.find(index, [text, "nothing of this kind"])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert item in found[0] and not found[1] and found[0][item][1] == 0
+        assert found[0][item][2] == 0 and found[0][item][3] >= len(text) - 20
+        assert peak < 400_000_000
+
+
+def test_small_runs_of_pairs_change_nothing(monkeypatch):
+    rng = np.random.default_rng(2)
+    items = [(i, "".join(rng.choice(list("abc "), 130))) for i in range(12)] + [(90, "x" * 90), (91, "xy" * 50)]
+    index = D.Index(items, D.WINDOW, D.RATE, D.Q, D.LEAST)
+    texts = ["".join(rng.choice(list("abc "), 300)) + items[i % 14][1] + "".join(rng.choice(list("abc "), 200)) for i in range(30)] + ["x" * 3000, "xy" * 900]
+    want = D.find(index, texts)
+    for size in (50, 777, 1 << 14):
+        monkeypatch.setattr(D, "_ENTRIES", size)
+        assert D.find(index, texts) == want
+    assert all(items[i % 14][0] in found for i, found in enumerate(want[:30]))
