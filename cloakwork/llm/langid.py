@@ -132,7 +132,7 @@ class Logs:
 
     def __init__(self, counts: pa.Table | None, languages: list[str], totals: np.ndarray, distinct: int | None = None):
         if counts is None:
-            keys, langs, n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
+            keys, langs, n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         elif counts.schema[0].type == pa.int64():
             keys, langs, n = counts.column(0).to_numpy().view(np.uint64), counts.column(1).to_numpy(), counts.column(2).to_numpy()
         else:
@@ -140,8 +140,8 @@ class Logs:
             keys, langs, n = counts.column(0).to_pylist(), [number[x] for x in counts.column(1).to_pylist()], counts.column(2).to_numpy()
             keys = hashes(keys)
         self.hash, row = np.unique(keys, return_inverse=True)
-        # As counts of 32 bits, exact below 2 ** 24; logarithms are taken of the rows that are looked up.
-        self.counts = np.zeros((len(self.hash), len(languages)), np.float32)
+        # Whole numbers, exact at any size; logarithms are taken of the rows that are looked up.
+        self.counts = np.zeros((len(self.hash), len(languages)), np.uint32 if n.max(initial=0) < 1 << 32 else np.uint64)
         self.counts[row, langs] = n
         self.size = np.log(totals + 0.5 * (len(self.hash) if distinct is None else distinct) + 1)
         #: Of a key that no language has. One seen n times in a language has log(2 n + 1) more there.
