@@ -53,3 +53,12 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_of_one_id_are_judged_by_themselves(spark):
+    a, b, c = ("the fox went over the hill to see what it could see", "seven men sat around a fire and told each other long stories", "seven men sat around a fire and told each other long stories")
+    rows = [(0, b, "en", "s", 1), (1, a, "en", "s", 1), (1, b, "en", "s", 1), (1, c, "en", "s", 1), (2, a, "en", "s", 1), (None, a, "en", "s", 1), (None, a, "en", "s", 1), (3, None, "en", "s", 1), (3, "", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.ngram_jaccard(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id is None, r.doc_id or 0), r.text or "") for r in kept.collect()) == [((False, 0), b), ((False, 1), a), ((False, 3), ""), ((False, 3), ""), ((True, 0), a), ((True, 0), a)]
