@@ -2,7 +2,7 @@
 
 Every stage takes all rows its predecessor kept; all but the last return the columns of ``documents``, others
 that the table has besides included. Null and empty texts are ``und`` and go in the first stage; rows without
-doc_id pass the second, which keeps one of repeated rows. Empty tables give empty tables; texts of any length
+doc_id pass the second. That goes by rows: of repeated rows one stays, and unlike texts of one id all stay. Empty tables give empty tables; texts of any length
 count whole; of near-duplicates the smallest doc_id stays, so no tie arises.
 """
 
@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 
 from cloakwork.llm import decontaminate, jaccard, langid, packing
 from cloakwork.llm.common import materialise, table
+from cloakwork.plans.tables import numbered
 
 #: A prediction of less confidence rejects the document, as does ``und``.
 LEAST_SCORE = 0.3
 #: Up to so many ids of rejected documents are broadcast; beyond it they are joined by shuffle.
 BROADCAST_IDS = 200_000
+#: The column of row numbers where ids repeat.
+ROW = "pipeline_row_number"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,13 +32,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep of each group of near-duplicates the document with the smallest id, once."""
+    given = docs
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        # Rows of one id are told apart by a number of their own, in the order of ids and texts.
+        given = materialise(numbered(docs, ["doc_id", "text"], name=ROW), "pipeline-rows")
+        docs = given.withColumn("doc_id", F.when(F.col("doc_id").isNotNull(), F.col(ROW)))
     found = materialise(jaccard.near_duplicates(docs), "pipeline-groups")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(ROW if ROW in given.columns else "doc_id")).distinct()
     if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    return given.join(gone, gone.columns, "left_anti").select(*[c for c in given.columns if c != ROW])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
