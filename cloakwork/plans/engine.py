@@ -15,7 +15,7 @@ from ..functions.wordlists import Dictionaries
 from ..operators import scoring, vault
 from ..operators.detect import HIDDEN, PERSON, REMOVED, Options, detect, provisional
 from .mapping import Field, Mapping
-from .tables import materialise, numbered, with_row_id
+from .tables import materialise, numbered, spread, with_row_id
 
 #: What each type of field becomes in irreversible output.
 CONSTANTS = {"prenom": "***", "nom": "***", "email": "anonyme@example.com", "tel": "00 00 00 00 00", "cp": "00000", "genre": "Non renseigné"}
@@ -196,7 +196,7 @@ def run(
     found = texts = None
     if arrays:
         named = [F.col(f"`{entities}`").alias("_entities")] if entities else []
-        rows = base.select("_rid", *scoped, *named, *_names(paths, mapping), F.explode(F.flatten(F.array(*(F.coalesce(a, F.array()) for a in arrays)))).alias("t"))
+        rows = spread(base).select("_rid", *scoped, *named, *_names(paths, mapping), F.explode(F.flatten(F.array(*(F.coalesce(a, F.array()) for a in arrays)))).alias("t"))
         rows = rows.select("_rid", *keys, *(["_entities"] if entities else []), "_given", "_surname_", "t.*").where("text is not null").withColumn("_key", F.concat_ws("/", "_rid", "field", "elem"))
         options = Options(strong, tech, mapping.whitelist, mapping.blacklist, dictionaries, entities="_entities" if entities else None)
         rows = detect(rows, "text", options, out="shown", row="_key", lookup=(F.col("_given"), F.col("_surname_")) if mapping.lookup_given else None, hide=anon)
@@ -289,4 +289,4 @@ def protect_texts(df: DataFrame, column: str, options: Options = Options(), mode
 
 def score_texts(df: DataFrame, column: str, options: Options = Options()) -> DataFrame:
     """``df`` with risk counts, score and level of a text column: no vault, no shuffle."""
-    return scoring.scored(detect(df, column, options, out="_shown", found="_found"), "_found").drop("_shown", "_found")
+    return scoring.scored(detect(spread(df), column, options, out="_shown", found="_found"), "_found").drop("_shown", "_found")

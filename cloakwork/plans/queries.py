@@ -10,6 +10,7 @@ from ..operators import infer, scoring, vault
 from .analyse import analyse, preview, summary
 from .engine import protect_texts, run, score_texts
 from .mapping import Mapping
+from .tables import new_path, spread
 
 EMAIL = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9.-]+"
 OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
@@ -23,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def found(spark: SparkSession, sf_dir: str, *names: str, tech: bool = True) -> DataFrame:
     """Detections of single detectors over all documents, one row each."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     detected = D.detect(docs, "text", D.Options(tech=tech, names=names), out="shown")
     return detected.select("doc_id", "lang", "source", F.explode("found").alias("d")).select("doc_id", "lang", "source", "d.*")
 
@@ -54,7 +55,7 @@ def det_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections of three detectors over each text as it was given, in one scan."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     names = ("email_txt", "cb_txt", "ipv4_txt")
     for name in names:
         docs = D.detect(docs, "text", D.Options(tech=True, names=(name,)), out="shown", found=name).drop("shown")
@@ -98,7 +99,7 @@ def has_city(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def upper_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words in capitals found most in documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     detected = D.detect(docs, "text", D.Options(strong=True, names=("capitals",)), out="shown")
     return scoring.top_words(detected.select(F.explode("found").alias("d")).select("d.*"))
 
@@ -254,14 +255,57 @@ def nested_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("_rid").alias("row"), F.col("person.name").alias("name"), F.array_join(F.col("person.notes")["said"], "|", "-").alias("said"), F.get_json_object("wrapped", "$.to").alias("to"), F.get_json_object("wrapped", "$.cc[0]").alias("cc"))
 
 
+#: What is added to the text of each document, in turn: things that detectors find, and things that only look alike.
+ADDED = (
+    "'tel 0' || (doc_id % 10) || ' ' || lpad((doc_id * 7919 % 100000000) || '', 8, '0') || '.'", "'TEL : ' || doc_id", "'0033 6 12.34-56_78 ' || lpad((doc_id % 100) || '', 2, '0')", "'IBAN fr' || lpad((doc_id % 100) || '', 2, '0') || ' 3000 6000 0112 3456 7890 189'",
+    "'FR76 3000 600é 0112 3456'", "'CVV: ' || (doc_id % 2000)", "'cryptogramme ' || (100 + doc_id % 900) || 'x'", "'eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.SflKxwRJSMeKKF2QT4' || doc_id", "'api_' || repeat('k1', CAST(6 + doc_id % 9 AS INT))", "'fe80:0:0:0:200:f8ff:fe21:' || (doc_id % 10000)",
+    "'00:1b-44:11:3a:' || lpad((doc_id % 100) || '', 2, '0')", "'48.8' || doc_id || ', 2.35'", "'148.85, 200.1'", "'AB-' || lpad((doc_id % 1000) || '', 3, '0') || '-CD'", "(doc_id % 10000) || ' ABC 75é'", "'12 rue Victor Hugo'", "'avenue du ' || doc_id", "'75' || lpad((doc_id % 10000) || '', 3, '0')",
+    "'née le 0' || (doc_id % 10) || '/12/19' || (60 + doc_id % 40)", "'Mme Durand-' || doc_id", "'madame durand'", "'M. LEGRAND Paul'", "'www.example.org/' || doc_id", "'un texte sans rien'",
+)
+FLAGS = ("url_txt", "iban_txt", "cvv_txt", "jwt_txt", "apikey_txt", "ipv6_txt", "mac_txt", "gps_txt", "plaque_txt", "tel_txt", "date_naiss_txt", "voie_txt", "cp_txt", "titre")
+_ADD = "CASE doc_id % {n} {whens} END".format(n=len(ADDED), whens=" ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(ADDED)))
+
+
+def detector_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which detectors find something in each document, each over the text as it was given; strong and technical ones too."""
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", F.expr(f"coalesce(text, '') || ' ' || {_ADD}").alias("text")))
+    for name in FLAGS:
+        rows = D.detect(rows, "text", D.Options(strong=True, tech=True, names=(name,)), out="shown", found=name).drop("shown")
+    return rows.select("doc_id", *((F.size(name) > 0).alias(name) for name in FLAGS))
+
+
+def flags_sql() -> str:
+    """The same patterns with the edges of words spelt out, as DuckDB's know only ASCII words."""
+    from ..functions.text import LETTER, LOWER, UPPER
+
+    a, z = r"(?:^|[^\pL\pN_])", r"(?:$|[^\pL\pN_])"
+    streets = "rue|avenue|boulevard|chemin|impasse|allée|route"
+    patterns = {
+        "url_txt": rf"{a}(?:https?://|www\.)\S+",
+        "iban_txt": rf"(?i){a}[A-Z]{{2}}\d{{2}}(?:[\s-]?[0-9A-Z]{{4}}){{4}}[\s-]?[0-9A-Z]{{0,4}}[\s-]?[0-9A-Z]{{0,3}}{z}",
+        "cvv_txt": rf"(?i){a}(?:cvv|cvc|cryptogramme|cv2)[^\pL\pN_]+\d{{3,4}}{z}",
+        "jwt_txt": rf"{a}(?:eyJ[a-zA-Z0-9_-]{{10,}}\.){{2}}[a-zA-Z0-9_-]{{9,}}[a-zA-Z0-9_]{z}",
+        "apikey_txt": rf"{a}(?:sk|pk|api)_[a-zA-Z0-9]{{20,}}{z}",
+        "ipv6_txt": r"(?:[a-fA-F0-9]{1,4}:){7}[a-fA-F0-9]{1,4}|(?:[a-fA-F0-9]{1,4}:){1,7}:|::(?:[a-fA-F0-9]{1,4}:){0,5}[a-fA-F0-9]{1,4}",
+        "mac_txt": rf"{a}(?:[0-9A-Fa-f]{{2}}[:-]){{5}}[0-9A-Fa-f]{{2}}{z}",
+        "gps_txt": rf"{a}(?:[1-8]?\d\.\d+|90\.0+)[,\s]+-?(?:1[0-7]\d|[1-9]?\d)\.\d+{z}",
+        "plaque_txt": rf"{a}(?:[A-Z]{{2}}[-\s]?\d{{3}}[-\s]?[A-Z]{{2}}|\d{{1,4}}[-\s]?[A-Z]{{2,3}}[-\s]?\d{{2}}){z}",
+        "tel_txt": r"(?:^|[^0-9])(?:(?:\+|00)33|0)\s*[1-9](?:[\s._-]*\d){8}(?:$|[^0-9])|(?i:TEL)\s*:\s*[\d\s.-]+",
+        "date_naiss_txt": rf"(?i){a}(?:né|née|naissance)(?:e|s)?\s+(?:le|du|au)?\s*:?\s*\d{{1,2}}[./-]\d{{1,2}}[./-]\d{{2,4}}{z}",
+        "voie_txt": rf"(?i){a}(?:\d+\s+(?:{streets}|bis|ter)|(?:{streets}))\s+[{LETTER}''\s-]{{3,}}",
+        "cp_txt": rf"{a}\d{{5}}{z}",
+        "titre": rf"(?i){a}(?:M\.|Mme\.?|Mlle\.?|monsieur|madame|mademoiselle)\s*[{UPPER}](?:[{LOWER}]+|[{UPPER}]+)",
+    }
+    flags = ", ".join(f"regexp_matches(t, '{patterns[n]}') AS {n}" for n in FLAGS)
+    return f"SELECT doc_id, {flags} FROM (SELECT doc_id, coalesce(text, '') || ' ' || {_ADD} AS t FROM documents)"
+
+
 #: Records in an array of the files that ``json_arrays`` makes.
 ARRAY = 2_000
 
 
 def _arrays(spark: SparkSession, sf_dir: str) -> str:
     """A folder of files, each one array of events; braces, quotes and escapes stand in their texts."""
-    from .tables import new_path
-
     odd = F.concat(F.lit('}{"'), F.col("event_type"), F.lit('\\"[ '), F.col("props"))
     record = F.to_json(F.struct("event_id", "user_id", odd.alias("odd"), F.array(F.struct("event_type")).alias("list")))
     rows = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / ARRAY).alias("of"), record.alias("j"))
@@ -282,8 +326,6 @@ def json_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as JSON lines, each tenth cut short: what is read, and what is counted as broken."""
     from ..sources import json_records
-    from .tables import new_path
-
     line = F.to_json(F.struct("event_id", "user_id", "event_type"))
     path = new_path(spark, "lines")
     table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 10 == 7, F.left(line, F.length(line) - 3)).otherwise(line).alias("value")).write.text(path)
@@ -309,7 +351,7 @@ QUERIES = {
     for f in (
         det_url, doc_risk, risk_by_source, counts_by_type, samples_top5, email_rewrite, has_city, upper_words, tok_customer, anon_customer, vault_export, vault_search, vault_page,
         restore_roundtrip, unwrap_props, rewrap_props, preview_diff, infer_documents, analyse_documents, analyse_all, protect_documents, score_conversations,
-        nested_tokens, nested_roundtrip, json_arrays, json_errors, analyse_wrapped,
+        nested_tokens, nested_roundtrip, json_arrays, json_errors, analyse_wrapped, detector_flags,
     )
 } | {f"made_{name}": made(name) for name in SENTENCES}
 
@@ -347,6 +389,7 @@ ORACLES = {
 }
 _CLIENT = "'client' || c_custkey || '@example.com'"
 ORACLES |= {
+    "detector_flags": flags_sql(),
     "nested_tokens": "SELECT c_custkey AS row, '[NOM_' || row_number() OVER (ORDER BY c_custkey) || ']' AS name, 'mail [EMAIL_' || row_number() OVER (ORDER BY c_custkey) || ']' AS said, 'cc [EMAIL_' || row_number() OVER (ORDER BY c_custkey) || ']' AS cc FROM customer",
     "nested_roundtrip": f"SELECT c_custkey AS row, c_name AS name, 'mail ' || {_CLIENT} || '|-|' || lower(c_mktsegment) AS said, {_CLIENT} AS to, 'cc ' || {_CLIENT} AS cc FROM customer",
     "json_arrays": "SELECT event_id, user_id, '}{\"' || event_type || '\\\"[ ' || props AS odd, event_type FROM events",

@@ -37,6 +37,22 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Inputs of fewer bytes for each core than this are dealt to all cores; larger ones come in enough splits.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` with its rows dealt to all cores, if it is so small that a file may be one split; else as it is.
+
+    Patterns cost far more than moving the texts of a small input once. Large inputs aren't shuffled.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if size <= cores * SPREAD_BYTES else df
+
+
 def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
     """A number that follows the order of the input, fixed by writing the table."""
     return df if name in df.columns else materialise(df.withColumn(name, F.monotonically_increasing_id()))

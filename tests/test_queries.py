@@ -49,3 +49,24 @@ def test_analysis_finds_wrapped_records_by_itself(spark):
     assert one == sorted((r.direct, r.finance, r.score, r.level) for r in analyse(df, None, unwrap=("w",)).collect()) == [(0, 0, 0, "NUL"), (1, 1, 8, "FAIBLE"), (2, 0, 6, "FAIBLE")]
     mixed = spark.createDataFrame([(rows[0],), ("mail z@y.fr",), (None,), (json.dumps({"a": "q@y.fr, t@y.fr"}),)], "w string")
     assert sorted(r.direct for r in analyse(mixed, None).collect()) == [0, 1, 2, 2]
+
+
+def test_detectors_flag_what_is_added_and_nothing_else(spark, tmp_path):
+    n = len(queries.ADDED)
+    spark.range(n * 2).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "Un texte, sans (rien) de 12 mots.").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: {k for k in queries.FLAGS if r[k]} for r in queries.detector_flags(spark, str(tmp_path)).collect()}
+    assert rows[0] == set() and rows[1] == {"tel_txt"}  # no number begins with 00 or lacks digits
+    assert [rows[i] for i in (3, 4, 7, 9, 11, 12, 13, 14, n - 1)] == [{"iban_txt"}, set(), {"jwt_txt"}, {"ipv6_txt"}, {"gps_txt"}, set(), {"plaque_txt"}, set(), set()]
+    assert set().union(*rows.values()) == set(queries.FLAGS)
+
+
+def test_small_inputs_are_spread_and_large_ones_are_not(spark):
+    from cloakwork.plans import tables
+
+    df = spark.range(10).coalesce(1)
+    assert tables.spread(df).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    before, tables.SPREAD_BYTES = tables.SPREAD_BYTES, 1
+    try:
+        assert tables.spread(df) is df
+    finally:
+        tables.SPREAD_BYTES = before
