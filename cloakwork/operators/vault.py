@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.tables import numbered
+from ..functions import text as fn
+from ..plans.tables import materialise, numbered
 
 PROVISIONAL = r"\[[^\[\]]+_9\d{17}\]"
 
@@ -45,6 +46,45 @@ def page(vault: DataFrame, number: int, size: int = 20) -> DataFrame:
     return vault.orderBy("type", "jeton", "valeur_originale").offset((min(max(1, number), last) - 1) * size).limit(size)
 
 
+#: Buckets of a saved vault; a key is hot if it stands in more than one in so many rows of the data that meets it.
+BUCKETS, HOT = 64, 256
+
+
+def save(vault: DataFrame, name: str, buckets: int = BUCKETS) -> None:
+    """Keep a vault (type, key, token, value) as a table of the warehouse, bucketed and sorted by key."""
+    vault.select("type", "key", "token", "value").write.mode("overwrite").bucketBy(buckets, "key").sortBy("key").format("parquet").saveAsTable(name)
+
+
+def with_tokens(df: DataFrame, column: str, type_: str, table: str, out: str = "token", hot: int = HOT) -> DataFrame:
+    """``df`` with the token of a saved vault for each value of ``column``; null where the vault lacks it.
+
+    The vault isn't shuffled: the distinct keys of ``df``, counted before the shuffle, come to its buckets. Keys that stand in more
+    than one of ``hot`` rows, of which there can't be as many as ``hot``, are broadcast to the rows; the others are joined by shuffle, so
+    no task gets a hot key's rows.
+    """
+    keyed = df.withColumn("_vault_key", fn.typed_key(F.col(f"`{column}`").cast("string")))
+    counts = keyed.where(F.coalesce("_vault_key", F.lit("")) != "").groupBy(F.col("_vault_key").alias("key")).agg(F.count("*").alias("_n"))
+    counts = materialise(counts)
+    met = materialise(meeting(counts, type_, table).select(F.col("key").alias("_vault_key"), "_n", F.col("token").alias(out)))
+    rows = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    common = F.col("_n") * hot > rows
+    first = keyed.join(F.broadcast(met.where(common).select("_vault_key", F.col(out).alias("_hot_token"))), "_vault_key", "left")
+    rest = first.where("_hot_token is null").drop("_hot_token").join(met.where(~common).drop("_n"), "_vault_key", "left")
+    done = first.where("_hot_token is not null").withColumnRenamed("_hot_token", out).unionByName(rest)
+    return done.select(*df.columns, out)
+
+
+def meeting(counts: DataFrame, type_: str, table: str) -> DataFrame:
+    """``counts`` (key, ...) with the entries of a saved vault: keys are dealt to the vault's buckets, which stay where they are."""
+    known = counts.sparkSession.table(table).where(F.col("type") == type_).select("key", "token")
+    return counts.repartition(_buckets(counts.sparkSession, table), "key").hint("merge").join(known.hint("merge"), "key")
+
+
+def _buckets(spark: SparkSession, table: str) -> int:
+    found = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect()}
+    return int(found["Num Buckets"])
+
+
 def final_text(text: Column, tokens: Column) -> Column:
     """``text`` with provisional tokens replaced through the map ``tokens``."""
     found = F.regexp_extract_all(text, F.lit(PROVISIONAL), F.lit(0))

@@ -255,6 +255,20 @@ def nested_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("_rid").alias("row"), F.col("person.name").alias("name"), F.array_join(F.col("person.notes")["said"], "|", "-").alias("said"), F.get_json_object("wrapped", "$.to").alias("to"), F.get_json_object("wrapped", "$.cc[0]").alias("cc"))
 
 
+def vault_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with the tokens of their customers, from a vault that is kept in buckets; one customer stands in a third of the rows."""
+    from uuid import uuid4
+
+    done = run(_customer(spark, sf_dir).select("_rid", "c_name"), Mapping(CUSTOMER.fields[:1]))
+    name = f"vault_{uuid4().hex}"
+    vault.save(done.vault, name, 16)
+    customer = F.when(F.col("o_orderkey") % 3 == 0, F.lit(7)).otherwise(F.col("o_custkey"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit(" CUSTOMER#"), F.lpad(customer.cast("string"), 9, "0")).alias("name"))
+    met = vault.with_tokens(orders, "name", "nom", name).select("o_orderkey", "token")
+    spark.sql(f"DROP TABLE {name}")
+    return met
+
+
 #: What is added to the text of each document, in turn: things that detectors find, and things that only look alike.
 ADDED = (
     "'tel 0' || (doc_id % 10) || ' ' || lpad((doc_id * 7919 % 100000000) || '', 8, '0') || '.'", "'TEL : ' || doc_id", "'0033 6 12.34-56_78 ' || lpad((doc_id % 100) || '', 2, '0')", "'IBAN fr' || lpad((doc_id % 100) || '', 2, '0') || ' 3000 6000 0112 3456 7890 189'",
@@ -351,7 +365,7 @@ QUERIES = {
     for f in (
         det_url, doc_risk, risk_by_source, counts_by_type, samples_top5, email_rewrite, has_city, upper_words, tok_customer, anon_customer, vault_export, vault_search, vault_page,
         restore_roundtrip, unwrap_props, rewrap_props, preview_diff, infer_documents, analyse_documents, analyse_all, protect_documents, score_conversations,
-        nested_tokens, nested_roundtrip, json_arrays, json_errors, analyse_wrapped, detector_flags,
+        nested_tokens, nested_roundtrip, json_arrays, json_errors, analyse_wrapped, detector_flags, vault_tokens,
     )
 } | {f"made_{name}": made(name) for name in SENTENCES}
 
@@ -390,6 +404,7 @@ ORACLES = {
 _CLIENT = "'client' || c_custkey || '@example.com'"
 ORACLES |= {
     "detector_flags": flags_sql(),
+    "vault_tokens": _VAULT + "SELECT o_orderkey, jeton AS token FROM (SELECT o_orderkey, 'customer#' || lpad(CAST(CASE WHEN o_orderkey % 3 = 0 THEN 7 ELSE o_custkey END AS VARCHAR), 9, '0') AS k FROM orders) o LEFT JOIN vault v ON v.type = 'nom' AND v.key = o.k",
     "nested_tokens": "SELECT c_custkey AS row, '[NOM_' || row_number() OVER (ORDER BY c_custkey) || ']' AS name, 'mail [EMAIL_' || row_number() OVER (ORDER BY c_custkey) || ']' AS said, 'cc [EMAIL_' || row_number() OVER (ORDER BY c_custkey) || ']' AS cc FROM customer",
     "nested_roundtrip": f"SELECT c_custkey AS row, c_name AS name, 'mail ' || {_CLIENT} || '|-|' || lower(c_mktsegment) AS said, {_CLIENT} AS to, 'cc ' || {_CLIENT} AS cc FROM customer",
     "json_arrays": "SELECT event_id, user_id, '}{\"' || event_type || '\\\"[ ' || props AS odd, event_type FROM events",

@@ -70,3 +70,20 @@ def test_small_inputs_are_spread_and_large_ones_are_not(spark):
         assert tables.spread(df) is df
     finally:
         tables.SPREAD_BYTES = before
+
+
+def test_tokens_from_a_bucketed_vault(spark):
+    from cloakwork.operators import vault
+
+    known = spark.range(500).select(F.lit("nom").alias("type"), F.concat(F.lit("k"), "id").alias("key"), F.concat(F.lit("[NOM_"), "id", F.lit("]")).alias("token"), F.col("id").cast("string").alias("value"))
+    known = known.unionByName(spark.createDataFrame([("tel", "k3", "[TEL_1]", "x")], known.schema))
+    vault.save(known, "vault_of_tests", 8)
+    # One key in nine of ten rows, keys that the vault lacks, nulls and blanks.
+    rows = spark.range(5000).select("id", F.when(F.col("id") % 10 > 0, " K3 ").when(F.col("id") % 100 == 0, None).when(F.col("id") % 100 == 50, " ").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("v"))
+    got = {r.id: r.token for r in vault.with_tokens(rows, "v", "nom", "vault_of_tests").collect()}
+    want = {i: "[NOM_3]" if i % 10 else None if i % 100 in (0, 50) or i >= 500 else f"[NOM_{i}]" for i in range(5000)}
+    assert got == want
+    plan = vault.meeting(rows.select(F.col("v").alias("key")), "nom", "vault_of_tests")._jdf.queryExecution().executedPlan().toString()
+    side = plan[plan.index("FileScan") - 400 : plan.index("FileScan")]
+    assert "SelectedBucketsCount: 8 out of 8" in plan and "Exchange" not in side[side.rindex("Sort [") :]
+    spark.sql("DROP TABLE vault_of_tests")
