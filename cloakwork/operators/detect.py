@@ -10,7 +10,7 @@ pattern takes it for something else.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +50,8 @@ class Options:
     names: tuple[str, ...] = ()
     #: An array column of person names that a model has found in the text.
     entities: str | None = None
+    #: Stages of the caller, each with the name of the stage that it follows ("" for the first place): see ``register_stage``.
+    extra: tuple[tuple[str, Stage], ...] = ()
 
 
 @dataclass(frozen=True)
@@ -279,9 +281,23 @@ def stages(options: Options) -> list[Stage]:
         Stage("patronyme_prefixe", rf"(?iU)\b(?:BEN|EL|AL|AIT|ABDEL)(?:[\s-][{UPPER}][{LETTER}]{{2,}})+\b", stat="patronyme_prefixe", only="strong", accept=lambda m: free(m) & ~m.value.isin(d.stopwords)),
         Stage("capitals", rf"(?U)\b(?:[Ll]'|[Dd]')?[{UPPER}]{{2,}}(?:-[{UPPER}]{{2,}})*\b", hit=True, only="strong", hint="capitals", accept=capitals, stat=lambda m: F.when((F.length(m.value) >= 2) & surname(m), "maj_patronyme").otherwise("maj_long")),
     ]
+    for after, stage in options.extra:
+        # Behind the last stage of that name, and behind those that were put there before.
+        places = [i for i, s in enumerate(found) if s.name == after]
+        if after and not places:
+            raise ValueError(f"there is no stage {after}")
+        at = places[-1] + 1 if places else 0
+        while at < len(found) and any(found[at] is s for a, s in options.extra if a == after):
+            at += 1
+        found.insert(at, stage)
     return [s for s in found if (s.only is None or getattr(options, s.only)) and (not options.names or s.name in options.names)]
 
 
+def register_stage(options: Options, stage: Stage, after: str = "") -> Options:
+    """``options`` with a stage of one's own behind all stages named ``after``, or before all stages; it sees what they left."""
+    return replace(options, extra=(*options.extra, (after, stage)))
+
+
 def _absorb(df: DataFrame, column: str, d: Dictionaries) -> DataFrame:
     """A word in capitals beside a person's token is taken into it, up to three times on each side."""
     token = rf"\[{PERSON}_\d+\]"

@@ -145,11 +145,12 @@ def _texts(paths: _Paths, path: str, index: int) -> Column | None:
 def run(
     df: DataFrame, mapping: Mapping, mode: str = "pseudo", strong: bool = False, tech: bool = False, dictionaries: Dictionaries = Dictionaries(),
     known: DataFrame | None = None, on_error: str = "keep", scope: str | None = None, limit: int | None = None, entities: str | None = None,
+    extra: tuple = (),
 ) -> Result:
     """Protect ``df``. ``mode`` is pseudo (reversible tokens) or anon; ``known`` an earlier vault to go on from.
 
     ``on_error`` says what becomes of records whose wrapped JSON is broken: keep them as they are or
-    drop them. ``entities`` is a list column of person names that a model has found. ``limit`` takes the first records only (a dry run). With ``scope``, a column, each of
+    drop them. ``extra`` are stages of one's own (``detect.register_stage``); ``entities`` is a list column of person names that a model has found. ``limit`` takes the first records only (a dry run). With ``scope``, a column, each of
     its values has numbering and vault of its own.
     """
     if mode not in ("pseudo", "anon"):
@@ -198,7 +199,7 @@ def run(
         named = [F.col(f"`{entities}`").alias("_entities")] if entities else []
         rows = spread(base).select("_rid", *scoped, *named, *_names(paths, mapping), F.explode(F.flatten(F.array(*(F.coalesce(a, F.array()) for a in arrays)))).alias("t"))
         rows = rows.select("_rid", *keys, *(["_entities"] if entities else []), "_given", "_surname_", "t.*").where("text is not null").withColumn("_key", F.concat_ws("/", "_rid", "field", "elem"))
-        options = Options(strong, tech, mapping.whitelist, mapping.blacklist, dictionaries, entities="_entities" if entities else None)
+        options = Options(strong, tech, mapping.whitelist, mapping.blacklist, dictionaries, entities="_entities" if entities else None, extra=extra)
         rows = detect(rows, "text", options, out="shown", row="_key", lookup=(F.col("_given"), F.col("_surname_")) if mapping.lookup_given else None, hide=anon)
         if anon:
             rows = rows.withColumn("shown", F.regexp_replace("shown", rf"\[{PERSON}_\d+\]", REMOVED))
@@ -284,7 +285,7 @@ def _names(paths: _Paths, mapping: Mapping) -> list[Column]:
 def protect_texts(df: DataFrame, column: str, options: Options = Options(), mode: str = "pseudo") -> Result:
     """The same for a frame with one free-text column and no fields."""
     mapping = Mapping(texts=(column,), whitelist=options.whitelist, blacklist=options.blacklist)
-    return run(df, mapping, mode, options.strong, options.tech, options.dictionaries)
+    return run(df, mapping, mode, options.strong, options.tech, options.dictionaries, extra=options.extra)
 
 
 def score_texts(df: DataFrame, column: str, options: Options = Options()) -> DataFrame:

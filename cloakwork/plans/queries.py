@@ -255,6 +255,30 @@ def nested_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("_rid").alias("row"), F.col("person.name").alias("name"), F.array_join(F.col("person.notes")["said"], "|", "-").alias("said"), F.get_json_object("wrapped", "$.to").alias("to"), F.get_json_object("wrapped", "$.cc[0]").alias("cc"))
 
 
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scalar functions, called from SQL."""
+    from ..functions import sql
+
+    sql.register(spark)
+    table(spark, sf_dir, "customer").createOrReplaceTempView("cloak_customer")
+    number = "lpad(c_custkey * 104729 || '', 9 + 7 * (c_custkey % 2), '4')"
+    return spark.sql(
+        f"SELECT c_custkey, cloak_key('  ' || c_name || ' ') AS key, cloak_fold('é' || c_mktsegment || 'ç') AS folded, cloak_digits(c_name) AS digits, cloak_luhn({number}) AS luhn, "
+        f"cloak_is_card({number}) AS card, cloak_is_company('n° ' || {number}) AS company, cloak_person('Mme ' || c_mktsegment || ' 12') AS person FROM cloak_customer"
+    )
+
+
+#: Numbers of suppliers in the form of the caller's own stage.
+SUPPLIER = D.Stage("supplier_txt", r"Supplier#\d{9}", "supplier_txt", "FOURNISSEUR", "direct")
+
+
+def own_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stage of the caller's own between two built-in ones: links are tokens when it looks, numbers of companies not yet."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("_rid"), F.concat(F.lit("voir https://example.com/"), "s_name", F.lit(" de "), "s_name").alias("text"))
+    done = protect_texts(rows, "text", D.register_stage(D.Options(), SUPPLIER, "url_txt"))
+    return done.records.select(F.col("_rid").alias("row"), "text")
+
+
 def vault_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with the tokens of their customers, from a vault that is kept in buckets; one customer stands in a third of the rows."""
     from uuid import uuid4
@@ -365,7 +389,7 @@ QUERIES = {
     for f in (
         det_url, doc_risk, risk_by_source, counts_by_type, samples_top5, email_rewrite, has_city, upper_words, tok_customer, anon_customer, vault_export, vault_search, vault_page,
         restore_roundtrip, unwrap_props, rewrap_props, preview_diff, infer_documents, analyse_documents, analyse_all, protect_documents, score_conversations,
-        nested_tokens, nested_roundtrip, json_arrays, json_errors, analyse_wrapped, detector_flags, vault_tokens,
+        nested_tokens, nested_roundtrip, json_arrays, json_errors, analyse_wrapped, detector_flags, vault_tokens, sql_functions, own_stage,
     )
 } | {f"made_{name}": made(name) for name in SENTENCES}
 
@@ -378,6 +402,15 @@ def _city_sql() -> str:
     return f"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(^|[^\\pL\\pN_])(?:{words})([^\\pL\\pN_]|$)')"
 
 
+def _functions_sql() -> str:
+    number = "lpad(CAST(c_custkey * 104729 AS VARCHAR), CAST(9 + 7 * (c_custkey % 2) AS INT), '4')"
+    luhn = LUHN.replace(f"length({_DIGITS}) NOT IN (9, 14) AND ", "")
+    return (
+        f"SELECT c_custkey, lower(c_name) AS key, 'E' || upper(c_mktsegment) || 'C' AS folded, regexp_replace(c_name, '[^0-9]', '', 'g') AS digits, {luhn} AS luhn, {luhn} AND length(v) <> 9 AS card, {luhn} AND length(v) = 9 AS company, "
+        f"lower(c_mktsegment) AS person FROM (SELECT *, {number} AS v FROM customer)"
+    )
+
+
 ORACLES = {
     "det_email": per_document_sql(EMAIL),
     "det_ipv4": per_document_sql(IPV4),
@@ -404,6 +437,8 @@ ORACLES = {
 _CLIENT = "'client' || c_custkey || '@example.com'"
 ORACLES |= {
     "detector_flags": flags_sql(),
+    "sql_functions": _functions_sql(),
+    "own_stage": "WITH n AS (SELECT s_suppkey, s_name, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier) SELECT s_suppkey AS row, 'voir [URL_' || i || '] de [FOURNISSEUR_' || i || ']' AS text FROM n",
     "vault_tokens": _VAULT + "SELECT o_orderkey, jeton AS token FROM (SELECT o_orderkey, 'customer#' || lpad(CAST(CASE WHEN o_orderkey % 3 = 0 THEN 7 ELSE o_custkey END AS VARCHAR), 9, '0') AS k FROM orders) o LEFT JOIN vault v ON v.type = 'nom' AND v.key = o.k",
     "nested_tokens": "SELECT c_custkey AS row, '[NOM_' || row_number() OVER (ORDER BY c_custkey) || ']' AS name, 'mail [EMAIL_' || row_number() OVER (ORDER BY c_custkey) || ']' AS said, 'cc [EMAIL_' || row_number() OVER (ORDER BY c_custkey) || ']' AS cc FROM customer",
     "nested_roundtrip": f"SELECT c_custkey AS row, c_name AS name, 'mail ' || {_CLIENT} || '|-|' || lower(c_mktsegment) AS said, {_CLIENT} AS to, 'cc ' || {_CLIENT} AS cc FROM customer",

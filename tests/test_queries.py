@@ -87,3 +87,32 @@ def test_tokens_from_a_bucketed_vault(spark):
     side = plan[plan.index("FileScan") - 400 : plan.index("FileScan")]
     assert "SelectedBucketsCount: 8 out of 8" in plan and "Exchange" not in side[side.rindex("Sort [") :]
     spark.sql("DROP TABLE vault_of_tests")
+
+
+def test_own_stages_stand_where_they_are_put(spark):
+    from cloakwork.operators import detect as D
+
+    own = D.Stage("code", r"\bX-\d{4}\b", "code", "CODE", "direct")
+    late = D.Stage("late", r"\bX-\d{2}\b|\[CODE_\d+\]", "late", "LATE", None, guard=False)
+    options = D.register_stage(D.register_stage(D.register_stage(D.Options(), own, "url_txt"), late, "url_txt"), D.Stage("first", "www", "first", "FIRST"))
+    names = [s.name for s in D.stages(options)]
+    assert names[:4] == ["first", "url_txt", "code", "late"] and names.index("late") < names.index("nir_txt")
+    df = spark.createDataFrame([("voir www.x.fr X-1234 et X-12, tel 06 12 34 56 78",), (None,)], "t string")
+    row = D.detect(df, "t", options, out="shown").where("t is not null").first()
+    assert [d.type for d in row.found] == ["first", "code", "late", "late", "tel_txt"]
+    with pytest.raises(ValueError, match="no stage nothing"):
+        D.stages(D.register_stage(D.Options(), own, "nothing"))
+
+
+def test_sql_functions_equal_the_columns(spark):
+    from cloakwork.functions import sql, text
+
+    sql.register(spark)
+    values = ["4111 1111 1111 1111", "4111-1111-1111-1112", "732829320", "  Zoé ÇA ", "", None, "Mme Anne DUPONT, 12", "2 90 03 75 123 456 78", "2 90 13 75 123 456 78", "abc"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    pairs = {"cloak_key": text.typed_key, "cloak_fold": text.fold, "cloak_digits": text.digits, "cloak_is_card": text.card_number, "cloak_is_company": text.company_number}
+    got = df.select(*(F.expr(f"{name}(v)").alias(f"s{i}") for i, name in enumerate(pairs)), *(f(F.col("v")).alias(f"c{i}") for i, f in enumerate(pairs.values()))).collect()
+    for r in got:
+        assert [r[f"s{i}"] for i in range(len(pairs))] == [r[f"c{i}"] for i in range(len(pairs))]
+    assert [r.x for r in df.selectExpr("cloak_is_social(v) AS x").collect()][7:9] == [True, False]
+    assert [r.x for r in df.selectExpr("cloak_person(v) AS x").collect()][6] == "anne dupont"
