@@ -6,7 +6,9 @@ the block holds at least ``threshold`` of the template's distinct words. The joi
 their document frequency in the corpus, rarest first, and lets a block and a template meet only if
 they share a word of both prefixes (prefix filter), the block has enough words (length filter) and
 the places of the shared words leave room for enough overlap (positional filter); overlaps are then
-counted exactly. Only words of templates can overlap, so blocks are cut to these first.
+counted exactly. Only words of templates can overlap, so blocks are cut to these first. Of templates that are nearly
+the same set (Jaccard ``RIVALS`` or more: the notices of the GPL, LGPL and AGPL) only those that a block holds best
+count, the largest of them where they are held equally well.
 
 Null and empty texts have 0 words and no labels; every row counts, repeated ones too. Texts are
 lower-cased for A-Z only. An empty table gives no rows; texts of any length count whole; templates that are found equally
@@ -25,12 +27,15 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = {"cc-by": ("cc", "by"), "gpl": ("general", "public", "license"), "reserved": ("all", "rights", "reserved")}
 
-#: Templates by label: the words of each are a set.
+#: Sentences of public license notices by label; the words of each are a set.
 TEMPLATES = {
     "agpl-3.0": "gnu affero general public license version 3",
+    "agpl-notice": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
     "apache-2.0": "licensed under the apache license version 2 0",
     "apache-2.0-notice": "you may not use this file except in compliance with the license",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted",
+    "bsd-3-clause": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd-clause": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsl-1.0": "distributed under the boost software license version 1 0",
     "cc-by-4.0": "licensed under a creative commons attribution 4 0 international license",
@@ -41,15 +46,17 @@ TEMPLATES = {
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
     "lgpl-notice": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
     "mit": "released under the mit license",
+    "mit-distributed": "distributed under the mit license",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software",
     "mit-licensed": "licensed under the mit license",
     "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "mpl-2.0": "subject to the terms of the mozilla public license v 2 0",
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
-THRESHOLD = 0.9
-#: Blocks end at empty lines and after the marks that end a sentence.
+THRESHOLD, RIVALS = 0.9, 0.8
+#: Blocks end at empty lines and after the marks that end a sentence; the point of "v. 2.0" ends none.
 BLOCK_END = r"\n[ \t\r]*\n|[.!?]+[ \t\r\n]+"
+VERSION = r"\bv\.[ \t\r\n]+([0-9])"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -77,6 +84,12 @@ def _prefix(words: list[str], rank: dict[str, int], threshold: float) -> tuple[l
     return words, len(words) - _needed(words, threshold) + 1
 
 
+def rivals(templates: dict[str, str]) -> dict[str, list[str]]:
+    """For each label those of templates that are nearly the same set of words."""
+    sets = {label: set(text.split()) for label, text in templates.items()}
+    return {a: [b for b, y in sets.items() if b != a and len(x & y) >= RIVALS * len(x | y)] for a, x in sets.items()}
+
+
 def template_matches(blocks: DataFrame, order: list[str], templates: dict[str, str], threshold: float) -> DataFrame:
     """``blocks`` (key columns, words) joined with the templates they hold: key columns, label, containment.
 
@@ -149,15 +162,24 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     rare = {w for t in templates.values() for words, first in [_prefix(t.split(), rank, threshold)] for w in words[:first]}
     blocks = (
         read.where(F.col("low").rlike(f"(?<!{WORD[:-1]})(?:{'|'.join(sorted(rare))})(?!{WORD[:-1]})"))
-        .select("doc_id", "key", F.posexplode(F.split("low", BLOCK_END)).alias("block", "line"))
+        .select("doc_id", "key", F.posexplode(F.split(F.regexp_replace("low", VERSION, "v $1"), BLOCK_END)).alias("block", "line"))
         .select("doc_id", "key", "block", F.array_intersect(F.regexp_extract_all("line", F.lit(WORD), F.lit(0)), known).alias("words"))
         .where(F.size("words") >= least)
     )
-    found = (
-        template_matches(blocks, order, templates, threshold)
-        .groupBy("doc_id", "key")
-        .agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
-    )
+    matches = template_matches(blocks, order, templates, threshold)
+    against = {a: others for a, others in rivals(templates).items() if others}
+    if against:
+        sizes = F.create_map(*(F.lit(x) for label, text in templates.items() for x in (label, len(set(text.split())))))
+        near = F.create_map(*(x for a, others in against.items() for x in (F.lit(a), F.array(*map(F.lit, others)))))
+        # At most one row of a block for each template.
+        held = matches.groupBy("doc_id", "key", "block").agg(F.collect_list(F.struct("containment", F.element_at(sizes, F.col("label")).alias("size"), "label")).alias("held"))
+
+        def beaten(x: Column) -> Column:
+            others = F.coalesce(F.try_element_at(near, x["label"]), F.array().cast("array<string>"))
+            return F.exists("held", lambda y: F.array_contains(others, y["label"]) & ((y["containment"] > x["containment"]) | ((y["containment"] == x["containment"]) & (y["size"] > x["size"]))))
+
+        matches = held.select("doc_id", "key", F.explode(F.filter("held", lambda x: ~beaten(x))).alias("m")).select("doc_id", "key", "m.label", "m.containment")
+    found = matches.groupBy("doc_id", "key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     joined = base.alias("b").join(found.alias("f"), F.col("b.key").eqNullSafe(F.col("f.key")) & F.col("b.doc_id").eqNullSafe(F.col("f.doc_id")), "left")
     return joined.select(
         "b.doc_id", "n_words", "n_base", "first_word", "last_word",
@@ -175,14 +197,18 @@ def _oracle() -> str:
     places = ", ".join(f'{sql} AS "{x}"' for x, sql in place.items())
     names = ", ".join(f"CASE WHEN len(\"{x}\") > 0 THEN '{x}' END" for x in PHRASES)
     every = ", ".join(f'"{x}"' for x in PHRASES)
+    near = ", ".join(f"('{a}', '{b}')" for a, others in rivals(TEMPLATES).items() for b in others)
     return f"""
 WITH t(label, template, need) AS (VALUES {templates}),
 d AS (SELECT doc_id, row_number() OVER () AS r, translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}') AS low FROM documents),
 w AS (SELECT doc_id, r, regexp_extract_all(low, '{WORD}') AS w FROM d),
 p AS (SELECT doc_id, r, len(w) AS n_words, {places} FROM w),
 b AS (SELECT *, flatten([{every}]) AS places, list_filter([{names}], lambda x: x IS NOT NULL) AS base FROM p),
-s AS (SELECT r, list_distinct(regexp_extract_all(line, '{WORD}')) AS words FROM (SELECT r, unnest(regexp_split_to_array(low, '{BLOCK_END}')) AS line FROM d)),
-m AS (SELECT r, list(DISTINCT label) AS more, max(n / len(template)) AS best FROM (SELECT r, label, template, need, len(list_intersect(words, template)) AS n FROM s, t) WHERE n >= need GROUP BY r)
+s AS (SELECT r, row_number() OVER () AS block, list_distinct(regexp_extract_all(line, '{WORD}')) AS words FROM (SELECT r, unnest(regexp_split_to_array(regexp_replace(low, '{VERSION}', 'v \1', 'g'), '{BLOCK_END}')) AS line FROM d)),
+h AS (SELECT r, block, label, len(template) AS size, n / len(template) AS c FROM (SELECT r, block, label, template, need, len(list_intersect(words, template)) AS n FROM s, t) WHERE n >= need),
+near(x, y) AS (VALUES {near}),
+beaten AS (SELECT a.block, a.label FROM h a JOIN near ON near.x = a.label JOIN h b ON b.block = a.block AND b.label = near.y WHERE b.c > a.c OR b.c = a.c AND b.size > a.size),
+m AS (SELECT r, list(DISTINCT label) AS more, max(c) AS best FROM h ANTI JOIN beaten USING (block, label) GROUP BY r)
 SELECT doc_id, n_words, CAST(len(places) AS BIGINT) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,
   array_to_string(list_sort(base), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(base, coalesce(more, [])))), ',') AS labels,

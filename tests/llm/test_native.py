@@ -68,12 +68,16 @@ def plain(text):
     every = [i for p in places.values() for i in p]
     base = {x for x, p in places.items() if p}
     best = {}
-    for block in re.split(licenses.BLOCK_END, low):
-        own = set(WORD.findall(block))
+    near = licenses.rivals(licenses.TEMPLATES)
+    for block in re.split(licenses.BLOCK_END, re.sub(licenses.VERSION, r"v \1", low)):
+        own, held = set(WORD.findall(block)), {}
         for label, t in licenses.TEMPLATES.items():
             t = set(t.split())
             if len(own & t) >= licenses._needed(list(t), licenses.THRESHOLD):
-                best[label] = max(best.get(label, 0), len(own & t) / len(t))
+                held[label] = len(own & t) / len(t), len(t)
+        for label, of in held.items():
+            if not any(held[x] > of for x in near[label] if x in held):
+                best[label] = max(best.get(label, 0), of[0])
     score = 1.0 if every else max(best.values(), default=0.0)
     return len(words), len(every), min(every, default=None), max(every, default=None), ",".join(sorted(base)), ",".join(sorted(base | best.keys())), pytest.approx(score)
 
@@ -104,6 +108,29 @@ def test_wrapped_license(spark):
     assert got == {1: "mit-grant", 2: "", 3: "bsd"}
 
 
+GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+#: Unaltered public notices, with what is found in them.
+NOTICES = [
+    (GNU.format(""), "gpl,gpl-notice"),
+    (GNU.format("Lesser "), "gpl,lgpl-notice"),
+    (GNU.format("Affero "), "agpl-3.0,agpl-notice,gpl"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.", "mpl-2.0"),
+    ("Distributed under the MIT License.", "mit-distributed"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction.\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.", "mit-grant,mit-notice"),
+    ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.", "bsd,bsd-3-clause,bsd-binary,bsd-clause"),
+    ("Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.", "apache-2.0,apache-2.0-notice"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "isc"),
+    ("Distributed under the Boost Software License, Version 1.0.", "bsl-1.0"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ("Copyright (c) 2020 Some One. All rights reserved.", "reserved"),
+]
+
+
+def test_unaltered_notices(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(NOTICES)], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.scan(df).collect()} == {i: labels for i, (_, labels) in enumerate(NOTICES)}
+
+
 def test_no_python_on_the_executors(spark):
     docs = spark.createDataFrame([(1, "all rights reserved")], "doc_id long, text string")
     talk = spark.createDataFrame([(1, 0, "a", "x")], "conv_id long, turn long, role string, text string")
