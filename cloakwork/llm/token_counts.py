@@ -4,7 +4,7 @@ No piece of such a vocabulary holds a character of ``left`` (the space mark and
 vocabulary) after a different character, so no merge crosses from another character to one of these:
 a text may be cut there into pre-tokens whose pieces add up. Each distinct pre-token of the corpus
 is given to the library once. Frequent short ones (at most ``head`` of them) are broadcast; the rest
-meets the per-document frequencies in a join.
+meets the per-document frequencies in a join, in which those of many documents are salted.
 
 Null and empty texts count 0 tokens and 0 bytes; repeated rows and rows without doc_id are counted each. An
 empty table gives no rows, texts of any length count whole, no ties arise that change a count, and columns
@@ -27,6 +27,8 @@ from .common import arrow_map, chunks, materialise, small_batches, tidy
 SPACE = "▁"
 #: The broadcast table has at most so many pre-tokens, each of at most so many characters.
 HEAD, HEAD_CHARS = 1 << 17, 48
+#: A pre-token outside the broadcast table that occurs more often than once in so many documents is dealt to so many tasks.
+HOT, SALTS = 256, 64
 _FLUSH = 200_000
 
 
@@ -109,11 +111,26 @@ def frequent(vocabulary: DataFrame, limit: int = HEAD) -> dict[str, int]:
     return {r.piece: r.n_tokens for r in short.where(level >= cut).select("piece", "n_tokens").collect()}
 
 
+def _hot(vocabulary: DataFrame, docs: DataFrame, held: dict[str, int]) -> list[int]:
+    """Hashes of the pre-tokens that aren't broadcast and occur in so many documents (or so often) that one task would get too many.
+
+    All that are found are told: a document has a bounded number of long pre-tokens, and short ones as frequent are broadcast first.
+    """
+    least = docs.count() // HOT
+    if least < SALTS:
+        return []
+    short = F.length("piece") <= HEAD_CHARS
+    rows = vocabulary.where(F.col("n") > least).select(F.xxhash64("piece").alias("hash"), F.when(short, F.col("piece")).alias("short"))
+    return [r.hash for r in rows.collect() if r.short is None or r.short not in held]
+
+
 def token_counts(docs: DataFrame, model: str | None = None, limit: int = 4096, head: int = HEAD) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit for every row of ``docs`` (doc_id, text)."""
     path = model or public_tokenizers.path("piece_bpe_32k.model")
     vocabulary = materialise(vocabulary_counts(docs, path), "token-vocabulary")
-    known = docs.sparkSession.sparkContext.broadcast(frequent(vocabulary, head))
+    held = frequent(vocabulary, head)
+    known = docs.sparkSession.sparkContext.broadcast(held)
+    hot = _hot(vocabulary, docs, held)
     names = ["own", "piece", "row", "doc_id", "n_bytes", "n"]
     kinds = [pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
@@ -141,9 +158,15 @@ def token_counts(docs: DataFrame, model: str | None = None, limit: int = 4096, h
     schema = "own boolean, piece string, row long, doc_id long, n_bytes long, n long"
     found = docs.select("doc_id", "text").mapInArrow(frequencies, schema)
     key = F.coalesce("piece", F.col("row").cast("string"))
-    joined = found.withColumn("key", key).join(
-        vocabulary.select(F.lit(False).alias("own"), F.col("piece").alias("key"), "n_tokens"), ["own", "key"], "left"
-    )
+    given = vocabulary.select(F.lit(False).alias("own"), F.col("piece").alias("key"), "n_tokens")
+    rows, on = found.withColumn("key", key), ["own", "key"]
+    if hot:
+        # Rows of hot pre-tokens by their salt, which all their entries have; equal hashes of others do no harm.
+        salted = F.xxhash64("key").isin(hot)
+        rows = rows.withColumn("salt", F.when(salted, F.pmod("row", F.lit(SALTS))).otherwise(0).cast("long"))
+        given = given.withColumn("salt", F.explode(F.when(salted, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))).cast("array<long>")))
+        on = [*on, "salt"]
+    joined = rows.join(given, on, "left")
     return (
         joined.groupBy("row")
         .agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum(F.when(F.col("own"), F.col("n")).otherwise(F.col("n") * F.col("n_tokens"))).alias("n_tokens"))

@@ -122,3 +122,17 @@ def test_simple8b_files(spark, bpe):
     assert simple8b.encode_round_trip(frame(spark, texts).limit(0)).count() == 0
     rows = spark.createDataFrame([(1, "a"), (None, "b c"), (1, "a"), (-5, None)], "doc_id long, text string")
     assert sorted(((r.doc_id is not None, r.doc_id), r.start, r.n_tokens) for r in simple8b.encode_round_trip(rows).collect()) == [((False, None), 0, 3), ((True, -5), 3, 1), ((True, 1), 4, 2), ((True, 1), 6, 2)]
+
+
+def test_a_hot_long_pre_token_is_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "HOT", 4)
+    monkeypatch.setattr(token_counts, "SALTS", 16)
+    long = "x" * 70
+    texts = [f"word{i % 5} {long} and {long if i % 3 else 'more'}" for i in range(900)] + ["", None]
+    docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, salt string").repartition(5)
+    vocabulary = token_counts.materialise(token_counts.vocabulary_counts(docs, public_tokenizers.path("piece_bpe_32k.model")), "t")
+    assert len(token_counts._hot(vocabulary, docs, token_counts.frequent(vocabulary))) == 1
+    processor = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    for head in (token_counts.HEAD, 0):
+        got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, head=head).collect()}
+        assert got == {i: len(processor.encode(t or "")) for i, t in enumerate(texts)}
