@@ -90,9 +90,9 @@ class Encoder:
             data, cuts = ids.tobytes(), (np.flatnonzero(self.blank[np.frombuffer(ids, np.uint32)]) * 4).tolist()
             yield from map(data.__getitem__, map(slice, cuts, [*cuts[1:], len(data)]))
 
-    def shrink(self) -> None:
+    def shrink(self, kept: int = KEPT, longest: int = 8) -> None:
         """Keep some short units only, which come up again most; for the end of a task, as workers outlive it."""
-        self.cache = _Cache(dict(islice(((u, c) for u, c in self.cache.items() if len(u) <= 8), KEPT)))
+        self.cache = _Cache(dict(islice(((u, c) for u, c in self.cache.items() if len(u) <= longest), kept)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
