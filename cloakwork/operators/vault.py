@@ -14,20 +14,26 @@ from ..plans.tables import materialise, numbered
 PROVISIONAL = r"\[[^\[\]]+_9\d{17}\]"
 
 
-def build(occurrences: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def build(occurrences: DataFrame, known=None) -> DataFrame:
     """type, key, n, prefix, token and value of ``occurrences`` (type, key, value, prefix, pos).
 
-    ``known`` is an earlier vault: its values keep their tokens and new ones are numbered after them.
+    ``known`` is an earlier vault: its values keep their tokens and new ones are numbered after them. It is a table, all
+    of which is in the result, or something with ``lookup`` and ``last`` (``streaming.ledger``), of which the result has what occurs.
     """
     firsts = occurrences.groupBy("type", "key").agg(F.min("pos").alias("pos"), F.min_by("value", "pos").alias("value"), F.min_by("prefix", "pos").alias("prefix"))
-    if known is not None:
-        firsts = firsts.join(known.select("type", "key"), ["type", "key"], "left_anti")
+    before = last = None
+    if isinstance(known, DataFrame):
+        before, last = known, known.groupBy("type").agg(F.max("n").alias("last"))
+    elif known is not None:
+        firsts = materialise(firsts)
+        before, last = materialise(known.lookup(firsts)), known.last()
+    if before is not None:
+        firsts = firsts.join(before.select("type", "key"), ["type", "key"], "left_anti")
     rows = numbered(firsts, ["pos"], ["type"])
-    if known is not None:
-        last = known.groupBy("type").agg(F.max("n").alias("_last"))
-        rows = rows.join(last, "type", "left").withColumn("n", F.col("n") + F.coalesce("_last", F.lit(0)))
+    if last is not None:
+        rows = rows.join(last, "type", "left").withColumn("n", F.col("n") + F.coalesce("last", F.lit(0)))
     rows = rows.select("type", "key", "n", "prefix", F.concat(F.lit("["), F.col("prefix"), F.lit("_"), F.col("n").cast("string"), F.lit("]")).alias("token"), "value")
-    return rows if known is None else known.select(*rows.columns).unionByName(rows)
+    return rows if before is None else before.select(*rows.columns).unionByName(rows)
 
 
 def exported(vault: DataFrame) -> DataFrame:

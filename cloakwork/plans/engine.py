@@ -144,10 +144,11 @@ def _texts(paths: _Paths, path: str, index: int) -> Column | None:
 
 def run(
     df: DataFrame, mapping: Mapping, mode: str = "pseudo", strong: bool = False, tech: bool = False, dictionaries: Dictionaries = Dictionaries(),
-    known: DataFrame | None = None, on_error: str = "keep", scope: str | None = None, limit: int | None = None, entities: str | None = None,
+    known=None, on_error: str = "keep", scope: str | None = None, limit: int | None = None, entities: str | None = None,
     extra: tuple = (),
 ) -> Result:
-    """Protect ``df``. ``mode`` is pseudo (reversible tokens) or anon; ``known`` an earlier vault to go on from.
+    """Protect ``df``. ``mode`` is pseudo (reversible tokens) or anon; ``known`` an earlier vault to go on from
+    (a table, or a ledger, of which the result has the entries that occur).
 
     ``on_error`` says what becomes of records whose wrapped JSON is broken: keep them as they are or
     drop them. ``extra`` are stages of one's own (``detect.register_stage``); ``entities`` is a list column of person names that a model has found. ``limit`` takes the first records only (a dry run). With ``scope``, a column, each of

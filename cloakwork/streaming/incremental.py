@@ -5,37 +5,37 @@ from __future__ import annotations
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators.detect import Options
 from ..plans.engine import run, score_texts
 from ..plans.mapping import Mapping
+from .ledger import Ledger
 
 
 def protect_stream(source: DataFrame, mapping: Mapping, out: str, checkpoint: str, mode: str = "pseudo", **options):
     """Start a query that protects a stream of records into ``out``/records and keeps its vault in ``out``/vault.
 
-    Each batch takes the vault of the batches before it and adds what is new. Records and vault of a
-    batch go to folders named by its number, so a batch that runs again replaces its own output.
+    Each batch looks up its own keys among the entries of the batches before it and adds what is new (see ``ledger``). Records
+    and entries of a batch go to folders named by its number, so a batch that runs again replaces its own output.
     """
     spark = source.sparkSession
+    if options.get("scope"):
+        raise ValueError("a stream has one vault; scopes would number anew in each batch")
 
     def one(batch: DataFrame, number: int) -> None:
-        known = _vault_before(spark, out, number) if mode == "pseudo" else None
-        result = run(batch, replace(mapping), mode, known=known, **options)
-        if result.vault is not None:
-            new = result.vault if known is None else result.vault.join(known.select("type", "key"), ["type", "key"], "left_anti")
-            new.write.mode("overwrite").parquet(f"{out}/vault/batch={number}")
+        ledger = Ledger(spark, out, number) if mode == "pseudo" else None
+        result = run(batch, replace(mapping), mode, known=ledger, **options)
+        if ledger is not None:
+            new = result.vault.join(ledger.last(), "type", "left").where("n > coalesce(last, 0)")
+            ledger.add(new)
         result.records.drop("_rid").write.mode("overwrite").parquet(f"{out}/records/batch={number}")
 
     return source.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _vault_before(spark: SparkSession, out: str, number: int) -> DataFrame | None:
-    if not number:
-        return None
-    found = spark.read.option("basePath", f"{out}/vault").parquet(f"{out}/vault").where(F.col("batch") < number).drop("batch")
-    return None if found.isEmpty() else found
+def vault_of(spark: SparkSession, out: str, batches: int) -> DataFrame:
+    """The vault of a stream after its first ``batches`` batches."""
+    return Ledger(spark, out, batches).entries()
 
 
 def score_stream(source: DataFrame, column: str, options: Options = Options()) -> DataFrame:
