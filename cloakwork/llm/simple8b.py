@@ -31,8 +31,8 @@ from .common import arrow_map, chunks, materialise, new_path, small_batches, tid
 MAGIC = b"CWS8B\x02\0\0"
 BLOCK = 4096
 SHARD_IDS = 1 << 20
-#: Units that a worker remembers between tasks.
-KEPT = 400_000
+#: Units in a generation of the encoder's cache, which a worker keeps from task to task.
+UNITS = 600_000
 #: How many ids of how many bits each selector of Simple-8b packs.
 SELECTORS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 _COUNTS = np.array([n for n, _ in SELECTORS])
@@ -148,7 +148,9 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 0, vocabulary: str | Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = (units := encoder(vocabulary)).encode
+        units = encoder(vocabulary)
+        units.limit = UNITS
+        encode = units.encode
         store, root = fs.FileSystem.from_uri(path)
         task = TaskContext.get()
         partition = task.partitionId()
@@ -182,7 +184,6 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 0, vocabulary: str | Non
                         flush()
         if doc_ids:
             flush()
-        units.shrink(KEPT, 64)
         columns = list(zip(*manifest, strict=True)) or [()] * 5
         kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["partition", "shard", "path", "n_docs", "n_ids"])
