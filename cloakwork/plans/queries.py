@@ -402,6 +402,26 @@ def _city_sql() -> str:
     return f"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(^|[^\\pL\\pN_])(?:{words})([^\\pL\\pN_]|$)')"
 
 
+def _upper_sql() -> str:
+    """Words in capitals of five letters and more, not alone on a line and in no list. Marks between words are doubled, so each word has its own."""
+    from ..functions.text import UPPER
+    from ..functions.wordlists import CAPITALISED_STOPWORDS, INSTITUTIONS, KEPT_CAPITALS, LOWER_STOPWORDS, RESERVED
+
+    def listed(words) -> str:
+        return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
+
+    pattern = rf"(^|[^\pL\pN_])((?:[Ll]''|[Dd]'')?[{UPPER}]{{2,}}(?:-[{UPPER}]{{2,}})*)($|[^\pL\pN_])"
+    edge = "('', chr(9), chr(10), chr(13))"
+    return rf"""
+WITH t AS (SELECT regexp_replace(text, '([^\pL\pN_''-])', '\1\1', 'g') AS t FROM documents),
+m AS (SELECT unnest(regexp_extract_all(t, '{pattern}')) AS m FROM t),
+w AS (SELECT regexp_extract(m, '{pattern}', 1) AS l, regexp_extract(m, '{pattern}', 2) AS v, regexp_extract(m, '{pattern}', 3) AS r FROM m)
+SELECT upper(v) AS word, count(*) AS n, upper(v) IN {listed(CAPITALISED_STOPWORDS)} OR lower(upper(v)) IN {listed(LOWER_STOPWORDS)} AS stopword FROM w
+WHERE length(v) >= 5 AND NOT (l IN {edge} AND r IN {edge}) AND v NOT IN {listed([*RESERVED, *KEPT_CAPITALS, *CAPITALISED_STOPWORDS])} AND lower(v) NOT IN {listed(INSTITUTIONS)}
+GROUP BY upper(v) ORDER BY n DESC, word LIMIT 20
+"""
+
+
 def _functions_sql() -> str:
     number = "lpad(CAST(c_custkey * 104729 AS VARCHAR), CAST(9 + 7 * (c_custkey % 2) AS INT), '4')"
     luhn = LUHN.replace(f"length({_DIGITS}) NOT IN (9, 14) AND ", "")
@@ -437,6 +457,7 @@ ORACLES = {
 _CLIENT = "'client' || c_custkey || '@example.com'"
 ORACLES |= {
     "detector_flags": flags_sql(),
+    "upper_words": _upper_sql(),
     "sql_functions": _functions_sql(),
     "own_stage": "WITH n AS (SELECT s_suppkey, s_name, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier) SELECT s_suppkey AS row, 'voir [URL_' || i || '] de [FOURNISSEUR_' || i || ']' AS text FROM n",
     "vault_tokens": _VAULT + "SELECT o_orderkey, jeton AS token FROM (SELECT o_orderkey, 'customer#' || lpad(CAST(CASE WHEN o_orderkey % 3 = 0 THEN 7 ELSE o_custkey END AS VARCHAR), 9, '0') AS k FROM orders) o LEFT JOIN vault v ON v.type = 'nom' AND v.key = o.k",
