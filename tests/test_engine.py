@@ -9,7 +9,7 @@ from cloakwork.operators import vault
 from cloakwork.plans.engine import protect_texts, run
 from cloakwork.plans.mapping import Mapping
 
-#: Records, and outcomes below (texts, counts, scores), that are published for the reference engine.
+#: Records, and outcomes below (texts, counts, scores), that are published for them.
 FLAT = [
     (1, "Marie", "Dupont", "marie.dupont@example.fr", "06 12 34 56 78", "75015", "Bonjour Marie, votre commande chez ORANGE est en cours. Contactez-nous au 01 23 45 67 89."),
     (2, "Pierre", "Martin", "pierre.martin@example.fr", "0698765432", "69001", "M. Martin a signale un probleme avec la Societe Generale SA. Son IBAN FR76 1234 5678 9012 3456 7890 123 a ete debite a tort."),
