@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from cloakwork.llm import chat, licenses
 
@@ -131,6 +132,20 @@ def test_unaltered_notices(spark):
     assert {r.doc_id: r.labels for r in licenses.scan(df).collect()} == {i: labels for i, (_, labels) in enumerate(NOTICES)}
 
 
+def test_license_texts_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    rows = [(1, "Licensed under the MIT License."), (2, "all rights reserved"), (3, "nothing"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, given string").select("doc_id", F.udf(seen)("given").alias("text"))
+    got = sorted((r.doc_id, r.labels) for r in licenses.scan(docs).collect())
+    assert got == [(1, "mit-licensed"), (2, "reserved"), (3, ""), (3, "")]
+    assert read.value == len(rows)
+
+
 def test_no_python_on_the_executors(spark):
     docs = spark.createDataFrame([(1, "all rights reserved")], "doc_id long, text string")
     talk = spark.createDataFrame([(1, 0, "a", "x")], "conv_id long, turn long, role string, text string")
