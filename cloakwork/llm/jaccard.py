@@ -400,6 +400,19 @@ def _texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     return materialise(docs.select("doc_id", "text").join(F.broadcast(rows) if few else rows, "doc_id").select("cls", "text"), "jaccard-texts")
 
 
+def _sides(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, b and text: a's text for each pair of ``pairs`` (a, b), and once b's own text, where a is null. A written table.
+
+    Texts get their pairs where they are read, so they are dealt only once, by b.
+    """
+    of = classes.select("cls", F.col("rep").alias("doc_id"))
+    first = pairs.join(of.withColumnRenamed("cls", "a"), "a").select("doc_id", "a", "b")
+    second = pairs.select("b").distinct().join(of.withColumnRenamed("cls", "b"), "b").select("doc_id", F.lit(None).cast("long").alias("a"), "b")
+    rows = materialise(first.union(second), "jaccard-wanted")
+    few = rows.count() <= BROADCAST_IDS
+    return materialise(docs.select("doc_id", "text").join(F.broadcast(rows) if few else rows, "doc_id").select("a", "b", "text"), "jaccard-texts")
+
+
 def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """cls and shingles (a set's hashes, ascending) of the classes in ``wanted``. A written table."""
 
@@ -492,7 +505,7 @@ def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     near = near.join(facts.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("buckets").alias("q")), "b")
     near = near.where(f"100 * least(n, m) >= {PERCENT} * greatest(n, m)")
     near = materialise(arrow_map(near.select("a", "b", "n", "m", "p", "q"), bound, "a long, b long"), "jaccard-near")
-    texts = _texts(near.select(F.col("a").alias("cls")).union(near.select("b")), classes, docs)
+    texts = _sides(near, classes, docs)
     held: dict[tuple[int, str], np.ndarray] = {}
 
     def exact(columns):
@@ -513,8 +526,7 @@ def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
         keep = pa.array(kept, pa.bool_())
         yield {"a": columns["a"].filter(keep), "b": columns["b"].filter(keep)}
 
-    full = near.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a")
-    full = full.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b")
+    full = texts.where("a is not null").select("a", "b", F.col("text").alias("x")).join(texts.where("a is null").select("b", F.col("text").alias("y")), "b")
     return materialise(arrow_map(full.select("a", "b", "x", "y"), exact, "a long, b long"), "jaccard-links")
 
 

@@ -114,3 +114,30 @@ def test_runs_in_any_batches():
             assert got == want
             costly = {(r["a"], r["b"]) for b in out for r in b.to_pylist() if r["kind"] == 1}
             assert costly == {(int(m), int(k)) for k in np.unique(keys) for run in [np.unique(members[keys == k])] if len(run) > few for m in run}
+
+
+def test_texts_are_dealt_once_for_the_exact_comparison(spark, monkeypatch):
+    plans = []
+    taken = jaccard.arrow_map
+
+    def arrow_map(df, function, schema):
+        if df.columns == ["a", "b", "x", "y"]:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return taken(df, function, schema)
+
+    monkeypatch.setattr(jaccard, "arrow_map", arrow_map)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = " ".join(f"w{k}" for k in range(60))
+        rows = [(3, text), (1, text + " more"), (2, "other words of a text")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        facts = [(r.doc_id, v) for r in docs.collect() for v in jaccard.shingle_sets([r.text])]
+        made = [(jaccard._class_id(len(v), v)[2], i, len(v), np.minimum(np.diff(jaccard._parts(v, 64)), 65_535).astype("<u2").tobytes()) for i, v in facts]
+        classes = spark.createDataFrame(made, "cls long, rep long, n long, buckets binary")
+        of = {i: c for c, i, _, _ in made}
+        pairs = spark.createDataFrame([(of[3], of[1]), (of[2], of[1])], "a long, b long")
+        assert [tuple(r) for r in jaccard._similar(pairs, classes, docs).collect()] == [(of[3], of[1])]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [p.count("SortMergeJoin") for p in plans] == [1]
