@@ -18,8 +18,9 @@ m > H segments by hash, so at least m - H segments of such a pair are equal.
   signatures are treated as in the first index, and the pairs of different groups that are left
   are found by what they and their hub differ in.
 
-Candidates pass the size bound and a bound on the counts of 64 hash buckets, then their sets are made
-from the whole texts and compared exactly (as 64-bit hashes of shingles). Components are found on Spark.
+Candidates pass the size bound, a bound on the counts of 64 hash buckets and one on the parities of as many
+buckets as the sets have elements; what passes all is compared exactly, by sets made from the whole texts
+(as 64-bit hashes of shingles). Components are found on Spark.
 """
 
 from __future__ import annotations
@@ -129,7 +130,8 @@ class Schemes:
     def band(self, size: int) -> int:
         while self.high[-1] < size:
             self.low.append(self.high[-1] + 1)
-            self.high.append(max(self.low[-1], self.low[-1] * 100 // self.percent))
+            # Twice as wide as similar sets can differ, so that many sets have no part in the scheme of the next band.
+            self.high.append(max(self.low[-1], self.low[-1] * 10_000 // self.percent**2))
         return int(np.searchsorted(self.high, size))
 
     def differ(self, total: int) -> int:
@@ -187,6 +189,20 @@ def second_index(values: np.ndarray, schemes: Schemes) -> Iterator[tuple[np.ndar
         yield mix(sums + salt, 2), mix(sums[owner] - each + salt[owner], 2) if h else np.zeros(0, np.uint64)
 
 
+def parities(values: np.ndarray) -> bytes:
+    """For each of 2^k buckets (64 at least, and one for each element) whether it has an odd number of elements, as bits."""
+    m = max(64, 1 << (len(values) - 1).bit_length())
+    return np.packbits(np.bincount((values & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1, bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A number of elements in which two sets of these parities differ at least."""
+    p, q = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    while len(q) > len(p):
+        q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+    return int(np.bitwise_count(p ^ q).sum())
+
+
 def _class_id(size: int, values: np.ndarray) -> tuple[int, int, int]:
     """Two fingerprints of a set and the class id made of them."""
     a, b = int(mix(values, 11).sum(dtype=np.uint64)), int(mix(values, 12).sum(dtype=np.uint64))
@@ -195,12 +211,12 @@ def _class_id(size: int, values: np.ndarray) -> tuple[int, int, int]:
 
 
 def summaries(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n, f1, f2 (fingerprints), cls, spare0 and spare1 (segments its schemes may leave out), buckets, own and keys.
+    """Per document: doc_id, n, f1, f2 (fingerprints), cls, spare0 and spare1 (segments its schemes may leave out), buckets, own, parities and keys.
 
     ``keys`` holds the signatures of the first index, the first ``own`` of them for pairs whose larger set is in the set's own
-    band. Documents of one class in one task give them once, rows without doc_id never.
+    band. Documents of one class in one task give them, and their parities, once, rows without doc_id never.
     """
-    names = ("doc_id", "n", "f1", "f2", "cls", "spare0", "spare1", "buckets", "own", "keys")
+    names = ("doc_id", "n", "f1", "f2", "cls", "spare0", "spare1", "buckets", "own", "parities", "keys")
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,26 +227,28 @@ def summaries(docs: DataFrame) -> DataFrame:
                 rows, keys, ends = [], [], [0]
                 for doc_id, values in zip(ids[a:b], shingle_sets(texts[a:b]), strict=True):
                     if not len(values):
-                        rows.append((doc_id, 0, *[None] * 7))
+                        rows.append((doc_id, 0, *[None] * 8))
                         ends.append(ends[-1])
                         continue
                     of_class = _class_id(len(values), values)
                     found = {flag: (keyed, more) for flag, keyed, more in first_index(values, schemes)}
                     own, next_ = found.get(0, (values[:0], None)), found.get(1, (values[:0], None))
+                    odd = None
                     if doc_id is not None and of_class[2] not in seen:
+                        odd = parities(values)
                         keys += own[0], next_[0]
                         ends.append(ends[-1] + len(own[0]) + len(next_[0]))
                         seen.add(of_class[2])
                     else:
                         ends.append(ends[-1])
                     buckets = np.minimum(np.diff(_parts(values, 64)), 65_535).astype("<u2").tobytes()
-                    rows.append((doc_id, len(values), *of_class, own[1], next_[1], buckets, len(own[0])))
+                    rows.append((doc_id, len(values), *of_class, own[1], next_[1], buckets, len(own[0]), odd))
                 keys = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys))], names=names)
 
-    kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary(), pa.int32()]
-    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, cls long, spare0 int, spare1 int, buckets binary, own int, keys array<long>")
+    kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary(), pa.int32(), pa.binary()]
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, cls long, spare0 int, spare1 int, buckets binary, own int, parities binary, keys array<long>")
 
 
 def _first_signatures(table: DataFrame) -> DataFrame:
@@ -483,28 +501,48 @@ def _across(hot: DataFrame, hubs: DataFrame, classes: DataFrame, docs: DataFrame
     return pairs, found.where("near and cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
 
 
-def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _close(near: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The rows of ``near`` (a, b, most) whose classes differ in at most ``most`` elements as far as their parities tell. A written table."""
+
+    def bound(columns):
+        each = zip(columns["p"], columns["q"], columns["most"].to_pylist(), strict=True)
+        keep = pa.array([least_difference(x.as_py(), y.as_py()) <= most for x, y, most in each], pa.bool_())
+        yield {c: columns[c].filter(keep) for c in ("a", "b")}
+
+    wanted = near.select(F.col("a").alias("cls")).union(near.select("b")).distinct()
+    if near.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    # Only the parities of these classes are dealt, each once.
+    own = sketches.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("parities").alias("parities"))
+    full = near.join(own.select(F.col("cls").alias("a"), F.col("parities").alias("p")), "a").join(own.select(F.col("cls").alias("b"), F.col("parities").alias("q")), "b")
+    return materialise(arrow_map(full.select("a", "b", "most", "p", "q"), bound, "a long, b long"), "jaccard-close")
+
+
+def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, sketches: DataFrame | None = None) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar: first by bounds, then exactly. A written table.
 
-    Many pairs best have their common class as b: its set is then made once a batch.
+    Many pairs best have their common class as b: its set is then made once a batch. ``sketches`` has cls and parities
+    of every class, repeated rows included.
     """
     facts = classes.select("cls", "n", "buckets")
 
     def bound(columns):
         x, y = columns["n"].to_numpy(), columns["m"].to_numpy()
-        total = x + y
+        most = (x + y) * (100 - PERCENT) // (100 + PERCENT)
         ok = 100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y)
         if len(x):
             # In Arrow, binaries of one length lie end to end.
             p, q = (np.frombuffer(b"".join(columns[c].to_pylist()), "<u2").reshape(-1, 64).astype(np.int64) for c in ("p", "q"))
-            ok &= np.abs(p - q).sum(axis=1) <= total * (100 - PERCENT) // (100 + PERCENT)
+            ok &= np.abs(p - q).sum(axis=1) <= most
         keep = pa.array(ok)
-        yield {c: columns[c].filter(keep) for c in ("a", "b")}
+        yield {"a": columns["a"].filter(keep), "b": columns["b"].filter(keep), "most": pa.array(most).filter(keep)}
 
     near = pairs.distinct().join(facts.select(F.col("cls").alias("a"), "n", F.col("buckets").alias("p")), "a")
     near = near.join(facts.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("buckets").alias("q")), "b")
     near = near.where(f"100 * least(n, m) >= {PERCENT} * greatest(n, m)")
-    near = materialise(arrow_map(near.select("a", "b", "n", "m", "p", "q"), bound, "a long, b long"), "jaccard-near")
+    near = materialise(arrow_map(near.select("a", "b", "n", "m", "p", "q"), bound, "a long, b long, most long"), "jaccard-near")
+    if sketches is not None:
+        near = _close(near, sketches)
     texts = _sides(near, classes, docs)
     held: dict[tuple[int, str], np.ndarray] = {}
 
@@ -530,22 +568,22 @@ def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     return materialise(arrow_map(full.select("a", "b", "x", "y"), exact, "a long, b long"), "jaccard-links")
 
 
-def _met(costly: DataFrame, pairs: DataFrame, groups: DataFrame | None, classes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _met(costly: DataFrame, pairs: DataFrame, groups: DataFrame | None, classes: DataFrame, docs: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Groups after an index: its costly signatures' classes with their nearest hubs, then all else that is apart.
 
     Gives the groups, the rows of costly signatures of several groups, and the hubs.
     """
     hubs = materialise(_hubs(costly), "jaccard-hubs")
     first = _nearest(costly, hubs)
-    links = _similar(first if groups is None else _apart(first, groups), classes, docs)
+    links = _similar(first if groups is None else _apart(first, groups), classes, docs, sketches)
     groups = connected_components(links) if groups is None else _merged(groups, links)
     mixed = _mixed(costly, groups)
-    links = _similar(_apart(pairs.union(_stars(mixed, hubs)), groups), classes, docs)
+    links = _similar(_apart(pairs.union(_stars(mixed, hubs)), groups), classes, docs, sketches)
     groups = _merged(groups, links)
     return groups, _mixed(mixed.drop("component"), groups), hubs
 
 
-def _rest(docs: DataFrame, classes: DataFrame, mixed: DataFrame, groups: DataFrame) -> DataFrame:
+def _rest(docs: DataFrame, classes: DataFrame, sketches: DataFrame, mixed: DataFrame, groups: DataFrame) -> DataFrame:
     """Groups with the links that the first index may have missed: between classes that left out too many segments."""
     left = mixed.groupBy("cls", "flag").agg(F.countDistinct("key").alias("left"))
     wide = left.groupBy("cls").agg(F.max(F.when(F.col("flag") == 0, F.col("left"))).alias("left0"), F.max(F.when(F.col("flag") == 1, F.col("left"))).alias("left1"))
@@ -554,11 +592,11 @@ def _rest(docs: DataFrame, classes: DataFrame, mixed: DataFrame, groups: DataFra
     if again.isEmpty():
         return groups
     met = _collisions(_second_signatures(_texts(again, classes, docs)), FEW_SECOND, second=True)
-    groups, mixed, hubs = _met(materialise(_costly(met), "jaccard-costly"), met.where("kind = 0").select("a", "b"), groups, classes, docs)
+    groups, mixed, hubs = _met(materialise(_costly(met), "jaccard-costly"), met.where("kind = 0").select("a", "b"), groups, classes, docs, sketches)
     if mixed.isEmpty():
         return groups
     pairs, direct = _across(mixed.select("key", "cls", "component"), hubs.select("key", "hub"), classes, docs)
-    return _merged(groups, direct.union(_similar(pairs, classes, docs)))
+    return _merged(groups, direct.union(_similar(pairs, classes, docs, sketches)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -576,10 +614,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("rep"), F.first("cls").alias("cls"), F.first("spare0").alias("spare0"), F.first("spare1").alias("spare1"), F.first("buckets").alias("buckets")
     )
     classes = materialise(classes, "jaccard-classes")
+    sketches = table.where("parities is not null").select("cls", "parities")
     met = _collisions(_first_signatures(table), FEW, second=False)
     costly = materialise(_costly(met), "jaccard-costly")
-    groups, mixed, _ = _met(costly, met.where("kind = 0").select("a", "b"), None, classes, docs)
-    groups = _rest(docs, classes, mixed, groups)
+    groups, mixed, _ = _met(costly, met.where("kind = 0").select("a", "b"), None, classes, docs, sketches)
+    groups = _rest(docs, classes, sketches, mixed, groups)
     named = groups.join(classes.select(F.col("cls").alias("id"), "rep"), "id")
     names = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     linked = named.join(names, "component").select(F.col("id").alias("cls"), "component_id")

@@ -141,3 +141,36 @@ def test_texts_are_dealt_once_for_the_exact_comparison(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert [p.count("SortMergeJoin") for p in plans] == [1]
+
+
+def test_parities_tell_a_least_difference():
+    """Never more than the sets differ in; and enough to rule out large sets that share half, which 64 counts can't."""
+    for size, drop, add in [(1, 0, 0), (1, 1, 1), (5, 2, 3), (63, 0, 4), (64, 1, 0), (65, 9, 2), (1000, 30, 160), (3000, 400, 0)]:
+        a, b = (np.sort(jaccard.mix(np.arange(*x, dtype=np.uint64))) for x in ((0, size), (drop, size + add)))
+        assert jaccard.least_difference(jaccard.parities(a), jaccard.parities(b)) <= len(np.setxor1d(a, b))
+    a, b = (np.sort(jaccard.mix(np.arange(*x, dtype=np.uint64))) for x in ((0, 3000), (1000, 4000)))
+    most = 6000 * 20 // 180
+    counts = [np.diff(jaccard._parts(x, 64)) for x in (a, b)]
+    assert np.abs(counts[0] - counts[1]).sum() <= most < jaccard.least_difference(jaccard.parities(a), jaccard.parities(b))
+
+
+def test_texts_of_pairs_that_parities_rule_out_are_not_dealt(spark, monkeypatch):
+    dealt = []
+    sides = jaccard._sides
+    monkeypatch.setattr(jaccard, "_sides", lambda pairs, *more: sides(dealt.append(pairs.count()) or pairs, *more))
+    rnd = random.Random(4)
+    base = [f"w{k}" for k in range(3000)]
+    rows = [(k, " ".join([*base[:2000], *(f"x{rnd.random()}" for _ in range(1000))])) for k in range(4)]
+    rows.append((9, rows[0][1] + " more"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()}
+    assert got == brute(rows)
+    assert sum(dealt) == 1
+
+
+def test_few_signatures_a_set():
+    """With bands twice as wide as similar sets can differ, a set has half a signature an element."""
+    schemes = jaccard.Schemes()
+    sizes = [int(40 * 1.1**k) for k in range(40)]
+    made = sum(len(s) / n for n in sizes for _, s, _ in jaccard.first_index(np.sort(jaccard.mix(np.arange(n, dtype=np.uint64))), schemes))
+    assert made < 0.55 * len(sizes)
