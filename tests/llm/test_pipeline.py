@@ -5,6 +5,7 @@ import random
 import corpus_pipeline
 from tokenizers import Tokenizer
 
+from cloakwork.llm import common
 from cloakwork.llm.bytebpe import vocabulary_path
 from tests.llm.test_jaccard import brute
 from tests.llm.test_langid import DE, EN
@@ -62,3 +63,10 @@ def test_rows_of_one_id_are_judged_by_themselves(spark):
     kept = corpus_pipeline.ngram_jaccard(spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted(((r.doc_id is None, r.doc_id or 0), r.text or "") for r in kept.collect()) == [((False, 0), b), ((False, 1), a), ((False, 3), ""), ((False, 3), ""), ((True, 0), a), ((True, 0), a)]
+
+
+def test_drivers_python_gives_memory_back_after_each_table(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "release", lambda: given.append(1))
+    assert common.materialise(spark.range(3), "given-back").count() == 3
+    assert given == [1]
