@@ -29,10 +29,10 @@ from .common import chunks, small_batches, tidy
 
 WINDOW, RATE, Q, LEAST = 80, 0.1, 8, 24
 BLOCK_CHARS = 4_000_000
-#: Normalised characters that are searched at once.
-_SLICE = 1 << 20
+#: Characters of texts that are searched at once: a worker holds about 150 bytes for each, whatever the batch.
+_SLICE = 1 << 17
 #: Pairs of a place and a window's q-gram that are counted at once.
-_ENTRIES = 1 << 20
+_ENTRIES = 1 << 17
 _NONE = np.uint32(0xFFFFFFFF)
 #: From here on code points are mostly of scripts that set no blanks between words.
 _NO_BLANKS = 0x2E80
@@ -243,15 +243,14 @@ class Index:
     def exact(self, codes: np.ndarray, limits: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(number, first, last character) of each place of a short item within one text, by its 64-bit hash."""
         for size, (hashes, numbers) in self.short.items():
-            if len(codes) < size:
-                continue
-            own = gram_hashes(codes, size)
-            at = np.flatnonzero(np.isin(own, hashes))
-            at = at[limits[np.searchsorted(limits, at, side="right")] >= at + size]
-            low, high = (np.searchsorted(hashes, own[at], side=side) for side in ("left", "right"))
-            for first, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True):
-                for number in numbers[a:b].tolist():
-                    yield number, first, first + size - 1
+            for start in range(0, len(codes) - size + 1, _SLICE):
+                own = gram_hashes(codes[start : start + _SLICE + size - 1], size)
+                hit = np.flatnonzero(np.isin(own, hashes))
+                hit = hit[limits[np.searchsorted(limits, hit + start, side="right")] >= hit + start + size]
+                low, high = (np.searchsorted(hashes, own[hit], side=side) for side in ("left", "right"))
+                for first, a, b in zip((hit + start).tolist(), low.tolist(), high.tolist(), strict=True):
+                    for number in numbers[a:b].tolist():
+                        yield number, first, first + size - 1
 
 
 def _stands_alone(codes: np.ndarray, at: np.ndarray, first: int, last: int) -> bool:
@@ -263,17 +262,22 @@ def _stands_alone(codes: np.ndarray, at: np.ndarray, first: int, last: int) -> b
 
 def find(index: Index, texts: list[str | None]) -> list[dict]:
     """For each text the items it holds: item -> (windows found, fewest edits, start, end in the text)."""
+    return [found for a, b in chunks(texts, _SLICE) for found in _find(index, texts[a:b])]
+
+
+def _find(index: Index, texts: list[str | None]) -> list[dict]:
     parts = [normal(t or "") for t in texts]
     limits = np.cumsum([0, *(len(c) for c, _ in parts)])
     found: list[dict] = [{} for _ in texts]
     if limits[-1]:
-        for window, edits, first, last in index.search(np.concatenate([c for c, _ in parts]), limits):
+        every = np.concatenate([c for c, _ in parts])
+        for window, edits, first, last in index.search(every, limits):
             text = int(np.searchsorted(limits, first, side="right")) - 1
             at = parts[text][1]
             span = int(at[first - limits[text]]), int(at[last - limits[text]]) + 1
             windows, fewest, start, end = found[text].get(index.item[window], (set(), edits, *span))
             found[text][index.item[window]] = windows | {window}, min(fewest, edits), min(start, span[0]), max(end, span[1])
-        for number, first, last in index.exact(np.concatenate([c for c, _ in parts]), limits) if index.short else ():
+        for number, first, last in index.exact(every, limits):
             text = int(np.searchsorted(limits, first, side="right")) - 1
             codes, at = parts[text]
             first, last = first - int(limits[text]), last - int(limits[text])
@@ -306,9 +310,8 @@ def matches(
             for batch in batches:
                 ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
                 rows = []
-                for a, b in chunks(texts):
-                    for doc_id, items in zip(ids[a:b], find(shared.value, texts[a:b]), strict=True):
-                        rows += [(doc_id, item, len(w), *rest) for item, (w, *rest) in items.items()]
+                for doc_id, items in zip(ids, find(shared.value, texts), strict=True):
+                    rows += [(doc_id, item, len(w), *rest) for item, (w, *rest) in items.items()]
                 columns = list(zip(*rows, strict=True)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
@@ -327,7 +330,7 @@ def clean(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = batch.column("text").to_pylist()
-                keep = [not items for a, b in chunks(texts) for items in find(shared.value, texts[a:b])]
+                keep = [not items for items in find(shared.value, texts)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         return small_batches(left).mapInArrow(run, left.schema)

@@ -26,6 +26,8 @@ from .common import chunks, small_batches, tidy
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+#: Units in a generation of a worker's cache. The open windows stand beside it, so it is smaller than the encoder's own.
+UNITS = 100_000
 
 
 class Packer:
@@ -118,7 +120,7 @@ def pack(docs: DataFrame, window: int = 1024, end_id: int = 0, vocabulary: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = (units := encoder(path)).encode
+        encode = (units := encoder(path, UNITS)).encode
         packer = Packer(window, TaskContext.get().partitionId() << 33)
 
         def flush() -> pa.RecordBatch:

@@ -123,3 +123,32 @@ def test_small_runs_of_pairs_change_nothing(monkeypatch):
         monkeypatch.setattr(D, "_ENTRIES", size)
         assert D.find(index, texts) == want
     assert all(items[i % 14][0] in found for i, found in enumerate(want[:30]))
+
+
+def test_a_batch_of_texts_needs_bounded_memory():
+    """What a worker holds grows with what it searches at once, not with the batch: all workers of an executor search at a time."""
+    import tracemalloc
+
+    rnd = random.Random(7)
+    items = [(i, words(rnd, 30)) for i in range(40)] + [(90, "the short one")]
+    index = D.Index(items, D.WINDOW, D.RATE, D.Q, D.LEAST)
+    some = [words(rnd, 60) for _ in range(300)]
+    texts = [" ".join(rnd.choices(some, k=5)) + " " + items[i % 41][1] for i in range(600)]
+    assert sum(map(len, texts)) > 1_000_000
+    D.fold_table()
+    tracemalloc.start()
+    found = D.find(index, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(items[i % 41][0] in x for i, x in enumerate(found))
+    assert peak < 40_000_000
+
+
+def test_short_items_are_found_across_slices(monkeypatch):
+    index = D.Index([(1, "is it 42"), (2, "no")], D.WINDOW, D.RATE, D.Q, D.LEAST)
+    texts = ["so is it 42 and is it 42, no, " * 9, "", "no"]
+    want = D.find(index, texts)
+    assert [sorted(x) for x in want] == [[1, 2], [], [2]] and want[0][1][2:] == (3, 264)
+    for size in (1, 3, 7, 50):
+        monkeypatch.setattr(D, "_SLICE", size)
+        assert D.find(index, texts) == want
