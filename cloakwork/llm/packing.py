@@ -27,7 +27,7 @@ from .common import chunks, small_batches, tidy
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 #: Units in a generation of a worker's cache. The open windows stand beside it, so it is smaller than the encoder's own.
-UNITS = 100_000
+UNITS = 300_000
 
 
 class Packer:

@@ -80,6 +80,22 @@ def test_packing(spark, bpe):
     assert packing.pack(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_packing_encodes_the_units_of_a_task_once(monkeypatch):
+    texts = [" ".join(["a", *(f"w{i}" for i in range(k, k + 10_000))]) for k in range(0, 150_000, 10_000)]
+    encoder, encoded = Encoder(vocabulary_path(), packing.UNITS), 0
+    codes = encoder._codes
+
+    def counted(units):
+        nonlocal encoded
+        encoded += len(units)
+        return codes(units)
+
+    monkeypatch.setattr(encoder, "_codes", counted)
+    for text in texts * 2:
+        encoder.encode([text])
+    assert encoded == 150_000
+
+
 def test_packer_takes_the_level_of_least_squares():
     rng = np.random.default_rng(1)
     packer = packing.Packer(16)
