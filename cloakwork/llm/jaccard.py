@@ -41,8 +41,10 @@ SHINGLE = 5
 PERCENT = 80
 #: Classes with one signature of which all pairs are compared; in the second index.
 FEW, FEW_SECOND = 12, 24
-#: Up to so many document ids are broadcast to fetch sets; beyond it they are joined by shuffle.
+#: Written tables of ids with up to so many rows are broadcast; beyond it they are joined by shuffle.
 BROADCAST_IDS = 200_000
+#: Up to so many pairs of classes are broadcast with the counts of their buckets; beyond it they are joined by shuffle.
+BROADCAST_PAIRS = 20_000
 _SLICE = 1 << 18
 _BASE = 0xD1B54A32D192ED03
 _BLANK = np.zeros(256, bool)
@@ -343,6 +345,11 @@ class _Runs:
         return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([low, costly[0]])), pa.array(np.concatenate([high, costly[1]]))], names=["kind", "a", "b"])
 
 
+def _few(written: DataFrame) -> DataFrame:
+    """A written table of ids, to be broadcast where it is small: a join with it then deals nothing."""
+    return F.broadcast(written) if written.count() <= BROADCAST_IDS else written
+
+
 def _hubs(costly: DataFrame) -> DataFrame:
     """key, fame and hub: of each costly signature the class that has most of them. ``costly`` has key, cls and whole.
 
@@ -363,7 +370,7 @@ def _nearest(costly: DataFrame, hubs: DataFrame) -> DataFrame:
 
 def _stars(costly: DataFrame, hubs: DataFrame) -> DataFrame:
     """Each class of a costly signature (a) with its hub (b)."""
-    return costly.join(hubs.select("key", "hub"), "key").where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
+    return costly.join(hubs.select("key", "hub"), "key").where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
 
 
 def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -381,13 +388,15 @@ def _mixed(costly: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """``groups`` (id, component) after further links (a, b), which are taken between groups."""
+    """``groups`` (id, component) after further links (a, b), which are taken between groups; without any, ``groups`` itself."""
+    if links.isEmpty():
+        return groups
     ends = links
     for x in ("a", "b"):
         of = groups.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}"))
         ends = ends.join(of, x, "left").withColumn(f"of_{x}", F.coalesce(f"of_{x}", x))
     edges = ends.select("of_a", "of_b").union(ends.select("a", "of_a")).union(ends.select("b", "of_b")).union(groups.select("id", "component"))
-    return connected_components(edges)
+    return _few(materialise(connected_components(edges), "jaccard-groups"))
 
 
 def _collisions(signatures: DataFrame, few: int, second: bool) -> DataFrame:
@@ -509,12 +518,12 @@ def _close(near: DataFrame, sketches: DataFrame) -> DataFrame:
         keep = pa.array([least_difference(x.as_py(), y.as_py()) <= most for x, y, most in each], pa.bool_())
         yield {c: columns[c].filter(keep) for c in ("a", "b")}
 
-    wanted = near.select(F.col("a").alias("cls")).union(near.select("b")).distinct()
-    if near.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
+    wanted, few = near.select(F.col("a").alias("cls")).union(near.select("b")), near.count() <= BROADCAST_IDS
+    wanted = F.broadcast(wanted) if few else wanted.distinct()
     # Only the parities of these classes are dealt, each once.
     own = sketches.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("parities").alias("parities"))
-    full = near.join(own.select(F.col("cls").alias("a"), F.col("parities").alias("p")), "a").join(own.select(F.col("cls").alias("b"), F.col("parities").alias("q")), "b")
+    full = own.select(F.col("cls").alias("a"), F.col("parities").alias("p")).join(F.broadcast(near) if few else near, "a")
+    full = full.join(own.select(F.col("cls").alias("b"), F.col("parities").alias("q")), "b")
     return materialise(arrow_map(full.select("a", "b", "most", "p", "q"), bound, "a long, b long"), "jaccard-close")
 
 
@@ -537,12 +546,18 @@ def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, sketches: Da
         keep = pa.array(ok)
         yield {"a": columns["a"].filter(keep), "b": columns["b"].filter(keep), "most": pa.array(most).filter(keep)}
 
-    near = pairs.distinct().join(facts.select(F.col("cls").alias("a"), "n", F.col("buckets").alias("p")), "a")
-    near = near.join(facts.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("buckets").alias("q")), "b")
+    pairs = materialise(pairs.distinct(), "jaccard-pairs")
+    firsts = facts.select(F.col("cls").alias("a"), "n", F.col("buckets").alias("p"))
+    seconds = facts.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("buckets").alias("q"))
+    if pairs.count() <= BROADCAST_PAIRS:
+        pairs, seconds = F.broadcast(pairs), F.broadcast(seconds.join(F.broadcast(pairs.select("b")), "b", "left_semi"))
+    near = firsts.join(pairs, "a").join(seconds, "b")
     near = near.where(f"100 * least(n, m) >= {PERCENT} * greatest(n, m)")
     near = materialise(arrow_map(near.select("a", "b", "n", "m", "p", "q"), bound, "a long, b long, most long"), "jaccard-near")
-    if sketches is not None:
+    if sketches is not None and not near.isEmpty():
         near = _close(near, sketches)
+    if near.isEmpty():
+        return near.select("a", "b")
     texts = _sides(near, classes, docs)
     held: dict[tuple[int, str], np.ndarray] = {}
 
@@ -573,14 +588,14 @@ def _met(costly: DataFrame, pairs: DataFrame, groups: DataFrame | None, classes:
 
     Gives the groups, the rows of costly signatures of several groups, and the hubs.
     """
-    hubs = materialise(_hubs(costly), "jaccard-hubs")
+    hubs = _few(materialise(_hubs(costly), "jaccard-hubs"))
     first = _nearest(costly, hubs)
     links = _similar(first if groups is None else _apart(first, groups), classes, docs, sketches)
-    groups = connected_components(links) if groups is None else _merged(groups, links)
+    groups = _few(materialise(connected_components(links), "jaccard-groups")) if groups is None else _merged(groups, links)
     mixed = _mixed(costly, groups)
     links = _similar(_apart(pairs.union(_stars(mixed, hubs)), groups), classes, docs, sketches)
-    groups = _merged(groups, links)
-    return groups, _mixed(mixed.drop("component"), groups), hubs
+    merged = _merged(groups, links)
+    return merged, mixed if merged is groups else _mixed(mixed.drop("component"), merged), hubs
 
 
 def _rest(docs: DataFrame, classes: DataFrame, sketches: DataFrame, mixed: DataFrame, groups: DataFrame) -> DataFrame:

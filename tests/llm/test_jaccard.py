@@ -168,6 +168,38 @@ def test_texts_of_pairs_that_parities_rule_out_are_not_dealt(spark, monkeypatch)
     assert sum(dealt) == 1
 
 
+def test_few_pairs_are_not_dealt_for_their_bounds(spark, monkeypatch):
+    plans, taken = [], jaccard.arrow_map
+
+    def arrow_map(df, function, schema):
+        if "p" in df.columns:
+            plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return taken(df, function, schema)
+
+    monkeypatch.setattr(jaccard, "arrow_map", arrow_map)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = corpus(5, 60)
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        expected = brute(rows)
+        for few in (20_000, 0):
+            monkeypatch.setattr(jaccard, "BROADCAST_PAIRS", few)
+            monkeypatch.setattr(jaccard, "BROADCAST_IDS", few)
+            plans.clear()
+            got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()}
+            assert got == expected
+            joins = {len(columns): plan.count("SortMergeJoin") for columns, plan in plans}
+            assert joins == ({6: 0, 5: 1} if few else {6: 2, 5: 4})
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_without_links_groups_stay_as_they_are(spark):
+    groups = spark.createDataFrame([(1, 1), (2, 1)], "id long, component long")
+    assert jaccard._merged(groups, spark.createDataFrame([], "a long, b long")) is groups
+
+
 def test_few_signatures_a_set():
     """With bands twice as wide as similar sets can differ, a set has half a signature an element."""
     schemes = jaccard.Schemes()
